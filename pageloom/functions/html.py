@@ -160,12 +160,20 @@ def first_element_text(html: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*+>", "")), r"\s+", " "))
 
 
-def meta_content(tags: Column, key: str) -> Column:
-    """Content of the first ``meta`` whose property or name is ``key``; NULL
-    when there is none. ``tags`` comes from ``start_tags(html, 'meta', ...)``."""
-    hits = F.filter(
-        tags,
-        lambda t: t.rlike(r"(?i)^meta(?=[\s/])")
-        & ((attribute(t, "property") == key) | (F.lower(attribute(t, "name")) == key)),
+def meta_entries(tags: Column) -> Column:
+    """``struct(property, name, content)`` of every ``meta`` tag, read once."""
+    metas = F.filter(tags, lambda t: t.rlike(r"(?i)^meta(?=[\s/])"))
+    return F.transform(
+        metas,
+        lambda t: F.struct(
+            attribute(t, "property").alias("property"),
+            F.lower(attribute(t, "name")).alias("name"),
+            attribute(t, "content").alias("content"),
+        ),
     )
-    return _let(F.get(hits, F.lit(0)), lambda t: attribute(t, "content"))
+
+
+def meta_content(entries: Column, key: str) -> Column:
+    """Content of the first entry whose property or name is ``key``, or NULL."""
+    hits = F.filter(entries, lambda m: (m.property == key) | (m.getField("name") == key))
+    return F.get(hits, F.lit(0)).getField("content")

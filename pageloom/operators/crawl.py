@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import MAX_DEPTH, MAX_LIMIT, clamp_crawl_limit, clamp_depth, resolve_mode
 from ..functions.urls import explode_positions, normalize_url
-from ..session import materialize
+from ..session import materialize, materialize_counted
 from .links import crawl_links
 from .pages import NOT_FOUND, choose_engine, missing_errors, page_index
 
@@ -76,6 +76,7 @@ def _visit(frontier: DataFrame, index: DataFrame, missing: tuple[str, str]) -> D
             "cap": F.col("limit") - queued_and_done + F.coalesce(F.sum(failed).over(before), F.lit(0)).cast("int"),
             "done_after": F.col("done") + F.sum(1 - failed).over(crawl).cast("int"),
             "last_seq": F.max("seq").over(crawl),
+            "leads": F.col("seq") == F.min("seq").over(crawl),
         }
     )
 
@@ -107,10 +108,8 @@ def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -
 
     folded = ordered.select("spec_id", F.aggregate("found", nothing, take).alias("admitted"))
     admitted = explode_positions(folded, ["spec_id"], "admitted", "next")
-    state = level.groupBy("spec_id").agg(
-        *[F.first(c).alias(c) for c in ("mode", "screenshot", "maxDepth", "limit")],
-        F.first("done_after").alias("done"),
-        F.first("last_seq").alias("last_seq"),
+    state = level.filter("leads").select(
+        "spec_id", "mode", "screenshot", "maxDepth", "limit", F.col("done_after").alias("done"), "last_seq"
     )
     return admitted.join(state, "spec_id").select(
         "spec_id",
@@ -169,8 +168,8 @@ def crawl(
     )
     levels: list[DataFrame] = []
     for depth in range(MAX_DEPTH + 1):
-        level = materialize(_visit(frontier, index, missing), f"crawl-level-{depth}")
-        if level.isEmpty():
+        level, rows = materialize_counted(_visit(frontier, index, missing), f"crawl-level-{depth}")
+        if rows == 0:
             break
         levels.append(level)
         visited = _union(levels).select("spec_id", "url")

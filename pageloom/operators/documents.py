@@ -11,6 +11,7 @@ from ..functions.html import (
     decode_entities,
     first_element_text,
     meta_content,
+    meta_entries,
     plain_text,
     start_tags,
     without_elements,
@@ -81,32 +82,41 @@ def detect_framework(html: Column, generator: Column) -> Column:
 def page_metadata(pages: DataFrame) -> DataFrame:
     """One row per page with its head fields; NULL where a page has none."""
     tags = start_tags(F.col("html"), "meta", "link", "html")
-    read = pages.select("page_id", "html", tags.alias("_tags"))
-
-    def first_value(condition, name):
-        hit = F.get(F.filter("_tags", condition), F.lit(0))
-        return F.nullif(attribute(hit, name), F.lit(""))
-
-    canonical = first_value(
-        lambda t: t.rlike(r"(?i)^link[\s/]") & (F.lower(attribute(t, "rel")) == "canonical"), "href"
+    found = pages.select("page_id", "html", tags.alias("_tags"))
+    links = F.transform(
+        F.filter("_tags", lambda t: t.rlike(r"(?i)^link[\s/]")),
+        lambda t: F.struct(F.lower(attribute(t, "rel")).alias("rel"), attribute(t, "href").alias("href")),
     )
-    icon = first_value(
-        lambda t: t.rlike(r"(?i)^link[\s/]") & F.lower(attribute(t, "rel")).rlike(r"(?:^|\s)icon(?:\s|\z)"), "href"
+    charsets = F.transform(
+        F.filter("_tags", lambda t: t.rlike(r"(?i)^meta[\s/]")), lambda t: attribute(t, "charset")
     )
-    charset = first_value(lambda t: t.rlike(r"(?i)^meta[\s/]") & (attribute(t, "charset") != ""), "charset")
-    keys = F.filter(
-        "_tags", lambda t: t.rlike(r"(?i)^meta[\s/]") & (attribute(t, "property") == "article:tag")
+    languages = F.transform(
+        F.filter("_tags", lambda t: t.rlike(r"(?i)^html(?:[\s/]|\z)")), lambda t: attribute(t, "lang")
     )
+    read = found.select(
+        "page_id",
+        "html",
+        meta_entries(F.col("_tags")).alias("_meta"),
+        links.alias("_links"),
+        F.get(F.filter(charsets, lambda c: c != ""), F.lit(0)).alias("charset"),
+        F.nullif(F.get(languages, F.lit(0)), F.lit("")).alias("language"),
+    )
+
+    def linked(condition):
+        return F.nullif(F.get(F.filter("_links", condition), F.lit(0)).getField("href"), F.lit(""))
+
     fields = read.select(
         "page_id",
         "html",
         F.nullif(first_element_text(F.col("html"), "title"), F.lit("")).alias("title"),
-        *[meta_content(F.col("_tags"), key).alias(column) for column, key in META_FIELDS],
-        F.transform(keys, lambda t: attribute(t, "content")).alias("tags"),
-        canonical.alias("canonical"),
-        icon.alias("favicon"),
-        charset.alias("charset"),
-        first_value(lambda t: t.rlike(r"(?i)^html(?:[\s/]|\z)"), "lang").alias("language"),
+        *[meta_content(F.col("_meta"), key).alias(column) for column, key in META_FIELDS],
+        F.transform(
+            F.filter("_meta", lambda m: m.property == "article:tag"), lambda m: m.getField("content")
+        ).alias("tags"),
+        linked(lambda link: link.rel == "canonical").alias("canonical"),
+        linked(lambda link: link.rel.rlike(r"(?:^|\s)icon(?:\s|\z)")).alias("favicon"),
+        "charset",
+        "language",
     )
     return fields.withColumn("framework", detect_framework(F.col("html"), F.col("generator"))).drop("html")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.html import _TAG_BODY, _COMMENT, RAW_TEXT_ELEMENTS, _raw_text, attribute, decode_entities, start_tags
 from ..functions.urls import (
-    _let,
     base_parts,
     explode_positions,
     hostname,
@@ -94,32 +93,38 @@ def link_details(pages: DataFrame, base: str = "url") -> DataFrame:
         hostname(F.col(base)).alias("_host"),
         F.filter(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), lambda a: a != "").alias("_anchors"),
     )
-    rows = explode_positions(read, ["page_id", "_base", "_host"], "_anchors", "_anchor")
-    cut = rows.select(
-        "page_id",
-        "_base",
-        "_host",
-        "pos",
-        F.regexp_extract("_anchor", rf"(?is)^({_TAG_BODY})>", 1).alias("_tag"),
-        F.regexp_replace("_anchor", rf"(?is)^{_TAG_BODY}>", "").alias("_inner"),
+    read_tags = F.transform(
+        "_anchors",
+        lambda a: F.struct(
+            F.regexp_extract(a, rf"(?is)^({_TAG_BODY})>", 1).alias("tag"),
+            F.regexp_replace(F.regexp_replace(a, rf"(?is)^{_TAG_BODY}>", ""), r"(?s)<[^>]*+>", "").alias("inner"),
+        ),
     )
-    read_tag = cut.select(
-        "page_id",
-        "_base",
-        "_host",
-        "pos",
-        attribute(F.col("_tag"), "href").alias("_raw"),
-        attribute(F.col("_tag"), "rel").alias("rel"),
-        _let(F.regexp_replace("_inner", r"(?s)<[^>]*+>", ""), lambda t: decode_entities(t)).alias("_text"),
+    described = F.transform(
+        read_tags,
+        lambda a, pos: F.struct(
+            pos.alias("pos"),
+            attribute(a.tag, "href").alias("raw"),
+            attribute(a.tag, "rel").alias("rel"),
+            F.trim(F.regexp_replace(decode_entities(a.inner), r"\s+", " ")).alias("text"),
+        ),
     )
-    kept = read_tag.filter(~is_skipped_href(F.col("_raw"))).withColumn(
-        "href", resolve_with_parts(F.col("_base"), F.col("_raw"), keep_fragment=True)
+    resolved = F.transform(
+        F.filter(described, lambda a: ~is_skipped_href(a.raw)),
+        lambda a: F.struct(
+            a.pos.alias("pos"),
+            resolve_with_parts(F.col("_base"), a.raw, keep_fragment=True).alias("href"),
+            a.text.alias("text"),
+            a.rel.alias("rel"),
+        ),
     )
-    return kept.filter(F.col("href").isNotNull()).select(
+    kept = read.select("page_id", "_host", F.filter(resolved, lambda a: a.href.isNotNull()).alias("links"))
+    rows = explode_positions(kept, ["page_id", "_host"], "links", "a")
+    return rows.select(
         "page_id",
-        "pos",
-        "href",
-        F.trim(F.regexp_replace("_text", r"\s+", " ")).alias("text"),
-        "rel",
-        (hostname(F.col("href")) == F.col("_host")).alias("is_internal"),
+        F.col("a.pos").alias("pos"),
+        F.col("a.href").alias("href"),
+        F.col("a.text").alias("text"),
+        F.col("a.rel").alias("rel"),
+        (hostname(F.col("a.href")) == F.col("_host")).alias("is_internal"),
     )

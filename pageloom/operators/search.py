@@ -16,7 +16,7 @@ from ..functions.requests import (
     has_more,
     preview,
 )
-from ..functions.urls import hostname
+from ..functions.urls import _let, hostname
 
 # A corpus has: id, title, url, description, text, domain and optionally ts.
 
@@ -84,15 +84,15 @@ def ranked(
         if as_of is None:
             raise ValueError("as_of is needed to bound the age of results")
         rows = rows.filter(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
-    lowered = rows.withColumn("_lowered", F.lower("text"))
     if required:
-        lowered = lowered.filter(
-            reduce(and_, [F.col("_lowered").contains(phrase.lower()) for phrase in required])
+        phrases = [phrase.lower() for phrase in required]
+        rows = rows.filter(
+            _let(F.lower("text"), lambda text: reduce(and_, [text.contains(p) for p in phrases]))
         )
     if scorer is None:
-        lowered = lowered.filter(reduce(or_, [F.col("_lowered").contains(t) for t in terms]))
-        scorer = term_frequency(F.col("_lowered"), terms)
-    return lowered.withColumn("score", scorer).filter(F.col("score") > 0).drop("_lowered")
+        # Bound once: the filter below lowers each text a single time.
+        scorer = _let(F.lower("text"), lambda text: term_frequency(text, terms))
+    return rows.withColumn("score", scorer).filter(F.col("score") > 0)
 
 
 def page_bounds(offset: int | None, limit: int | None) -> tuple[int, int]:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "pageloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,3 +64,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, counted by the write itself."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
