@@ -87,7 +87,13 @@ def streamed_cache(spark, folder):
         F.col("ts").cast("timestamp").alias("ts"),
         payload.alias("payload"),
     )
+    # Two batches of two files each; the second half is written later, and the
+    # file source takes older files first.
+    path = scratch_path(spark, "tasks")
+    middle = F.lit("2024-01-13 00:00:00").cast("timestamp")
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        tasks.filter(half).repartition(2).write.mode("append").json(path)
     out, checkpoint, cache = (scratch_path(spark, f"stream-{name}") for name in ("out", "checkpoint", "cache"))
-    q = stream_cached_scrape(spark, _write_tasks(tasks, 2), materialize(pages, "pages"), cache, out, checkpoint, max_files=1)
+    q = stream_cached_scrape(spark, path, materialize(pages, "pages"), cache, out, checkpoint, max_files=2)
     return _finish(q, spark, out).select(F.col("request_id").alias("event_id"), F.col("cached").alias("cache_hit"))
 
