@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reuse import reuse
+
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
 _PCT = r"%[0-9A-Fa-f]{2}"
 _CTL = r"\x00-\x1F\x7F"
@@ -202,6 +204,24 @@ def normalize_url(url: Column) -> Column:
     ).when(~is_parsable_url(url), url).otherwise(out)
 
 
+@reuse
+def key_of(name: str) -> Column:
+    """``normalize_url`` of a named column."""
+    return normalize_url(F.col(name))
+
+
+@reuse
+def base_of(name: str) -> Column:
+    """``base_parts`` of a named column."""
+    return base_parts(F.col(name))
+
+
+@reuse
+def host_of(name: str) -> Column:
+    """``hostname`` of a named column."""
+    return hostname(F.col(name))
+
+
 def base_parts(base: Column) -> Column:
     """What resolving needs of the page's own URL, computed once per page.
 

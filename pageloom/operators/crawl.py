@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.requests import MAX_DEPTH, MAX_LIMIT, clamp_crawl_limit, clamp_depth, resolve_mode
-from ..functions.urls import explode_positions, normalize_url
+from ..functions.reuse import reuse
+from ..functions.urls import explode_positions, key_of
 from ..session import materialize, materialize_counted
 from .links import crawl_links
-from .pages import NOT_FOUND, choose_engine, missing_errors, page_index
+from .pages import NOT_FOUND, choice_for, chosen_page_id, missing_errors, page_index
 
 OUTPUT = ("crawl_id", "seq", "url", "depth", "parent_seq", "engine", "error")
 _SPEC = ("url", "mode", "screenshot", "maxDepth", "limit")
@@ -41,7 +42,7 @@ def normalize_jobs(jobs: DataFrame) -> DataFrame:
 
     return jobs.select(
         "crawl_id",
-        normalize_url(F.col("url")).alias("url"),
+        key_of("url").alias("url"),
         resolve_mode(optional("render", "boolean"), optional("mode", "string")).alias("mode"),
         F.coalesce(optional("screenshot", "boolean"), F.lit(False)).alias("screenshot"),
         clamp_depth(optional("maxDepth", "int")).cast("int").alias("maxDepth"),
@@ -53,32 +54,29 @@ def normalize_jobs(jobs: DataFrame) -> DataFrame:
 def _visit(frontier: DataFrame, index: DataFrame, missing: tuple[str, str]) -> DataFrame:
     """Outcome of every frontier page and the places open when it is read."""
     found = frontier.join(index, frontier.url == index.page_key, "left")
-    absent = F.col("page_key").isNull()
-    choice = choose_engine(
-        F.col("mode"),
-        F.col("screenshot"),
-        F.when(absent, F.lit(missing[0])).otherwise(F.col("static_error")),
-        F.coalesce(F.col("needs_dynamic"), F.lit(False)),
-        F.when(absent, F.lit(missing[1])).otherwise(F.col("dynamic_error")),
-    )
-    chosen = found.withColumn("_choice", choice).select(
+    chosen = found.withColumn("_choice", choice_for(*missing)).select(
         *frontier.columns,
         F.col("_choice.engine").alias("engine"),
         F.col("_choice.error").alias("error"),
-        F.when(F.col("_choice.engine") == "static", F.col("static_id")).otherwise(F.col("dynamic_id")).alias("page_id"),
+        chosen_page_id().alias("page_id"),
     )
+    return chosen.withColumns(_counters())
+
+
+@reuse
+def _counters() -> dict:
+    """Places open before each page, pages done after the level, and which row
+    leads its crawl."""
     crawl = Window.partitionBy("spec_id")
     before = crawl.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     failed = F.col("error").isNotNull().cast("int")
     queued_and_done = F.count(F.lit(1)).over(crawl).cast("int") + F.col("done")
-    return chosen.withColumns(
-        {
-            "cap": F.col("limit") - queued_and_done + F.coalesce(F.sum(failed).over(before), F.lit(0)).cast("int"),
-            "done_after": F.col("done") + F.sum(1 - failed).over(crawl).cast("int"),
-            "last_seq": F.max("seq").over(crawl),
-            "leads": F.col("seq") == F.min("seq").over(crawl),
-        }
-    )
+    return {
+        "cap": F.col("limit") - queued_and_done + F.coalesce(F.sum(failed).over(before), F.lit(0)).cast("int"),
+        "done_after": F.col("done") + F.sum(1 - failed).over(crawl).cast("int"),
+        "last_seq": F.max("seq").over(crawl),
+        "leads": F.col("seq") == F.min("seq").over(crawl),
+    }
 
 
 def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
@@ -98,15 +96,7 @@ def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -
     ordered = kept.groupBy("spec_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("at.seq"), F.col("at.pos"), "url", "cap"))).alias("found")
     )
-    nothing = F.array().cast("array<struct<url:string,parent_seq:int>>")
-
-    def take(taken, link):
-        full = F.size(taken) >= link.cap
-        seen = F.exists(taken, lambda t: t.url == link.url)
-        entry = F.struct(link.url.alias("url"), link.seq.alias("parent_seq"))
-        return F.when(full | seen, taken).otherwise(F.array_append(taken, entry))
-
-    folded = ordered.select("spec_id", F.aggregate("found", nothing, take).alias("admitted"))
+    folded = ordered.select("spec_id", _fold().alias("admitted"))
     admitted = explode_positions(folded, ["spec_id"], "admitted", "next")
     state = level.filter("leads").select(
         "spec_id", "mode", "screenshot", "maxDepth", "limit", F.col("done_after").alias("done"), "last_seq"
@@ -125,6 +115,20 @@ def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -
     )
 
 
+@reuse
+def _fold():
+    """Candidates in order, each taken while a place is open and unless taken."""
+    nothing = F.array().cast("array<struct<url:string,parent_seq:int>>")
+
+    def take(taken, link):
+        full = F.size(taken) >= link.cap
+        seen = F.exists(taken, lambda t: t.url == link.url)
+        entry = F.struct(link.url.alias("url"), link.seq.alias("parent_seq"))
+        return F.when(full | seen, taken).otherwise(F.array_append(taken, entry))
+
+    return F.aggregate("found", nothing, take)
+
+
 def crawl(
     jobs: DataFrame,
     index: DataFrame,

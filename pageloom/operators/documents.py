@@ -26,7 +26,8 @@ from ..functions.predicates import (
     is_tiny_script_page_extended,
     needs_dynamic,
 )
-from ..functions.urls import hostname
+from ..functions.reuse import reuse
+from ..functions.urls import host_of
 
 # Metadata fields read from meta elements (column, key).
 META_FIELDS = (
@@ -83,6 +84,12 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     """One row per page with its head fields; NULL where a page has none."""
     tags = start_tags(F.col("html"), "meta", "link", "html")
     found = pages.select("page_id", "html", tags.alias("_tags"))
+    read = found.select("page_id", "html", *_head_entries())
+    return read.select("page_id", *_head_fields())
+
+
+@reuse
+def _head_entries() -> tuple[Column, ...]:
     links = F.transform(
         F.filter("_tags", lambda t: t.rlike(r"(?i)^link[\s/]")),
         lambda t: F.struct(F.lower(attribute(t, "rel")).alias("rel"), attribute(t, "href").alias("href")),
@@ -93,32 +100,30 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     languages = F.transform(
         F.filter("_tags", lambda t: t.rlike(r"(?i)^html(?:[\s/]|\z)")), lambda t: attribute(t, "lang")
     )
-    read = found.select(
-        "page_id",
-        "html",
+    return (
         meta_entries(F.col("_tags")).alias("_meta"),
         links.alias("_links"),
         F.get(F.filter(charsets, lambda c: c != ""), F.lit(0)).alias("charset"),
         F.nullif(F.get(languages, F.lit(0)), F.lit("")).alias("language"),
     )
 
+
+@reuse
+def _head_fields() -> tuple[Column, ...]:
     def linked(condition):
         return F.nullif(F.get(F.filter("_links", condition), F.lit(0)).getField("href"), F.lit(""))
 
-    fields = read.select(
-        "page_id",
-        "html",
+    tags = F.filter("_meta", lambda m: m.property == "article:tag")
+    return (
         F.nullif(first_element_text(F.col("html"), "title"), F.lit("")).alias("title"),
         *[meta_content(F.col("_meta"), key).alias(column) for column, key in META_FIELDS],
-        F.transform(
-            F.filter("_meta", lambda m: m.property == "article:tag"), lambda m: m.getField("content")
-        ).alias("tags"),
+        F.transform(tags, lambda m: m.getField("content")).alias("tags"),
         linked(lambda link: link.rel == "canonical").alias("canonical"),
         linked(lambda link: link.rel.rlike(r"(?:^|\s)icon(?:\s|\z)")).alias("favicon"),
-        "charset",
-        "language",
+        F.col("charset"),
+        F.col("language"),
+        detect_framework(F.col("html"), meta_content(F.col("_meta"), "generator")).alias("framework"),
     )
-    return fields.withColumn("framework", detect_framework(F.col("html"), F.col("generator"))).drop("html")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ def host_profile(pages: DataFrame) -> DataFrame:
     are combined map-side, so a host with a third of all pages costs no more."""
     text = body_text(F.coalesce(F.col("html"), F.lit("")))
     read = pages.select(
-        hostname(F.col("url")).alias("host"),
+        host_of("url").alias("host"),
         needs_dynamic(F.coalesce(F.col("html"), F.lit(""))).alias("dynamic"),
         F.length(text).alias("n_text"),
     )

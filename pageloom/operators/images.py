@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import attribute, has_attribute, start_tags
 from ..functions.media import encode_data_uri, image_mime
 from ..functions.predicates import MAX_IMAGE_BYTES, is_tracking_pixel, is_valid_image_url, within_image_size
-from ..functions.urls import base_parts, explode_positions, image_url_with_parts
+from ..functions.reuse import reuse
+from ..functions.urls import base_of, explode_positions, image_url_with_parts
 
 MAX_TOTAL_BLOB_BYTES = 20 * 1024 * 1024
 
@@ -17,77 +18,99 @@ def image_arrays(pages: DataFrame, keys: list[str], max_images: int = 10, base:
     """``keys`` and ``images``: preview image first, then card images, then
     content images up to the cap. One row in, one row out, no shuffle."""
     max_images = max_images if max_images > 0 else 10
+    out = pages
+    for step in (_found_tags(base), _addressed(), _usable(), _urls(), _picked(max_images), _first_of_each()):
+        out = out.select(*keys, *step)
+    return out
+
+
+@reuse
+def _found_tags(base: str) -> tuple[Column, ...]:
     tags = start_tags(F.col("html"), "meta", "img")
-    read = pages.select(
-        *keys,
-        base_parts(F.col(base)).alias("_base"),
+    return (
+        base_of(base).alias("_base"),
         F.filter(tags, lambda t: t.rlike(r"(?i)^meta[\s/]")).alias("_meta"),
         F.filter(tags, lambda t: t.rlike(r"(?i)^img[\s/]")).alias("_img"),
     )
 
-    def described(tag, address, source):
-        """Attributes of one tag; the address is resolved in a second pass, so
-        each attribute is read once."""
-        shown = source == "content"
-        return F.struct(
-            attribute(tag, address).alias("raw"),
-            (attribute(tag, "alt") if shown else F.lit("")).alias("alt"),
-            (attribute(tag, "title") if shown else F.lit("")).alias("title"),
-            F.lit(source).alias("source"),
-        )
-
-    def resolved(entries):
-        return F.transform(
-            entries,
-            lambda e: F.struct(
-                image_url_with_parts(F.col("_base"), e.raw).alias("url"),
-                e.alt.alias("alt"),
-                e.title.alias("title"),
-                e.source.alias("source"),
-            ),
-        )
 
-    preview = F.slice(F.filter("_meta", lambda t: attribute(t, "property") == "og:image"), 1, 1)
-    cards = F.filter(
-        "_meta",
-        lambda t: (attribute(t, "property") == "twitter:image") | (attribute(t, "name") == "twitter:image"),
+def _described(tag: Column, address: str, source: str) -> Column:
+    """Attributes of one tag; the address is resolved in a second pass, so
+    each attribute is read once."""
+    shown = source == "content"
+    return F.struct(
+        attribute(tag, address).alias("raw"),
+        (attribute(tag, "alt") if shown else F.lit("")).alias("alt"),
+        (attribute(tag, "title") if shown else F.lit("")).alias("title"),
+        F.lit(source).alias("source"),
     )
 
+
+def _resolved(entries: Column) -> Column:
+    return F.transform(
+        entries,
+        lambda e: F.struct(
+            image_url_with_parts(F.col("_base"), e.raw).alias("url"),
+            e.alt.alias("alt"),
+            e.title.alias("title"),
+            e.source.alias("source"),
+        ),
+    )
+
+
+@reuse
+def _addressed() -> tuple[Column, ...]:
+    """``_heads``: the first preview tag and all card tags, if they have a
+    content; ``_content``: images with a source."""
+
     def with_content(found):
         return F.filter(found, lambda t: has_attribute(t, "content"))
 
-    heads = F.concat(
-        F.transform(with_content(preview), lambda t: described(t, "content", "og:image")),
-        F.transform(with_content(cards), lambda t: described(t, "content", "twitter:image")),
+    preview = F.slice(F.filter("_meta", lambda t: attribute(t, "property") == "og:image"), 1, 1)
+    cards = F.filter(
+        "_meta",
+        lambda t: (attribute(t, "property") == "twitter:image") | (attribute(t, "name") == "twitter:image"),
     )
-    content = F.transform("_img", lambda t: described(t, "src", "content"))
-    addressed = read.select(
-        *keys,
-        resolved(heads).alias("_heads"),
-        resolved(F.filter(content, lambda e: e.raw != "")).alias("_content"),
+    heads = F.concat(
+        F.transform(with_content(preview), lambda t: _described(t, "content", "og:image")),
+        F.transform(with_content(cards), lambda t: _described(t, "content", "twitter:image")),
     )
-    found = addressed.select(
-        *keys,
+    content = F.transform("_img", lambda t: _described(t, "src", "content"))
+    return _resolved(heads).alias("_heads"), _resolved(F.filter(content, lambda e: e.raw != "")).alias("_content")
+
+
+@reuse
+def _usable() -> tuple[Column, ...]:
+    return (
         F.filter("_heads", lambda i: i.url != "").alias("_heads"),
         F.filter("_content", lambda i: (i.url != "") & ~is_tracking_pixel(i.url)).alias("_content"),
     )
-    urls = found.select(
-        *keys,
+
+
+@reuse
+def _urls() -> tuple[Column, ...]:
+    return (
         F.concat("_heads", "_content").alias("_all"),
         F.array_distinct(F.transform("_heads", lambda i: i.url)).alias("_head_urls"),
         F.transform("_content", lambda i: i.url).alias("_content_urls"),
     )
+
+
+@reuse
+def _picked(max_images: int) -> tuple[Column, ...]:
     room = F.greatest(F.lit(max_images) - F.size("_head_urls"), F.lit(0))
-    picked = urls.select(
-        *keys,
-        "_all",
+    fresh = F.array_except("_content_urls", "_head_urls")
+    return (
+        F.col("_all"),
         F.transform("_all", lambda i: i.url).alias("_all_urls"),
-        F.concat(
-            "_head_urls", F.slice(F.array_except("_content_urls", "_head_urls"), F.lit(1), room)
-        ).alias("_picked"),
+        F.concat("_head_urls", F.slice(fresh, F.lit(1), room)).alias("_picked"),
     )
+
+
+@reuse
+def _first_of_each() -> tuple[Column, ...]:
     first = F.transform("_picked", lambda u: F.element_at("_all", F.array_position("_all_urls", u).cast("int")))
-    return picked.select(*keys, first.alias("images"))
+    return (first.alias("images"),)
 
 
 def extract_images(pages: DataFrame, max_images: int = 10, base: str = "url", key: str = "page_id") -> DataFrame:
@@ -100,10 +123,11 @@ def encode_images(images: DataFrame, image_bytes: DataFrame) -> DataFrame:
     """Image rows with ``blob, mime_type, size_bytes, error``.
 
     ``image_bytes(url, status, content_type, content)`` holds one row per URL.
-    Each wanted image is encoded once, before it is attached to the rows that
-    show it; a logo on very many pages is split by AQE's skew join.
+    Each stored image is encoded once, before it is attached to the rows that
+    show it; a logo on very many pages is split by AQE's skew join. ``images``
+    is read once, so it may be an extraction over raw pages.
     """
-    stored = image_bytes.join(images.select("url"), "url", "left_semi").select(
+    stored = image_bytes.select(
         "url",
         F.col("status").alias("_status"),
         within_image_size(F.col("content")).alias("_fits"),

@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import _TAG_BODY, _COMMENT, RAW_TEXT_ELEMENTS, _raw_text, attribute, decode_entities, start_tags
+from ..functions.reuse import reuse
 from ..functions.urls import (
-    base_parts,
+    base_of,
     explode_positions,
+    host_of,
     hostname,
     is_resource_file,
     is_skipped_href,
+    key_of,
     normalize_url,
     resolve_with_parts,
     url_path,
@@ -30,20 +33,26 @@ def _decoded_path(url: Column) -> Column:
 def link_arrays(pages: DataFrame, keys: list[str], base: str = "url", allowed_host: str | None = None) -> DataFrame:
     """``keys`` and ``links``: followable links of each page, first occurrence
     order, without fragments and duplicates."""
-    host = F.col(allowed_host) if allowed_host else hostname(F.col(base))
-    read = pages.select(
-        *keys,
-        base_parts(F.col(base)).alias("_base"),
-        host.alias("_host"),
-        F.transform(start_tags(F.col("html"), "a"), lambda tag: attribute(tag, "href")).alias("_hrefs"),
-    )
+    host = F.col(allowed_host) if allowed_host else host_of(base)
+    read = pages.select(*keys, base_of(base).alias("_base"), host.alias("_host"), _hrefs().alias("_hrefs"))
+    return read.select(*keys, _followed().alias("links"))
+
+
+@reuse
+def _hrefs() -> Column:
+    return F.transform(start_tags(F.col("html"), "a"), lambda tag: attribute(tag, "href"))
+
+
+@reuse
+def _followed() -> Column:
+    """Links left of ``_hrefs`` on a page with ``_base`` and ``_host``."""
     hrefs = F.array_distinct(F.filter("_hrefs", lambda h: ~is_skipped_href(h)))
     resolved = F.transform(hrefs, lambda h: resolve_with_parts(F.col("_base"), h))
     followed = F.filter(
         resolved,
         lambda u: u.isNotNull() & (hostname(u) == F.col("_host")) & ~is_resource_file(_decoded_path(u)),
     )
-    return read.select(*keys, F.array_distinct(followed).alias("links"))
+    return F.array_distinct(followed)
 
 
 def extract_links(
@@ -52,7 +61,12 @@ def extract_links(
     """One row per followable link: ``keys, page_key, pos, link, link_norm``."""
     arrays = link_arrays(with_page_key(pages), [*keys, "page_key"], base, allowed_host)
     rows = explode_positions(arrays, [*keys, "page_key"], "links", "link")
-    return rows.withColumn("link_norm", normalize_url(F.col("link")))
+    return rows.withColumn("link_norm", key_of("link"))
+
+
+@reuse
+def _norms() -> Column:
+    return F.array_distinct(F.transform("links", lambda u: normalize_url(u)))
 
 
 def crawl_links(pages: DataFrame | None, rendered: DataFrame | None = None) -> DataFrame:
@@ -73,7 +87,7 @@ def crawl_links(pages: DataFrame | None, rendered: DataFrame | None = None) -> D
             "page_key",
             "page_id",
             F.lit(engine).alias("engine"),
-            F.array_distinct(F.transform("links", lambda u: normalize_url(u))).alias("norms"),
+            _norms().alias("norms"),
         )
         parts.append(explode_positions(norms, ["page_key", "page_id", "engine"], "norms", "link_norm"))
     out = parts[0]
@@ -84,15 +98,31 @@ def crawl_links(pages: DataFrame | None, rendered: DataFrame | None = None) -> D
 
 def link_details(pages: DataFrame, base: str = "url") -> DataFrame:
     """Every anchor with its text: ``page_id, pos, href, text, rel, is_internal``."""
-    other = rf"</?[a-z]{_TAG_BODY}>|<[!?/][^>]*+>"
-    anchor = rf"<(a(?=[\s/>]){_TAG_BODY}>.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
-    pattern = f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{anchor}|{other}"
     read = pages.select(
+        "page_id", base_of(base).alias("_base"), host_of(base).alias("_host"), _anchors().alias("_anchors")
+    )
+    kept = read.select("page_id", "_host", _described_links().alias("links"))
+    rows = explode_positions(kept, ["page_id", "_host"], "links", "a")
+    return rows.select(
         "page_id",
-        base_parts(F.col(base)).alias("_base"),
-        hostname(F.col(base)).alias("_host"),
-        F.filter(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), lambda a: a != "").alias("_anchors"),
+        F.col("a.pos").alias("pos"),
+        F.col("a.href").alias("href"),
+        F.col("a.text").alias("text"),
+        F.col("a.rel").alias("rel"),
+        (host_of("a.href") == F.col("_host")).alias("is_internal"),
     )
+
+
+@reuse
+def _anchors() -> Column:
+    other = rf"</?[a-z]{_TAG_BODY}>|<[!?/][^>]*+>"
+    anchor = rf"<(a(?=[\s/>]){_TAG_BODY}>.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
+    pattern = f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{anchor}|{other}"
+    return F.filter(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), lambda a: a != "")
+
+
+@reuse
+def _described_links() -> Column:
     read_tags = F.transform(
         "_anchors",
         lambda a: F.struct(
@@ -118,13 +148,4 @@ def link_details(pages: DataFrame, base: str = "url") -> DataFrame:
             a.rel.alias("rel"),
         ),
     )
-    kept = read.select("page_id", "_host", F.filter(resolved, lambda a: a.href.isNotNull()).alias("links"))
-    rows = explode_positions(kept, ["page_id", "_host"], "links", "a")
-    return rows.select(
-        "page_id",
-        F.col("a.pos").alias("pos"),
-        F.col("a.href").alias("href"),
-        F.col("a.text").alias("text"),
-        F.col("a.rel").alias("rel"),
-        (hostname(F.col("a.href")) == F.col("_host")).alias("is_internal"),
-    )
+    return F.filter(resolved, lambda a: a.href.isNotNull())

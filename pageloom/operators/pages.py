@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import needs_dynamic
 from ..functions.requests import mode_error
-from ..functions.urls import normalize_url
+from ..functions.reuse import reuse
+from ..functions.urls import key_of
 
 # Engine names written into result metadata.
 ENGINE_NAMES = {"static": "colly", "dynamic": "chromedp"}
@@ -17,7 +18,7 @@ NOT_FOUND = "page not found"
 
 
 def with_page_key(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("page_key", normalize_url(F.col("url")))
+    return pages.withColumn("page_key", key_of("url"))
 
 
 def _with_id(rendered: DataFrame) -> DataFrame:
@@ -29,16 +30,21 @@ def _with_id(rendered: DataFrame) -> DataFrame:
     return rendered.withColumn("page_id", F.xxhash64("url", "html", "error"))
 
 
-def _static_flags(pages: DataFrame) -> DataFrame:
+@reuse
+def _static_columns() -> tuple[Column, ...]:
     html = F.coalesce(F.col("html"), F.lit(""))
-    return with_page_key(pages).select(
-        "page_key",
+    return (
+        F.col("page_key"),
         F.col("page_id").alias("static_id"),
         F.when(html == "", F.lit("empty response")).alias("static_error"),
         needs_dynamic(html).alias("needs_dynamic"),
     )
 
 
+def _static_flags(pages: DataFrame) -> DataFrame:
+    return with_page_key(pages).select(*_static_columns())
+
+
 def _dynamic_flags(rendered: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     return with_page_key(_with_id(rendered)).select(
@@ -101,6 +107,26 @@ def page_index(pages: DataFrame | None, rendered: DataFrame | None = None) -> Da
     )
 
 
+@reuse
+def choice_for(static_missing: str, dynamic_missing: str) -> Column:
+    """``choose_engine`` for rows left-joined with a page index; a row without
+    index entry gets the missing errors."""
+    absent = F.col("has_static").isNull() & F.col("has_dynamic").isNull()
+    return choose_engine(
+        F.col("mode"),
+        F.col("screenshot"),
+        F.when(absent, F.lit(static_missing)).otherwise(F.col("static_error")),
+        F.coalesce(F.col("needs_dynamic"), F.lit(False)),
+        F.when(absent, F.lit(dynamic_missing)).otherwise(F.col("dynamic_error")),
+    )
+
+
+@reuse
+def chosen_page_id() -> Column:
+    engine = F.col("_choice.engine")
+    return F.when(engine == STATIC, F.col("static_id")).when(engine == DYNAMIC, F.col("dynamic_id"))
+
+
 def missing_errors(pages: DataFrame | None, rendered: DataFrame | None) -> tuple[str, str]:
     """Errors of the two engines for a URL that is in no table."""
     return (
@@ -161,7 +187,7 @@ def documents_of(needed: DataFrame, pages: DataFrame | None, rendered: DataFrame
 def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """URL rows with the HTML of their snapshot, or an error."""
     index = page_index(pages).select("page_key", "static_id", "static_error", "has_static")
-    asked = urls.withColumn("page_key", normalize_url(F.col("url")))
+    asked = urls.withColumn("page_key", key_of("url"))
     found = asked.join(index, "page_key", "left").withColumn(
         "error", F.when(F.col("has_static").isNull(), F.lit(NOT_FOUND)).otherwise(F.col("static_error"))
     )

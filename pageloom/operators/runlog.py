@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 # The order in which queues are searched.
 QUEUE_ORDER = ("default", "critical", "low")
 
@@ -57,28 +59,14 @@ def queue_depth(log: DataFrame, ts: str = "ts", state: str = "state", every: str
 def request_metrics(
     log: DataFrame, ts: str = "ts", latency: str = "latency_ms", failed: str = "failed", every: str = "5 minutes"
 ) -> DataFrame:
-    """Error rate and latency percentiles per window.
-
-    Percentiles are exact: the built-in keeps a count per distinct value and
-    merges them map-side, so state follows distinct latencies, not rows.
-    """
-    quantiles = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return (
-        log.groupBy(F.window(ts, every))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            (F.count_if(F.col(failed)) / F.count(F.lit(1))).alias("error_rate"),
-            quantiles.alias("q"),
-        )
-        .select(
-            F.col("window.start").alias("window_start"),
-            "n",
-            "error_rate",
-            F.get("q", F.lit(0)).alias("p50"),
-            F.get("q", F.lit(1)).alias("p95"),
-            F.get("q", F.lit(2)).alias("p99"),
-        )
+    """Error rate and exact latency percentiles per window; a window may hold
+    any share of the log."""
+    rows = log.select(F.window(ts, every)["start"].alias("window_start"), failed, latency)
+    counts = rows.groupBy("window_start").agg(
+        F.count(F.lit(1)).alias("n"), (F.count_if(F.col(failed)) / F.count(F.lit(1))).alias("error_rate")
     )
+    quantiles = exact_quantiles(rows, "window_start", latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return counts.join(quantiles, "window_start", "left")
 
 
 def classify_error(message: Column) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import markdown
 from ..functions.requests import cache_key, mark_cached, metadata_map, resolve_mode
-from ..functions.urls import normalize_url
+from ..functions.urls import key_of
 from .cache import lookup_cache
 from .images import image_arrays
-from .pages import ENGINE_NAMES, choose_engine, documents_of, missing_errors, page_index
+from .pages import ENGINE_NAMES, choice_for, chosen_page_id, documents_of, missing_errors, page_index
 
 IMAGE_LIST = "array<struct<url:string,alt:string,title:string,source:string>>"
 RESULT_COLUMNS = ("url", "markdown", "html", "metadata", "images")
@@ -28,7 +28,7 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
             "mode": resolve_mode(flag("render"), mode),
             "screenshot": flag("screenshot"),
             "images": flag("images"),
-            "page_key": normalize_url(F.col("url")),
+            "page_key": key_of("url"),
         }
     ).withColumn(
         "cache_key", cache_key(F.col("url"), F.col("mode"), F.col("screenshot"), F.col("images"))
@@ -51,23 +51,13 @@ def decide(
     request. Works on the narrow index only; pass a stored one if there is one."""
     index = page_index(pages, rendered) if index is None else index
     static_missing, dynamic_missing = missing_errors(pages, rendered)
-    unknown = F.col("static_error").isNull() & F.col("dynamic_error").isNull() & F.col("has_static").isNull()
     found = requests.join(index, "page_key", "left")
-    choice = choose_engine(
-        F.col("mode"),
-        F.col("screenshot"),
-        F.when(unknown, F.lit(static_missing)).otherwise(F.col("static_error")),
-        F.coalesce(F.col("needs_dynamic"), F.lit(False)),
-        F.when(unknown, F.lit(dynamic_missing)).otherwise(F.col("dynamic_error")),
-    )
-    return found.withColumn("_choice", choice).select(
+    return found.withColumn("_choice", choice_for(static_missing, dynamic_missing)).select(
         *requests.columns,
         F.col("_choice.engine").alias("engine"),
         F.col("_choice.error").alias("error"),
         F.col("_choice.cacheable").alias("cacheable"),
-        F.when(F.col("_choice.engine") == "static", F.col("static_id"))
-        .when(F.col("_choice.engine") == "dynamic", F.col("dynamic_id"))
-        .alias("page_id"),
+        chosen_page_id().alias("page_id"),
     )
 
 
@@ -85,8 +75,8 @@ def scrape(
 
     ``requests(request_id, url, render, mode, screenshot, images[, ts])``;
     rows found in ``cache`` are answered from it. Every needed document is
-    converted once; results are then attached by key, where AQE's skew join
-    splits pages that very many requests ask for.
+    converted once; results are attached in the last join, where AQE's skew
+    join splits pages that very many requests ask for.
 
     Adds ``engine, error, cacheable, cached`` and the result columns.
     """
@@ -98,7 +88,10 @@ def scrape(
         answered = lookup_cache(asked.withColumn("_at", at), cache, "request_id", "_at").drop("_at")
         hits = answered.filter(F.col("result").isNotNull())
         open_requests = answered.filter(F.col("result").isNull()).drop("result", "cached_at")
-    decided = decide(open_requests, pages, rendered, index)
+    # What is asked of a page has few forms, so deciding on distinct forms keeps
+    # a page that very many requests want from gathering in one task.
+    forms = open_requests.select("page_key", "mode", "screenshot").distinct()
+    decided = decide(forms, pages, rendered, index)
     needed = decided.filter(F.col("error").isNull()).select("page_key", "engine", "page_id").distinct()
     documents = documents_of(needed, pages, rendered)
     converted = documents.withColumn("markdown", markdown(F.col("html")))
@@ -109,7 +102,8 @@ def scrape(
         )
     else:
         converted = converted.withColumn("page_images", F.lit(None).cast(IMAGE_LIST))
-    joined = decided.join(converted, ["page_key", "engine"], "left")
+    answers = decided.join(converted, ["page_key", "engine"], "left")
+    joined = open_requests.join(answers, ["page_key", "mode", "screenshot"], "left")
     engine_name = F.create_map(*[F.lit(x) for pair in ENGINE_NAMES.items() for x in pair])
     ok = F.col("error").isNull()
     fresh = joined.select(

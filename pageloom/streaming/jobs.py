@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.requests import mark_cached
 from ..operators.cache import TTL_SECONDS, cache_hit_flags
 from ..operators.crawl import crawl
 from ..operators.runlog import queue_depth
@@ -114,7 +115,9 @@ def stream_cached_scrape(
         entries = cache_rows(fresh.join(misses, "request_id", "left_semi"), F.col("ts"))
         entries.write.mode("overwrite").parquet(_batch_path(cache_dir, batch_id))
         repeats = flagged.filter("cache_hit").select("request_id")
-        again = fresh.join(repeats, "request_id", "left_semi").withColumn("cached", F.lit(True))
+        again = fresh.join(repeats, "request_id", "left_semi").withColumns(
+            {"cached": F.lit(True), "metadata": mark_cached(F.col("metadata"))}
+        )
         rest = fresh.join(repeats, "request_id", "left_anti")
         hits.unionByName(again).unionByName(rest).write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
