@@ -150,7 +150,7 @@ def encode_images(images: DataFrame, image_bytes: DataFrame) -> DataFrame:
         F.when(~is_valid_image_url(F.col("url")), F.concat(F.lit("invalid image URL: "), F.col("url")))
         .when(F.col("_status").isNull(), F.lit("fetch failed: no stored response"))
         .when(F.col("_status") != 200, F.concat(F.lit("fetch returned status "), F.col("_status").cast("string")))
-        .when(~F.col("_fits"), F.lit(f"image exceeded size limit ({MAX_IMAGE_BYTES} bytes max)"))
+        .when(~F.coalesce("_fits", F.lit(False)), F.lit(f"image exceeded size limit ({MAX_IMAGE_BYTES} bytes max)"))
     )
     ok = F.col("error").isNull()
     return joined.withColumn("error", error).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.predicates import MAX_IMAGE_BYTES
 from ..functions.requests import summary_line
 from ..operators.pages import with_page_key
 
@@ -75,14 +76,23 @@ def summaries(results: DataFrame) -> DataFrame:
 
 
 def read_image_files(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
-    """Stored image files as ``image_bytes``; files over the cap are not read."""
+    """Stored image files as ``image_bytes``. Files over the cap keep their row
+    but their bytes are never read: the length is known from the listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.concat(F.lit(url_prefix), F.element_at(F.split("path", "/"), -1)).alias("url"),
-        F.lit(200).alias("status"),
-        F.lit(None).cast("string").alias("content_type"),
-        "content",
-    )
+
+    def rows(kept, content):
+        return files.filter(kept).select(
+            F.concat(F.lit(url_prefix), F.element_at(F.split("path", "/"), -1)).alias("url"),
+            F.lit(200).alias("status"),
+            F.lit(None).cast("string").alias("content_type"),
+            content.alias("content"),
+        )
+
+    fits = F.col("length") <= MAX_IMAGE_BYTES
+    return rows(fits, F.col("content")).unionByName(rows(~fits, F.lit(None).cast("binary")))
 
 
-PAGE_SCHEMA = schemas.PAGE
+def pages_from(urls: DataFrame, producer) -> DataFrame:
+    """Pages made by a caller's function over batches of URL rows: it takes and
+    gives iterators of pandas frames shaped like the page table."""
+    return urls.mapInPandas(producer, schemas.PAGE)

@@ -34,6 +34,15 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(tuple(canonical(row[i]) for i in order) for row in rows)
 
 
+# Spark type names by SQL type names.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double", "HUGEINT": "bigint"}
+
+
+def type_gaps(df, description) -> list[str]:
+    want = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in description}
+    return [f"{name}: {kind} != {want[name]}" for name, kind in df.dtypes if want.get(name) != kind]
+
+
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     start = time.time()
     df = QUERIES[name](spark, folder)
@@ -43,10 +52,14 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
         return True, f"{len(got[1])} rows, no SQL, {spent:.1f}s"
     start = time.time()
     cur = con.execute(ORACLES[name])
-    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    description = cur.description
+    want = rows_of([d[0] for d in description], cur.fetchall())
     sql = time.time() - start
     if got[0] != want[0]:
         return False, f"columns {got[0]} != {want[0]}"
+    gaps = type_gaps(df, description)
+    if gaps:
+        return False, f"types {gaps}"
     if got[1] != want[1]:
         extra, lacking = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
         return False, (
