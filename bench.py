@@ -14,6 +14,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from pageloom.plans import QUERIES  # noqa: E402
 from pageloom.session import build_session  # noqa: E402
 
@@ -60,14 +63,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     pages = spark.read.parquet(f"{folder}/pages.parquet").count()
     times: dict[str, float] = {}
+    rows: dict[str, int] = {}
     for name in names:
         best = None
         for _ in range(runs):
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            seen = Observation()
+            result = QUERIES[name](spark, folder).observe(seen, F.count(F.lit(1)).alias("n"))
+            result.write.format("noop").mode("overwrite").save()
             spent = time.perf_counter() - start
             best = spent if best is None else min(best, spent)
         times[name] = round(best, 3)
+        rows[name] = seen.get["n"]
         print(f"{name} {best:.2f}s", file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     scale = os.path.basename(folder).removeprefix("sf")
@@ -80,11 +87,8 @@ def main() -> None:
                 "queries": times,
                 "sf": float(scale) if scale.replace(".", "").isdigit() else scale,
                 "pages": pages,
-                "pages_per_sec": {
-                    n: round(pages / times[n], 1)
-                    for n in ("link_table", "image_list", "page_markdown", "scrape_results", "crawl_pages")
-                    if n in times
-                },
+                "rows": rows,
+                "rows_per_sec": {n: round(rows[n] / times[n], 1) for n in times},
             }
         )
     )

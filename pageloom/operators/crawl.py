@@ -79,11 +79,12 @@ def _counters() -> dict:
     }
 
 
-def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
+def _admit(level: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
     """Next frontier: links of the level's pages in page and link order, each
-    admitted once and only while a place is open."""
+    admitted once and only while a place is open. The depth is read from the
+    rows, so every level runs the same generated code."""
     open_pages = level.filter(
-        F.col("error").isNull() & (F.lit(depth) < F.col("maxDepth")) & (F.col("cap") > 0)
+        F.col("error").isNull() & (F.col("depth") < F.col("maxDepth")) & (F.col("cap") > 0)
     ).select("spec_id", "seq", "cap", F.col("url").alias("page_key"), "engine", "page_id")
     candidates = open_pages.join(links, ["page_key", "engine", "page_id"]).select(
         "spec_id", "cap", "seq", "pos", F.col("link_norm").alias("url")
@@ -99,13 +100,20 @@ def _admit(level: DataFrame, links: DataFrame, visited: DataFrame, depth: int) -
     folded = ordered.select("spec_id", _fold().alias("admitted"))
     admitted = explode_positions(folded, ["spec_id"], "admitted", "next")
     state = level.filter("leads").select(
-        "spec_id", "mode", "screenshot", "maxDepth", "limit", F.col("done_after").alias("done"), "last_seq"
+        "spec_id",
+        "mode",
+        "screenshot",
+        "maxDepth",
+        "limit",
+        (F.col("depth") + 1).alias("depth"),
+        F.col("done_after").alias("done"),
+        "last_seq",
     )
     return admitted.join(state, "spec_id").select(
         "spec_id",
         (F.col("last_seq") + 1 + F.col("pos")).cast("int").alias("seq"),
         F.col("next.url").alias("url"),
-        F.lit(depth + 1).alias("depth"),
+        "depth",
         F.col("next.parent_seq").alias("parent_seq"),
         "mode",
         "screenshot",
@@ -177,7 +185,7 @@ def crawl(
             break
         levels.append(level)
         visited = _union(levels).select("spec_id", "url")
-        frontier = _admit(level, links, visited, depth)
+        frontier = _admit(level, links, visited)
     if not levels:
         levels = [level]
     pages = _union(levels).select("spec_id", *OUTPUT[1:])

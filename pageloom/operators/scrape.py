@@ -102,8 +102,9 @@ def scrape(
         )
     else:
         converted = converted.withColumn("page_images", F.lit(None).cast(IMAGE_LIST))
-    answers = decided.join(converted, ["page_key", "engine"], "left")
-    joined = open_requests.join(answers, ["page_key", "mode", "screenshot"], "left")
+    joined = open_requests.join(decided.drop("page_id"), ["page_key", "mode", "screenshot"], "left").join(
+        converted, ["page_key", "engine"], "left"
+    )
     engine_name = F.create_map(*[F.lit(x) for pair in ENGINE_NAMES.items() for x in pair])
     ok = F.col("error").isNull()
     fresh = joined.select(
