@@ -5,7 +5,7 @@ long tags cannot exhaust the stack."""
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,24 +66,28 @@ def _entity_table() -> str:
     numbers are read as windows-1252, as browsers do."""
     table = {name: code for name, code in name2codepoint.items()}
     table["apos"] = ord("'")
+    table.update({name: ord(char) for name, char in html5.items() if not name.endswith(";")})
     for code in range(0x80, 0xA0):
         table[f"#{code}"] = ord(bytes([code]).decode("cp1252", errors="replace"))
     return ",".join(f"{name}:{code}" for name, code in table.items())
 
 
 _ENTITIES = _entity_table()
-_REFERENCE = r"^&(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,7}|[A-Za-z][A-Za-z0-9]{0,31})"
+_NUMBER = r"^&#([0-9]{1,8}|[xX][0-9A-Fa-f]{1,7})"
+# Names that may stand without a semicolon, longest first.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def _codepoint(name: Column) -> Column:
+def _named_code(name: Column) -> Column:
     table = F.str_to_map(F.lit(_ENTITIES), F.lit(","), F.lit(":"))
-    number = F.when(
-        name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10).try_cast("bigint")
-    ).otherwise(F.substring(name, 2, 9).try_cast("bigint"))
-    key = F.when(name.startswith("#"), F.concat(F.lit("#"), number.cast("string"))).otherwise(name)
-    return F.coalesce(
-        F.try_element_at(table, key).try_cast("bigint"), F.when(name.startswith("#"), number)
-    )
+    return F.try_element_at(table, name).try_cast("bigint")
+
+
+def _numeric_code(number: Column) -> Column:
+    code = F.when(
+        number.rlike("^[xX]"), F.conv(F.substring(number, 2, 8), 16, 10).try_cast("bigint")
+    ).otherwise(number.try_cast("bigint"))
+    return _let(code, lambda c: F.coalesce(_named_code(F.concat(F.lit("#"), c.cast("string"))), c))
 
 
 def _character(code: Column) -> Column:
@@ -94,25 +98,40 @@ def _character(code: Column) -> Column:
 
 
 def decode_entities(text: Column, in_attribute: bool = False) -> Column:
-    """Character references to characters; text without ``&`` is untouched."""
+    """Character references to characters; text without ``&`` is untouched.
+
+    Some old names count without a semicolon too, and then as the longest
+    prefix; in an attribute only if no letter, digit or ``=`` follows.
+    """
+    bare = rf"^&({_BARE_NAMES})" + (r"(?![A-Za-z0-9=])" if in_attribute else "")
+
+    def replaced(p: Column, code: Column, consumed: Column) -> Column:
+        rest = F.substring(p, consumed + 1, F.length(p))
+        return F.concat(_character(code), F.regexp_replace(rest, "^;", ""))
+
+    def numeric(p: Column) -> Column:
+        return _let(
+            F.regexp_extract(p, _NUMBER, 1),
+            lambda n: F.when(n == "", p).otherwise(replaced(p, _numeric_code(n), F.length(n) + 2)),
+        )
+
+    def named(p: Column) -> Column:
+        def choose(names: Column) -> Column:
+            code = _named_code(names.getField("closed"))
+            return (
+                F.when(code.isNotNull(), replaced(p, code, F.length(names.getField("closed")) + 1))
+                .when(names.getField("bare") == "", p)
+                .otherwise(replaced(p, _named_code(names.getField("bare")), F.length(names.getField("bare")) + 1))
+            )
+
+        found = F.struct(
+            F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]{0,31});", 1).alias("closed"),
+            F.regexp_extract(p, bare, 1).alias("bare"),
+        )
+        return _let(found, choose)
 
     def piece(p: Column) -> Column:
-        def with_name(name: Column) -> Column:
-            def with_code(code: Column) -> Column:
-                rest = F.substring(p, F.length(name) + 2, F.length(p))
-                closed = rest.startswith(";")
-                tail = F.when(closed, F.substring(rest, 2, 1 << 30)).otherwise(rest)
-                bare_ok = name.startswith("#") | (code < 256)
-                if in_attribute:
-                    bare_ok = name.startswith("#") | ((code < 256) & ~rest.startswith("="))
-                usable = code.isNotNull() & (closed | bare_ok)
-                return F.when(usable, F.concat(_character(code), tail)).otherwise(p)
-
-            return F.when(name == "", p).otherwise(_let(_codepoint(name), with_code))
-
-        return F.when(
-            p.startswith("&"), _let(F.regexp_extract(p, _REFERENCE, 1), with_name)
-        ).otherwise(p)
+        return F.when(p.startswith("&#"), numeric(p)).when(p.startswith("&"), named(p)).otherwise(p)
 
     decoded = F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")
     return F.when(text.contains("&"), decoded).otherwise(text)

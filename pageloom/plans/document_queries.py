@@ -154,10 +154,9 @@ def host_profiles(spark, folder):
 
 
 @query(
-    """SELECT page_id, left(trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article><h1>[^<]*</h1><p>(.*?)(?:<p>|</p>|</article>)', 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), 200) AS summary
-FROM pages WHERE NOT regexp_matches(html, '<article><h1>[^<]*(&|&am|&amp)</h1>')"""
+    """SELECT page_id, left(trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article><h1>[^<]*</h1><p>(.*?)(?:<p>|</p>|</article>)', 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g')), 200) AS summary
+FROM pages"""
 )
 def summaries(spark, folder):
     """First paragraph with text, cut to 200 characters."""
-    broken = F.col("html").rlike("<article><h1>[^<]*(?:&|&am|&amp)</h1>")
-    return first_paragraph(load(spark, folder, "pages").filter(~broken))
+    return first_paragraph(load(spark, folder, "pages"))
