@@ -50,8 +50,13 @@ def lookup_cache(
     """Requests with ``cached_at`` and ``result`` (NULL on a miss). Results are
     attached last, after the narrow match."""
     hit = match_cache(requests, cache, id_column, ts_column, ttl)
+    return with_results(requests.join(hit, [id_column, "cache_key"], "left"), cache)
+
+
+def with_results(matched: DataFrame, cache: DataFrame) -> DataFrame:
+    """Attach ``result`` by ``cache_key`` and ``cached_at``."""
     store = cache.dropDuplicates(["cache_key", "cached_at"]).select("cache_key", "cached_at", "result")
-    return requests.join(hit, [id_column, "cache_key"], "left").join(store, ["cache_key", "cached_at"], "left")
+    return matched.join(store, ["cache_key", "cached_at"], "left")
 
 
 def cache_anchors(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import markdown
 from ..functions.requests import cache_key, mark_cached, metadata_map, resolve_mode
 from ..functions.urls import key_of
-from .cache import lookup_cache
+from .cache import match_cache, with_results
 from .images import image_arrays
 from .pages import ENGINE_NAMES, choice_for, chosen_page_id, documents_of, missing_errors, page_index
 
@@ -85,9 +85,11 @@ def scrape(
     open_requests = asked
     hits = None
     if cache is not None:
-        answered = lookup_cache(asked.withColumn("_at", at), cache, "request_id", "_at").drop("_at")
-        hits = answered.filter(F.col("result").isNotNull())
-        open_requests = answered.filter(F.col("result").isNull()).drop("result", "cached_at")
+        # The match is narrow; stored results are attached to hits alone.
+        found = match_cache(asked.withColumn("_at", at), cache, "request_id", "_at")
+        matched = asked.join(found, ["request_id", "cache_key"], "left")
+        hits = with_results(matched.filter(F.col("cached_at").isNotNull()), cache)
+        open_requests = matched.filter(F.col("cached_at").isNull()).drop("cached_at")
     # What is asked of a page has few forms, so deciding on distinct forms keeps
     # a page that very many requests want from gathering in one task.
     forms = open_requests.select("page_key", "mode", "screenshot").distinct()
