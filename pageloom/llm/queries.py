@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, simhash
+from . import bpe, gam, simhash
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,21 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"), shingle=3, max_bits=2)
+
+
+def vocabulary_path() -> str:
+    """The vocabulary of the queries; it is read where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), vocabulary_path())
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
