@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import gam, simhash
+from pageloom.llm import decontaminate, gam, simhash
 from pageloom.llm.common import table
 from pageloom.session import scratch_path
 
@@ -19,9 +19,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_near_duplicates(docs, shingle=3, max_bits=2)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover less than half of every benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
 ]
 
 #: Quality scores, tiling and token ids have no SQL form; tests hold the stages against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, html_blocks, simhash
+from . import bpe, decontaminate, gam, html_blocks, simhash
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.benchmark_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op5_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
