@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageloom.llm import decontaminate, gam, simhash
+from pageloom.llm import bpe, decontaminate, gam, secrets, simhash
 from pageloom.llm.common import table
+from pageloom.llm.queries import vocabulary_path
 from pageloom.session import scratch_path
 
 
@@ -24,10 +26,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    forest = secrets.train_forest(secrets.labelled_findings(spark))
+    return secrets.redact_secrets(docs, forest, path=F.col("source"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and whether they decode to its text."""
+    coded = bpe.encode_documents(docs, vocabulary_path())
+    same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact")
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", same)
+
+
 STAGES = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("encoding", encoding),
 ]
 
 #: Quality scores, tiling and token ids have no SQL form; tests hold the stages against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gam, html_blocks, simhash
+from . import bpe, decontaminate, gam, html_blocks, secrets, simhash
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings; of the table's columns ``source`` says most about where a text was found."""
+    forest = secrets.train_forest(secrets.labelled_findings(spark))
+    return secrets.scan_secrets(table(spark, folder, "documents"), forest, path=F.col("source"))
+
+
 @query()
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
