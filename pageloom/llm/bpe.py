@@ -13,6 +13,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 from collections import Counter
@@ -24,17 +25,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import bound_batches, whole_text
 
 # Fixed value: how byte-level BPE splits text into words before any merge.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+# The same for texts of ASCII alone.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+
 LEXICON = 65_536  # words compiled; only speed depends on it
-MEMO = 200_000  # words a task remembers
+MEMO = 250_000  # words in each of the two generations that a task remembers
 SHORT = 48  # symbols up to which a word is merged by scanning
 NEVER = 1 << 60
 
 
+def splitter():
+    """A function that splits a text into its words."""
+    every, ascii_only = regex.compile(WORDS).findall, re.compile(ASCII_WORDS, re.ASCII).findall
+    return lambda text: ascii_only(text) if text.isascii() else every(text)
+
+
 def byte_symbols() -> list[str]:
     """The printable symbol that stands for each byte in vocabulary files:
     itself where it prints, else the next code point from 256 on."""
@@ -211,16 +222,19 @@ class Codec(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words = regex.compile(WORDS).findall
+        self.words, self.older = splitter(), {}
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(raw) if self.lexicon else None
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.vocabulary.merge(raw)
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = self.lexicon.get(raw) if self.lexicon else None
+            if ids is None:
+                ids = self.vocabulary.merge(raw)
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
@@ -246,7 +260,7 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     bound_batches(documents.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, seen = regex.compile(WORDS).findall, Counter()
+        find, seen = splitter(), Counter()
         for frame in frames:
             for text in frame["text"]:
                 seen.update(find(text))
@@ -260,9 +274,23 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(documents: DataFrame, size: int = LEXICON, text_col: str = "text") -> list[str]:
-    """The ``size`` most frequent words of all texts, at most 64 characters long."""
-    top = word_counts(documents, text_col).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.select("word").collect()]
+    """The most frequent words of all texts, at most 64 characters long.
+
+    As many as have a count above the level at which there would be more than
+    ``size``. Levels are logarithmic, so that their table is small whatever
+    the corpus, and only chosen words come to the driver.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    counts = materialize(word_counts(documents, text_col).withColumn("level", level), "words")
+    held, least = 0, None
+    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += row["count"]
+        if held > size:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    return [r.word for r in counts.filter(F.col("level") >= least).select("word").collect()]
 
 
 def read_vocabulary(path: str) -> str:
