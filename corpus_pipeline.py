@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontaminate, gam, secrets, simhash
+from pageloom.llm import bpe, decontaminate, gam, secret_scan, simhash
 from pageloom.llm.common import table
 from pageloom.llm.queries import vocabulary_path
 from pageloom.session import scratch_path
@@ -26,10 +26,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked."""
-    forest = secrets.train_forest(secrets.labelled_findings(spark))
-    return secrets.redact_secrets(docs, forest, path=F.col("source"))
+    forest = secret_scan.train_forest(secret_scan.labelled_findings(spark))
+    return secret_scan.redact_secrets(docs, forest, path=F.col("source"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
+    ("secret_scan", masked_secrets),
     ("encoding", encoding),
 ]
 

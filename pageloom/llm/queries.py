@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gam, html_blocks, secrets, simhash
+from . import bpe, decontaminate, gam, html_blocks, secret_scan, simhash, winnowing
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,8 +29,8 @@ def query(sql: str | None = None):
 @query()
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """The findings; of the table's columns ``source`` says most about where a text was found."""
-    forest = secrets.train_forest(secrets.labelled_findings(spark))
-    return secrets.scan_secrets(table(spark, folder, "documents"), forest, path=F.col("source"))
+    forest = secret_scan.train_forest(secret_scan.labelled_findings(spark))
+    return secret_scan.scan_secrets(table(spark, folder, "documents"), forest, path=F.col("source"))
 
 
 @query()
@@ -73,3 +73,8 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, folder, "documents"))
