@@ -18,6 +18,7 @@ import struct
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -35,11 +36,15 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 LEXICON = 65_536  # words compiled; only speed depends on it
-MEMO = 250_000  # words in each of the two generations that a task remembers
+MEMO = 250_000  # results in each of the two generations that a task remembers
 SHORT = 48  # symbols up to which a word is merged by scanning
 NEVER = 1 << 60
 
 
+# White space that keeps a text from being cut at its spaces: any but spaces and line ends, or two in a row.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n] | \n|^ | $").search
+
+
 def splitter():
     """A function that splits a text into its words."""
     every, ascii_only = regex.compile(WORDS).findall, re.compile(ASCII_WORDS, re.ASCII).findall
@@ -73,13 +78,12 @@ class Vocabulary:
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in added}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
-        self.ranks: dict[int, int] = {}
+        self.ranks: list[dict[int, int]] = [{} for _ in range(1 + max(ids.values()))]
         self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(ids[a] << 32 | ids[b], rank)
+            self.ranks[ids[a]].setdefault(ids[b], rank)
             self.merged.append(ids[a + b])
-        self.names = {i: str(i) for i in self.bytes_of}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: the pair of lowest rank, the leftmost of equals, is merged until none is left."""
@@ -87,8 +91,8 @@ class Vocabulary:
         return tuple(self._scan(ids) if len(ids) <= SHORT else self._heap(ids))
 
     def _scan(self, ids: list[int]) -> list[int]:
-        rank = self.ranks.get
-        pairs = [rank(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        ranks = self.ranks
+        pairs = [ranks[a].get(b, NEVER) for a, b in zip(ids, ids[1:])]
         while pairs:
             best = min(pairs)
             if best == NEVER:
@@ -97,9 +101,9 @@ class Vocabulary:
             ids[i : i + 2] = [self.merged[best]]
             del pairs[i]
             if i:
-                pairs[i - 1] = rank(ids[i - 1] << 32 | ids[i], NEVER)
+                pairs[i - 1] = ranks[ids[i - 1]].get(ids[i], NEVER)
             if i < len(pairs):
-                pairs[i] = rank(ids[i] << 32 | ids[i + 1], NEVER)
+                pairs[i] = ranks[ids[i]].get(ids[i + 1], NEVER)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
@@ -109,7 +113,7 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (r := self.ranks.get(ids[i] << 32 | ids[j])) is not None:
+            if j >= 0 and (r := self.ranks[ids[i]].get(ids[j])) is not None:
                 heap.append((r, i, ids[i], ids[j])) if building else heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         building = True
@@ -187,6 +191,9 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
     return head + b"".join(struct.pack(f"<{len(t)}i", *t) for t in tables) + bytes(labels)
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Lexicon:
     """Look-ups in a compiled transducer that is mapped into memory."""
 
@@ -205,49 +212,82 @@ class Lexicon:
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, index, base, find = self.root, 0, self.labels, self.map.find
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + self.first[state], base + self.first[state + 1]) - base
+        first, skips, targets = self.first, self.skips, self.targets
+        for byte in word:
+            arc = find(_BYTES[byte], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
-            index += self.skips[arc]
-            state = self.targets[arc]
+            index += skips[arc]
+            state = targets[arc]
         if not self.final[state]:
             return None
         return tuple(self.ids[self.ends[index] : self.ends[index + 1]])
 
 
-class Codec(dict):
-    """Encodes and decodes texts; as a dictionary it remembers the ids of words."""
+class Memo(dict):
+    """Remembers the latest results of a function, between ``MEMO`` and twice as many."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+    def __init__(self, make):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words, self.older = splitter(), {}
-        names = sorted(vocabulary.special, key=len, reverse=True)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word)
-        if ids is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids = self.lexicon.get(raw) if self.lexicon else None
-            if ids is None:
-                ids = self.vocabulary.merge(raw)
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= MEMO:
             self.older = dict(self)
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+class Codec:
+    """Encodes and decodes texts, and remembers the ids of words and of stretches between spaces."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+        self.vocabulary, self.lexicon, self.split = vocabulary, lexicon, splitter()
+        self.words = Memo(self._word)
+        self.stretches = Memo(self._stretch)
+        self.specials = list(vocabulary.special)
+        names = sorted(self.specials, key=len, reverse=True)
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = self.lexicon.get(raw) if self.lexicon else None
+        return self.vocabulary.merge(raw) if ids is None else ids
+
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        """What stands between two spaces, with the first of them."""
+        one_word = stretch.isascii() and stretch.isalpha()
+        return self._word(" " + stretch) if one_word else self._plain(" " + stretch)
+
+    def _plain(self, text: str) -> tuple[int, ...]:
+        words = self.words
+        return tuple(chain.from_iterable([words[w] for w in self.split(text)]))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; the strings of special tokens stand for their ids."""
-        out: list[int] = []
-        for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            if i % 2:
-                out.append(self.vocabulary.special[part])
-            else:
-                out.extend(chain.from_iterable([self[w] for w in self.words(part)]))
+        """Ids of a text; the strings of special tokens stand for their ids.
+
+        A space between two characters that are no white space always begins a
+        word, so that what lies between such spaces may be encoded on its own.
+        """
+        if any(name in text for name in self.specials):
+            out: list[int] = []
+            for i, part in enumerate(self.special_split(text)):
+                out += [self.vocabulary.special[part]] if i % 2 else self._between(part)
+            return out
+        return self._between(text)
+
+    def _between(self, text: str) -> list[int]:
+        if _UNEVEN(text):
+            return list(self._plain(text))
+        first, *others = text.split(" ")
+        stretches = self.stretches
+        out = list(self._plain(first))
+        out.extend(chain.from_iterable([stretches[s] for s in others]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -255,33 +295,33 @@ class Codec(dict):
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): how often each word of the split occurs in all texts."""
+def stretch_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """(stretch, n): how often each run without white space occurs in all texts."""
     bound_batches(documents.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, seen = splitter(), Counter()
+        seen: Counter = Counter()
         for frame in frames:
             for text in frame["text"]:
-                seen.update(find(text))
+                seen.update(text.split())
                 if len(seen) > MEMO:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())})
 
-    rows = documents.select(whole_text(text_col).alias("text")).mapInPandas(count, "word string, n bigint")
-    return rows.filter(F.length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = documents.select(whole_text(text_col).alias("text")).mapInPandas(count, "stretch string, n bigint")
+    return rows.filter(F.length("stretch") <= 64).groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(documents: DataFrame, size: int = LEXICON, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, at most 64 characters long.
+def frequent_words(documents: DataFrame, size: int = LEXICON, text_col: str = "text") -> set[str]:
+    """The words of the most frequent stretches of all texts, with a space in front and without.
 
-    As many as have a count above the level at which there would be more than
-    ``size``. Levels are logarithmic, so that their table is small whatever
-    the corpus, and only chosen words come to the driver.
+    Stretches are taken down to the level of the count at which there would be
+    more than ``size``. Levels are logarithmic, so that their table is small
+    whatever the corpus, and only what is chosen comes to the driver.
     """
     level = F.floor(F.log2("n") * 16).cast("int")
-    counts = materialize(word_counts(documents, text_col).withColumn("level", level), "words")
+    counts = materialize(stretch_counts(documents, text_col).withColumn("level", level), "words")
     held, least = 0, None
     for row in sorted(counts.groupBy("level").count().collect(), reverse=True):
         held += row["count"]
@@ -289,8 +329,10 @@ def frequent_words(documents: DataFrame, size: int = LEXICON, text_col: str = "t
             break
         least = row["level"]
     if least is None:
-        return []
-    return [r.word for r in counts.filter(F.col("level") >= least).select("word").collect()]
+        return set()
+    split = splitter()
+    chosen = counts.filter(F.col("level") >= least).select("stretch").collect()
+    return {word for r in chosen for word in (*split(r.stretch), *split(" " + r.stretch))}
 
 
 def read_vocabulary(path: str) -> str:
@@ -312,17 +354,24 @@ def encode_documents(
     spark = documents.sparkSession
     source = read_vocabulary(vocabulary_path)
     vocabulary = Vocabulary(source)
-    lexicon = {w.encode("utf-8", "surrogatepass"): () for w in frequent_words(documents, lexicon_size, text_col)}
-    compiled = compile_lexicon({w: vocabulary.merge(w) for w in lexicon})
+    words = [w.encode("utf-8", "surrogatepass") for w in frequent_words(documents, lexicon_size, text_col)]
+    compiled = compile_lexicon({w: vocabulary.merge(w) for w in words})
     shared = spark.sparkContext.broadcast((source, compiled))
     bound_batches(spark)
 
     @F.pandas_udf("token_ids array<int>, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(shared.value[0]), Lexicon(shared.value[1]))
+        codec = _codec(shared.id, shared)
         for texts in batches:
             ids = [codec.encode(t) for t in texts]
             yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(x) for x in ids]})
 
     coded = documents.withColumn("__coded", run(whole_text(text_col)))
     return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
+
+
+@lru_cache(maxsize=1)
+def _codec(key: int, shared) -> Codec:
+    """The codec of a broadcast, kept by a worker for its next tasks."""
+    source, compiled = shared.value
+    return Codec(Vocabulary(source), Lexicon(compiled))

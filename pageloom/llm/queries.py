@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gam, html_blocks, secret_scan, simhash, winnowing
+from . import bpe, decontaminate, gam, html_blocks, ppm, secret_scan, simhash, winnowing
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, folder, "documents"))
+
+
+@query()
+def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_documents(table(spark, folder, "documents"), fold(7) == 2)
