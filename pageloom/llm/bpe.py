@@ -16,9 +16,9 @@ import os
 import re
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -356,12 +356,12 @@ def encode_documents(
     vocabulary = Vocabulary(source)
     words = [w.encode("utf-8", "surrogatepass") for w in frequent_words(documents, lexicon_size, text_col)]
     compiled = compile_lexicon({w: vocabulary.merge(w) for w in words})
-    shared = spark.sparkContext.broadcast((source, compiled))
+    shared, run_name = spark.sparkContext.broadcast((source, compiled)), uuid.uuid4().hex
     bound_batches(spark)
 
     @F.pandas_udf("token_ids array<int>, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.id, shared)
+        codec = _codec(run_name, shared)
         for texts in batches:
             ids = [codec.encode(t) for t in texts]
             yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(x) for x in ids]})
@@ -370,8 +370,13 @@ def encode_documents(
     return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
 
 
-@lru_cache(maxsize=1)
-def _codec(key: int, shared) -> Codec:
-    """The codec of a broadcast, kept by a worker for its next tasks."""
-    source, compiled = shared.value
-    return Codec(Vocabulary(source), Lexicon(compiled))
+_KEPT: dict[str, Codec] = {}
+
+
+def _codec(run: str, shared) -> Codec:
+    """The codec of a run, kept by a worker for its next tasks."""
+    if run not in _KEPT:
+        _KEPT.clear()
+        source, compiled = shared.value
+        _KEPT[run] = Codec(Vocabulary(source), Lexicon(compiled))
+    return _KEPT[run]
