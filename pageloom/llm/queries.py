@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gam, html_blocks, ppm, secret_scan, simhash, winnowing
+from . import (
+    bpe,
+    decontaminate,
+    gam,
+    html_blocks,
+    ppm,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    winnowing,
+)
 from .common import fold, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +93,9 @@ def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score_documents(table(spark, folder, "documents"), fold(7) == 2)
+
+
+@query()
+def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeated(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
