@@ -12,6 +12,7 @@ from . import (
     decontaminate,
     gam,
     html_blocks,
+    licenses,
     ppm,
     secret_scan,
     simhash,
@@ -99,3 +100,10 @@ def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.remove_repeated(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(licenses.SQL)
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents have no paths; source, language and id stand for directories and file."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(table(spark, folder, "documents").select(path.alias("path"), "text"))
