@@ -305,9 +305,9 @@ def stretch_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
             for text in frame["text"]:
                 seen.update(text.split())
                 if len(seen) > MEMO:
-                    yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())})
+                    yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())}, dtype=object)
                     seen.clear()
-        yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())}, dtype=object)
 
     rows = documents.select(whole_text(text_col).alias("text")).mapInPandas(count, "stretch string, n bigint")
     return rows.filter(F.length("stretch") <= 64).groupBy("stretch").agg(F.sum("n").alias("n"))
@@ -364,7 +364,7 @@ def encode_documents(
         codec = _codec(run_name, shared)
         for texts in batches:
             ids = [codec.encode(t) for t in texts]
-            yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(x) for x in ids]})
+            yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
 
     coded = documents.withColumn("__coded", run(whole_text(text_col)))
     return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")

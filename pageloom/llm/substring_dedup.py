@@ -314,7 +314,7 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
     def kept(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = [_kept_words(t, r) for t, r in zip(texts, ranges)]
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"], dtype=object)
 
     judged = rows.join(ranges, "row", "left").select("id", kept("text", "ranges").alias("k"))
     return judged.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "k.*")

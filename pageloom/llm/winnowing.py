@@ -153,8 +153,7 @@ def _compare(gram: int, window: int):
                         )
                     )
                 before = None if guest else (part, None if pd.isna(doc_id) else int(doc_id), text, prints)
-            table = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield table.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
 
     return run
 
