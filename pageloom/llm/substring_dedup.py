@@ -1,13 +1,14 @@
 """Removal of passages that an earlier document holds, by suffix automata of shards.
 
-Windows of consecutive words are dealt to shards by a minimizer: of the short
-runs of words in a window, the one with the most bytes (ties: by hash). Equal
-windows have equal minimizers, so a shard holds every copy of its windows.
-First, minimizers that only one document has are sorted out by hash alone. Of
-the rest, stretches of words meet in their shard by ascending document id: each
-is walked through the suffix automaton of those before it, which gives the
-longest match that ends at every word (matching statistics) and the first
-document that has it, and is then added to it.
+Windows of consecutive words are dealt to shards by a minimizer: the least hash
+of the short runs of words in a window. Equal windows have equal minimizers, so
+a shard holds every copy of its windows. A stretch is what windows with one
+minimizer cover. First only hashes are shuffled: a minimizer that one document
+has alone needs nothing more, and a stretch that a smaller id has as a whole is
+repeated. The words of the others meet in their shard by ascending id: each
+stretch is walked through the suffix automaton of those before it, which gives
+the longest match that ends at every word (matching statistics) and the first
+document that has it, and is then added to the automaton.
 """
 
 from __future__ import annotations
@@ -50,15 +51,12 @@ def stretches(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.
     gram = min(GRAM, window)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
     grams = len(words) - gram + 1
-    mixed, size = np.zeros(grams, np.uint64), np.zeros(grams, np.int64)
+    mixed = np.zeros(grams, np.uint64)
     for j in range(gram):
         mixed = mixed * np.uint64(BASE) + hashes[j : j + grams]
-        size += sizes[j : j + grams]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    rank = (np.maximum(0, 127 - size).astype(np.uint64) << np.uint64(56)) | (mixed >> np.uint64(8))
-    least = _sliding_min(rank, window - gram + 1).astype(np.int64)
+    least = _sliding_min(mixed >> np.uint64(16), window - gram + 1).astype(np.int64)
     changes = np.concatenate(([0], np.nonzero(least[1:] != least[:-1])[0] + 1))
     counts = np.diff(np.concatenate((changes, [windows])))
     pieces = (counts + LONGEST - 1) // LONGEST
@@ -127,32 +125,50 @@ class Automaton:
         return out
 
 
+FOUND = "key bigint, id bigint, text_hash int, place bigint, content bigint"
+COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def _repeated_whole(key: np.ndarray, id_: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Whether a smaller id has the same stretch under the same key."""
+    order = np.lexsort((id_, content, key))
+    k, c, i = key[order], content[order], id_[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    out = np.empty(len(key), bool)
+    out[order] = i > i[new][np.cumsum(new) - 1]
+    return out
+
+
 def _find(window: int):
-    """Stretches of every document, combined per task: of a minimizer that several
-    documents of the task share, one stretch stands for all in the shuffle."""
+    """Hashes of the stretches of every document. ``place`` is the first word, the
+    number of windows and whether the stretch is known to be repeated: of equal
+    stretches in a task only those of the smallest id meet those of others."""
 
     def emit(parts: list) -> pd.DataFrame:
-        key, row, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((row, key))
-        key, row, at = key[order], row[order], at[order]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        group = np.cumsum(new) - 1
-        first = row[new][group]
-        many = np.zeros(group[-1] + 1, bool)
-        many[group[row != first]] = True
-        passed = many[group] & ~new  # known to be shared already
-        state = np.where(passed, 2, np.where(many[group], 1, 0))
-        spread = (row.view(np.uint64) * np.uint64(BASE) + at.view(np.uint64)).view(np.int64)
-        return pd.DataFrame({"shard": np.where(passed, spread, key), "key": key, "row": row, "at": at, "state": state})
+        key, id_, text_hash, place, content = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        known = _repeated_whole(key, id_, content)
+        spread = (key * np.int64(31) + id_ + place) & ((1 << 48) - 1)
+        columns = (np.where(known, spread, key), id_, text_hash, (place << 1) | known, np.where(known, 0, content))
+        return pd.DataFrame(dict(zip(COLUMNS, columns)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for frame in frames:
-            for row, text in zip(frame["row"], frame["text"]):
-                key, starts, counts = stretches(split_words(text), window)
-                if len(key):
-                    parts.append((key, np.full(len(key), row, np.int64), (starts << 8) | counts))
-                    held += len(key)
+            for id_, text_hash, text in zip(frame["id"], frame["text_hash"], frame["text"]):
+                words = split_words(text)
+                key, starts, counts = stretches(words, window)
+                n = len(key)
+                if n == 0:
+                    continue
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begins = np.concatenate(([0], ends[:-1] + 1))[starts].tolist()
+                closes = ends[starts + counts + window - 2].tolist()
+                digest = xxhash.xxh64_intdigest
+                content = np.fromiter([digest(joined[a:b]) for a, b in zip(begins, closes)], np.uint64, n)
+                ids, hashes = np.full(n, id_, np.int64), np.full(n, text_hash, np.int32)
+                parts.append((key, ids, hashes, (starts << 7) | counts, content.view(np.int64)))
+                held += n
             if held > HELD:
                 yield emit(parts)
                 parts, held = [], 0
@@ -162,60 +178,68 @@ def _find(window: int):
     return run
 
 
-def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by shard, those whose shard several documents have."""
+JUDGED = "id bigint, text_hash int, place bigint, key bigint"
+
+
+def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by key, those that are repeated as a whole (key null) and
+    those that may be in part, as others with their key differ from them."""
     rest = None
     for frame in frames:
-        table = frame if rest is None else pd.concat([rest, frame])
-        last = table["shard"].to_numpy() == table["shard"].iloc[-1] if len(table) else np.empty(0, bool)
-        rest = table[last]
-        yield _of_several(table[~last])
+        table = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        key = table["key"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        rest = table.iloc[cut:]
+        yield _judged(table.iloc[:cut])
     if rest is not None:
-        yield _of_several(rest)
-
-
-def _of_several(table: pd.DataFrame) -> pd.DataFrame:
-    shard, row, state = (table[c].to_numpy() for c in ("shard", "row", "state"))
-    if len(shard) == 0:
-        return table[["key", "row", "at"]]
-    new = np.concatenate(([True], shard[1:] != shard[:-1]))
-    group = np.cumsum(new) - 1
-    keep = np.zeros(group[-1] + 1, bool)
-    keep[group[(row != row[new][group]) | (state > 0)]] = True
-    return table.loc[keep[group], ["key", "row", "at"]]
+        yield _judged(rest)
+
+
+def _judged(table: pd.DataFrame) -> pd.DataFrame:
+    key, id_, text_hash, place, content = (table[c].to_numpy(np.int64) for c in COLUMNS)
+    known = (place & 1).astype(bool)
+    at = np.nonzero(~known)[0]
+    whole, partly = np.empty(0, bool), np.empty(0, bool)
+    if len(at):
+        k, i, c = key[at], id_[at], content[at]
+        whole = _repeated_whole(k, i, c)
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        group = np.cumsum(new) - 1
+        several, differ = np.zeros(group[-1] + 1, bool), np.zeros(group[-1] + 1, bool)
+        several[group[i != i[new][group]]] = True
+        differ[group[c != c[new][group]]] = True
+        partly = (several & differ)[group] & ~whole
+    sure, open_ = np.concatenate([np.nonzero(known)[0], at[whole]]), at[partly]
+    order = np.concatenate([sure, open_])
+    keys = pd.array(key[order], dtype="Int64")
+    keys[: len(sure)] = pd.NA
+    return pd.DataFrame({"id": id_[order], "text_hash": text_hash[order], "place": place[order] >> 1, "key": keys})
 
 
-SPANS = "shard bigint, id bigint, row bigint, lo int, hi int, words binary"
+SPANS = "shard bigint, id bigint, text_hash int, lo int, hi int, words binary"
 
 
 def _cut_out(window: int):
-    """The words of every candidate stretch. Of equal ones in a task only those of
-    the smallest id go on; the others are repeated for certain."""
-
-    def emit(held: dict) -> pd.DataFrame:
-        out = []
-        for (key, content), places in held.items():
-            least = min(p[0] for p in places)
-            for id_, row, lo, hi in places:
-                out.append((key, id_, row, lo, hi, content) if id_ == least else (row, id_, row, lo, hi, None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")])
+    """The words of stretches that may be repeated in part, and, without words,
+    the ranges that are repeated for certain, put together where they touch."""
+    columns = [c.split()[0] for c in SPANS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = {}, 0
         for frame in frames:
-            for id_, row, text, found in zip(frame["id"], frame["row"], frame["text"], frame["found"]):
-                words = split_words(text)
-                for place in found:
-                    lo = place["at"] >> 8
-                    hi = lo + (place["at"] & 255) + window - 1
-                    if hi <= len(words):
-                        held.setdefault((place["key"], b" ".join(words[lo:hi])), []).append((id_, row, lo, hi))
-                        size += 1
-                if size > HELD // 8:
-                    yield emit(held)
-                    held, size = {}, 0
-        if held:
-            yield emit(held)
+            out = []
+            for id_, text_hash, text, found in zip(frame["id"], frame["text_hash"], frame["text"], frame["found"]):
+                words, sure = split_words(text), []
+                for item in sorted(found, key=lambda x: x["place"]):
+                    lo = item["place"] >> 7
+                    hi = lo + (item["place"] & 127) + window - 1
+                    if item["key"] is not None:
+                        out.append((item["key"], id_, text_hash, lo, hi, b" ".join(words[lo:hi])))
+                    elif sure and lo <= sure[-1][1]:
+                        sure[-1][1] = max(hi, sure[-1][1])
+                    else:
+                        sure.append([lo, hi])
+                out += [(hash((id_, lo)), id_, text_hash, lo, hi, None) for lo, hi in sure]
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     return run
 
@@ -256,14 +280,14 @@ def _match(window: int):
         current, shard = None, None
         for frame in frames:
             out = []
-            for key, id_, row, lo, hi, content in frame.itertuples(index=False, name=None):
+            for key, id_, text_hash, lo, hi, content in frame.itertuples(index=False, name=None):
                 if content is None:
-                    out.append((row, lo, hi))
+                    out.append((id_, text_hash, lo, hi))
                     continue
                 if shard is None or key != current:
                     current, shard = key, Shard(window)
-                out += [(row, lo + a, lo + b) for a, b in shard.repeated(id_, content)]
-            yield pd.DataFrame(out, columns=["row", "lo", "hi"])
+                out += [(id_, text_hash, lo + a, lo + b) for a, b in shard.repeated(id_, content)]
+            yield pd.DataFrame(out, columns=["id", "text_hash", "lo", "hi"])
 
     return run
 
@@ -288,26 +312,28 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     words; null ids come after all others and not before each other; rows with
     one id do not remove each other's words. Other columns are not read.
 
-    Every shuffle is combined before: a passage that many documents of a task
-    share crosses once per task, so that a hot passage does not fill a shard.
+    Of a passage that many documents of a task share, one copy is shuffled for
+    all, so that a hot passage does not fill a shard.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     id_, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), whole_text()
-    rows = documents.select(id_.alias("id"), text.alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    found = rows.select("row", "text").mapInPandas(_find(window), "shard bigint, key bigint, row bigint, at bigint, state int")
-    shared = (
-        found.repartition("shard")
-        .sortWithinPartitions("shard")
-        .mapInPandas(_shared, "key bigint, row bigint, at bigint")
+    rows = documents.select(id_.alias("id"), F.hash(text).alias("text_hash"), text.alias("text"))
+    judged = (
+        rows.mapInPandas(_find(window), FOUND)
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInPandas(_judge, JUDGED)
     )
-    candidates = shared.groupBy("row").agg(F.collect_list(F.struct("at", "key")).alias("found"))
-    spans = rows.join(candidates, "row").select("id", "row", "text", "found").mapInPandas(_cut_out(window), SPANS)
+    found = judged.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "key")).alias("found"))
     ranges = (
-        spans.repartition("shard")
+        rows.join(found, ["id", "text_hash"])
+        .select("id", "text_hash", "text", "found")
+        .mapInPandas(_cut_out(window), SPANS)
+        .repartition("shard")
         .sortWithinPartitions("shard", "id")
-        .mapInPandas(_match(window), "row bigint, lo int, hi int")
-        .groupBy("row")
+        .mapInPandas(_match(window), "id bigint, text_hash int, lo int, hi int")
+        .groupBy("id", "text_hash")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )
 
@@ -316,5 +342,5 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         out = [_kept_words(t, r) for t, r in zip(texts, ranges)]
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"], dtype=object)
 
-    judged = rows.join(ranges, "row", "left").select("id", kept("text", "ranges").alias("k"))
-    return judged.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "k.*")
+    out = rows.join(ranges, ["id", "text_hash"], "left").select("id", kept("text", "ranges").alias("k"))
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "k.*")
