@@ -190,7 +190,8 @@ def train_forest(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int
     marked = findings.select("id", "label").withColumn("label", F.col("label").cast("double"))
     rows = candidates(findings, "id", "text", F.col("path")).join(marked, "id")
     rows = rows.select(array_to_vector(measures()).alias("features"), "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
+    fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
+    return fitted.copy()  # without the training summary, which tasks cannot carry
 
 
 def scan_secrets(
