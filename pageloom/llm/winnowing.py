@@ -20,7 +20,8 @@ GRAM = 12
 WINDOW = 24
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 19  # runs hashed at once
-ALL = (1 << 64) - 1
+PART_BYTES = 32 << 20
+MOST_PARTS = 20_000  # bounds the cuts between ranges, which are on the driver
 
 
 def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
@@ -169,14 +170,16 @@ def compare_edited(
     last), and the first follows the last. Null texts count as empty; repeated
     rows each have their place. One document follows itself.
 
-    Rows are dealt by ranges of ids into ``parts`` (by default four per core),
-    each a sorted stream. The first row of each range is the one that another
+    Rows are dealt by ranges of ids into ``parts`` (by default of 32 MB of
+    text), each a sorted stream. The first row of each range is the one that another
     range needs: these rows, one per range, are sent along as guests.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
-    parts = parts or max(16, 4 * spark.sparkContext.defaultParallelism)
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(2 * spark.sparkContext.defaultParallelism, min(MOST_PARTS, size // PART_BYTES))
     shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
     cuts = rows.agg(F.percentile_approx("id", shares, 100 * parts).alias("cuts")).first()["cuts"] or []
     edges = np.unique(np.array(cuts, np.int64))
