@@ -24,12 +24,22 @@ def _raw_text(names: tuple[str, ...], group: int) -> str:
     return rf"<({'|'.join(names)})(?=[\s/>]).*?(?:</\{group}(?=[\s/>])|\z)"
 
 
+# What the tokenizer steps over: other tags, declarations, and a tag that is
+# never closed, which takes the rest of the text.
+OTHER_TAGS = rf"</?[a-z]{_TAG_BODY}>|<[!?/][^>]*+>|<(?:/?[a-z]|[!?/]).*+\z"
+MARKUP = f"(?is){_COMMENT}|{OTHER_TAGS}"
+
+
+def without_tags(html: Column) -> Column:
+    """Text between tags: ``>`` in quoted values and a lone ``<`` end and begin nothing."""
+    return F.regexp_replace(html, MARKUP, "")
+
+
 def tag_pattern(*names: str) -> str:
     """Pattern whose group 2 is ``name attributes`` of each wanted start tag
     and empty for everything else the tokenizer steps over."""
     wanted = rf"<((?:{'|'.join(names)})(?=[\s/>]){_TAG_BODY})>"
-    other = rf"</?[a-z]{_TAG_BODY}>|<[!?/][^>]*+>"
-    return f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{wanted}|{other}"
+    return f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{wanted}|{OTHER_TAGS}"
 
 
 def start_tags(html: Column, *names: str) -> Column:
@@ -62,37 +72,42 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def _entity_table() -> str:
-    """Code points by name, from the standard library's HTML 4 table; C1
-    numbers are read as windows-1252, as browsers do."""
-    table = {name: code for name, code in name2codepoint.items()}
-    table["apos"] = ord("'")
-    table.update({name: ord(char) for name, char in html5.items() if not name.endswith(";")})
+    """Characters by name, the common HTML 4 names first; C1 numbers are read
+    as windows-1252, as browsers do, where that defines them."""
+    table = {name: chr(code) for name, code in name2codepoint.items()}
+    table.update({name.removesuffix(";"): chars for name, chars in html5.items()})
     for code in range(0x80, 0xA0):
-        table[f"#{code}"] = ord(bytes([code]).decode("cp1252", errors="replace"))
-    return ",".join(f"{name}:{code}" for name, code in table.items())
+        byte = bytes([code])
+        table[f"#{code}"] = byte.decode("cp1252") if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(code)
+    return _ENTRY.join(f"{name}{_VALUE}{chars}" for name, chars in table.items())
 
 
+_ENTRY, _VALUE = "\x01", "\x02"  # no reference stands for these
 _ENTITIES = _entity_table()
-_NUMBER = r"^&#([0-9]{1,8}|[xX][0-9A-Fa-f]{1,7})"
+_NUMBER = r"^&#([0-9]+|[xX][0-9A-Fa-f]+)"
 # Names that may stand without a semicolon, longest first.
 _BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def _named_code(name: Column) -> Column:
-    table = F.str_to_map(F.lit(_ENTITIES), F.lit(","), F.lit(":"))
-    return F.try_element_at(table, name).try_cast("bigint")
+def _named_text(name: Column) -> Column:
+    return F.try_element_at(F.str_to_map(F.lit(_ENTITIES), F.lit(_ENTRY), F.lit(_VALUE)), name)
 
 
-def _numeric_code(number: Column) -> Column:
-    code = F.when(
-        number.rlike("^[xX]"), F.conv(F.substring(number, 2, 8), 16, 10).try_cast("bigint")
-    ).otherwise(number.try_cast("bigint"))
-    return _let(code, lambda c: F.coalesce(_named_code(F.concat(F.lit("#"), c.cast("string"))), c))
+def _numeric_text(number: Column) -> Column:
+    """The character of a number with any count of leading zeros; one too large is replaced."""
+    digits = F.regexp_replace(number, "^[xX]?0*", "")
+    code = (
+        F.when(F.length(digits) > 8, F.lit(0x110000))
+        .when(digits == "", F.lit(0))
+        .when(number.rlike("^[xX]"), F.conv(digits, 16, 10).try_cast("bigint"))
+        .otherwise(digits.try_cast("bigint"))
+    )
+    return _let(code, lambda c: F.coalesce(_named_text(F.concat(F.lit("#"), c.cast("string"))), _character(c)))
 
 
 def _character(code: Column) -> Column:
     bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.when(bad, F.lit("�")).otherwise(
+    return F.when(bad, F.lit("\ufffd")).otherwise(
         F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     )
 
@@ -105,23 +120,23 @@ def decode_entities(text: Column, in_attribute: bool = False) -> Column:
     """
     bare = rf"^&({_BARE_NAMES})" + (r"(?![A-Za-z0-9=])" if in_attribute else "")
 
-    def replaced(p: Column, code: Column, consumed: Column) -> Column:
+    def replaced(p: Column, text: Column, consumed: Column) -> Column:
         rest = F.substring(p, consumed + 1, F.length(p))
-        return F.concat(_character(code), F.regexp_replace(rest, "^;", ""))
+        return F.concat(text, F.regexp_replace(rest, "^;", ""))
 
     def numeric(p: Column) -> Column:
         return _let(
             F.regexp_extract(p, _NUMBER, 1),
-            lambda n: F.when(n == "", p).otherwise(replaced(p, _numeric_code(n), F.length(n) + 2)),
+            lambda n: F.when(n == "", p).otherwise(replaced(p, _numeric_text(n), F.length(n) + 2)),
         )
 
     def named(p: Column) -> Column:
         def choose(names: Column) -> Column:
-            code = _named_code(names.getField("closed"))
+            text = _named_text(names.getField("closed"))
             return (
-                F.when(code.isNotNull(), replaced(p, code, F.length(names.getField("closed")) + 1))
+                F.when(text.isNotNull(), replaced(p, text, F.length(names.getField("closed")) + 1))
                 .when(names.getField("bare") == "", p)
-                .otherwise(replaced(p, _named_code(names.getField("bare")), F.length(names.getField("bare")) + 1))
+                .otherwise(replaced(p, _named_text(names.getField("bare")), F.length(names.getField("bare")) + 1))
             )
 
         found = F.struct(
@@ -157,9 +172,8 @@ def plain_text(html: Column) -> Column:
     kept = without_elements(
         html, "script", "style", "noscript", "template", "iframe", "head", "nav", "header", "footer"
     )
-    lines = F.regexp_replace(kept, rf"(?is)</?(?:{'|'.join(BLOCK_ELEMENTS)})(?=[\s/>])[^>]*+>", "\n")
-    text = F.regexp_replace(lines, r"(?s)<[/!?a-zA-Z][^>]*+>", "")
-    text = decode_entities(text)
+    lines = F.regexp_replace(kept, rf"(?is)</?(?:{'|'.join(BLOCK_ELEMENTS)})(?=[\s/>]){_TAG_BODY}>", "\n")
+    text = decode_entities(without_tags(lines))
     text = F.regexp_replace(text, r"[ \t\r\f\x{A0}]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
@@ -169,14 +183,15 @@ def cleaned_html(html: Column) -> Column:
     """Markup without scripts, styles, frames, page furniture and tracking
     attributes."""
     kept = without_elements(html, "script", "style", "noscript", "iframe", "nav", "footer", "aside")
-    return F.regexp_replace(
-        kept, r"""(?is)\s(?:on[a-z]+|data-analytics-[a-z0-9\-]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", ""
-    )
+    tracking = r"""(?is)\s(?:on[a-z]+|data-analytics-[a-z0-9\-]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+    pieces = F.regexp_extract_all(kept, F.lit(rf"(?is)<[a-z]{_TAG_BODY}>|[^<]++|<"), F.lit(0))
+    clean = F.transform(pieces, lambda p: F.when(p.rlike("^<[a-zA-Z]"), F.regexp_replace(p, tracking, "")).otherwise(p))
+    return F.array_join(clean, "")
 
 
 def first_element_text(html: Column, name: str) -> Column:
     inner = F.regexp_extract(html, rf"(?is)<{name}(?=[\s/>])[^>]*+>(.*?)</{name}(?=[\s/>])", 1)
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*+>", "")), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(without_tags(inner)), r"\s+", " "))
 
 
 def meta_entries(tags: Column) -> Column:

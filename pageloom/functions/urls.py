@@ -79,7 +79,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def is_parsable_url(url: Column) -> Column:
-    return url.rlike(_PARSABLE)
+    open_bracket = rf"^(?:{SCHEME})?//(?:[^/?#]*@)?\[[^\]/?#]*(?:[/?#]|\z)"
+    return url.rlike(_PARSABLE) & ~url.rlike(open_bracket)
 
 
 def url_scheme(url: Column) -> Column:

@@ -54,8 +54,18 @@ def lookup_cache(
 
 
 def with_results(matched: DataFrame, cache: DataFrame) -> DataFrame:
-    """Attach ``result`` by ``cache_key`` and ``cached_at``."""
-    store = cache.dropDuplicates(["cache_key", "cached_at"]).select("cache_key", "cached_at", "result")
+    """Attach ``result`` by ``cache_key`` and ``cached_at``.
+
+    Only entries that were hit are shuffled whole; of several of one key and
+    time the one with the smallest hash of its result counts.
+    """
+    wanted = matched.filter(F.col("cached_at").isNotNull()).select("cache_key", "cached_at").distinct()
+    order = F.xxhash64(F.to_json(F.struct("result")))
+    store = (
+        cache.join(wanted, ["cache_key", "cached_at"], "left_semi")
+        .groupBy("cache_key", "cached_at")
+        .agg(F.min_by("result", order).alias("result"))
+    )
     return matched.join(store, ["cache_key", "cached_at"], "left")
 
 
@@ -81,7 +91,6 @@ def cache_anchors(
     if not slots:
         return log.select(key, F.col("_ts").cast(kind).alias(ts), F.col("_tie").alias(tie))
     heavy = materialize(heavy_keys(log, [key], share), "heavy-keys")
-    none_heavy = heavy.isEmpty()
     found: dict[int, DataFrame] = {}
     earliest = F.min(F.struct("_ts", "_tie")).alias("_first")
     for slot in slots:
@@ -90,10 +99,7 @@ def cache_anchors(
         if slot - 1 in found:
             # Misses of older slots have expired before this one begins.
             state = found[slot - 1].select(key, F.col("_ts").alias("_last"))
-            if none_heavy:
-                rows = rows.join(state, key, "left")
-            else:
-                rows = salted_join(rows, state, [key], heavy, ["_ts", "_tie"])
+            rows = salted_join(rows, state, [key], heavy, ["_ts", "_tie"])
             rows = rows.filter(
                 F.col("_last").isNull() | (F.unix_micros("_ts") >= F.unix_micros("_last") + micros)
             )
@@ -122,5 +128,5 @@ def cache_hit_flags(
 def newest_entries(cache: DataFrame) -> DataFrame:
     """Newest entry per key (compaction). The rank limit is applied map-side
     before the shuffle, so a key written very often costs one row per task."""
-    rank = F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc("cached_at")))
+    rank = F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc("cached_at"), F.xxhash64(F.to_json(F.struct(*cache.columns)))))
     return cache.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")

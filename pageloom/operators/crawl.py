@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import MAX_DEPTH, MAX_LIMIT, clamp_crawl_limit, clamp_depth, resolve_mode
 from ..functions.reuse import reuse
-from ..functions.urls import explode_positions, key_of
+from ..functions.urls import explode_positions, hostname, is_parsable_url, key_of
 from ..session import materialize, materialize_counted
 from .links import crawl_links
-from .pages import NOT_FOUND, choice_for, chosen_page_id, missing_errors, page_index
+from .pages import NOT_FOUND, choice_for, chosen_page_id, missing_errors, page_index, with_page_key
 
 OUTPUT = ("crawl_id", "seq", "url", "depth", "parent_seq", "engine", "error")
 _SPEC = ("url", "mode", "screenshot", "maxDepth", "limit")
@@ -54,10 +54,13 @@ def normalize_jobs(jobs: DataFrame) -> DataFrame:
 def _visit(frontier: DataFrame, index: DataFrame, missing: tuple[str, str]) -> DataFrame:
     """Outcome of every frontier page and the places open when it is read."""
     found = frontier.join(index, frontier.url == index.page_key, "left")
+    bad_seed = (F.col("depth") == 0) & ~is_parsable_url(F.col("url"))
     chosen = found.withColumn("_choice", choice_for(*missing)).select(
         *frontier.columns,
         F.col("_choice.engine").alias("engine"),
-        F.col("_choice.error").alias("error"),
+        F.when(bad_seed, F.format_string('invalid seed URL "%s"', "url"))
+        .otherwise(F.col("_choice.error"))
+        .alias("error"),
         chosen_page_id().alias("page_id"),
     )
     return chosen.withColumns(_counters())
@@ -195,7 +198,17 @@ def crawl(
 
 def crawl_site(jobs: DataFrame, pages: DataFrame | None, rendered: DataFrame | None = None, **options) -> DataFrame:
     """``crawl`` straight from page tables: index and links are written to the
-    shared folder once, so HTML is read a single time."""
+    shared folder once, so HTML is read a single time, and only that of pages
+    on the hosts of the seeds, which no crawl leaves."""
+    hosts = normalize_jobs(jobs).select(hostname(F.col("url")).alias("_host")).distinct()
+
+    def on_hosts(table: DataFrame | None) -> DataFrame | None:
+        if table is None:
+            return None
+        hosted = with_page_key(table).withColumn("_host", hostname(F.col("page_key")))
+        return hosted.join(hosts, "_host", "left_semi").drop("_host")
+
+    pages, rendered = on_hosts(pages), on_hosts(rendered)
     index = materialize(page_index(pages, rendered), "page-index")
     links = materialize(crawl_links(pages, rendered), "crawl-links")
     return crawl(jobs, index, links, missing=missing_errors(pages, rendered), **options)

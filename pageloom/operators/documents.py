@@ -15,6 +15,7 @@ from ..functions.html import (
     plain_text,
     start_tags,
     without_elements,
+    without_tags,
 )
 from ..functions.predicates import (
     ROOT_MARKERS,
@@ -139,7 +140,7 @@ def first_paragraph(pages: DataFrame, size: int = 200) -> DataFrame:
         body, F.lit(r"(?is)<p(?=[\s/>])[^>]*+>(.*?)(?=</p\s*>|<p[\s/>]|</(?:div|article|section|main|body)\s*>|\z)"), F.lit(1)
     )
     texts = F.transform(
-        inner, lambda p: F.trim(F.regexp_replace(decode_entities(F.regexp_replace(p, r"(?s)<[^>]*+>", "")), r"\s+", " "))
+        inner, lambda p: F.trim(F.regexp_replace(decode_entities(without_tags(p)), r"\s+", " "))
     )
     first = F.get(F.filter(texts, lambda t: t != ""), F.lit(0))
     return pages.select("page_id", F.left(first, F.lit(size)).alias("summary"))
@@ -148,7 +149,7 @@ def first_paragraph(pages: DataFrame, size: int = 200) -> DataFrame:
 def body_text(html: Column) -> Column:
     """Characters a reader could see, white space collapsed."""
     kept = without_elements(html, "script", "style", "noscript", "template", "head")
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(kept, r"(?s)<[^>]*+>", "")), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(without_tags(kept)), r"\s+", " "))
 
 
 def page_signals(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import _TAG_BODY, _COMMENT, RAW_TEXT_ELEMENTS, _raw_text, attribute, decode_entities, start_tags
+from ..functions.html import (
+    _COMMENT,
+    _TAG_BODY,
+    OTHER_TAGS,
+    RAW_TEXT_ELEMENTS,
+    _raw_text,
+    attribute,
+    decode_entities,
+    start_tags,
+    without_tags,
+)
 from ..functions.reuse import reuse
 from ..functions.urls import (
     base_of,
@@ -115,9 +125,8 @@ def link_details(pages: DataFrame, base: str = "url") -> DataFrame:
 
 @reuse
 def _anchors() -> Column:
-    other = rf"</?[a-z]{_TAG_BODY}>|<[!?/][^>]*+>"
     anchor = rf"<(a(?=[\s/>]){_TAG_BODY}>.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
-    pattern = f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{anchor}|{other}"
+    pattern = f"(?is){_COMMENT}|{_raw_text(RAW_TEXT_ELEMENTS, 1)}|{anchor}|{OTHER_TAGS}"
     return F.filter(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), lambda a: a != "")
 
 
@@ -127,7 +136,7 @@ def _described_links() -> Column:
         "_anchors",
         lambda a: F.struct(
             F.regexp_extract(a, rf"(?is)^({_TAG_BODY})>", 1).alias("tag"),
-            F.regexp_replace(F.regexp_replace(a, rf"(?is)^{_TAG_BODY}>", ""), r"(?s)<[^>]*+>", "").alias("inner"),
+            without_tags(F.regexp_replace(a, rf"(?is)^{_TAG_BODY}>", "")).alias("inner"),
         ),
     )
     described = F.transform(

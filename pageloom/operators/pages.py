@@ -18,7 +18,14 @@ NOT_FOUND = "page not found"
 
 
 def with_page_key(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("page_key", key_of("url"))
+    """Pages with their key; a stored key is kept, as the store is bucketed by it."""
+    return pages if "page_key" in pages.columns else pages.withColumn("page_key", key_of("url"))
+
+
+def asked_pages(pages: DataFrame | None, keys: DataFrame) -> DataFrame | None:
+    """The snapshots of the keys in ``keys(page_key)``: what is not asked for is
+    dropped before its HTML is looked at. Over a page store only keys move."""
+    return None if pages is None else with_page_key(pages).join(keys.distinct(), "page_key", "left_semi")
 
 
 def _with_id(rendered: DataFrame) -> DataFrame:
@@ -169,7 +176,8 @@ def documents_of(needed: DataFrame, pages: DataFrame | None, rendered: DataFrame
         want = needed.filter(F.col("engine") == STATIC).select("page_key", "page_id")
         parts.append(
             with_page_key(pages)
-            .join(want, ["page_key", "page_id"], "left_semi")
+            .join(want.withColumnRenamed("page_id", "_wanted"), "page_key")
+            .filter(F.col("page_id") == F.col("_wanted"))
             .select("page_key", F.lit(STATIC).alias("engine"), "html")
         )
     if rendered is not None:
@@ -186,8 +194,9 @@ def documents_of(needed: DataFrame, pages: DataFrame | None, rendered: DataFrame
 
 def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """URL rows with the HTML of their snapshot, or an error."""
-    index = page_index(pages).select("page_key", "static_id", "static_error", "has_static")
     asked = urls.withColumn("page_key", key_of("url"))
+    pages = asked_pages(pages, asked.select("page_key"))
+    index = page_index(pages).select("page_key", "static_id", "static_error", "has_static")
     found = asked.join(index, "page_key", "left").withColumn(
         "error", F.when(F.col("has_static").isNull(), F.lit(NOT_FOUND)).otherwise(F.col("static_error"))
     )

@@ -33,7 +33,7 @@ def first_in_queue_order(run_log: DataFrame) -> DataFrame:
     """The row that answers a status question for every id. Queues that are
     not searched are left out; only the best row per id leaves a map task."""
     known = run_log.withColumn("_rank", _queue_rank(F.col("queue"))).filter(F.col("_rank") > 0)
-    best = F.row_number().over(Window.partitionBy("id").orderBy("_rank"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy("_rank", F.xxhash64(F.to_json(F.struct(*run_log.columns)))))
     return known.withColumn("_best", best).filter(F.col("_best") == 1).drop("_best", "_rank")
 
 

@@ -10,7 +10,7 @@ from ..functions.requests import cache_key, mark_cached, metadata_map, resolve_m
 from ..functions.urls import key_of
 from .cache import match_cache, with_results
 from .images import image_arrays
-from .pages import ENGINE_NAMES, choice_for, chosen_page_id, documents_of, missing_errors, page_index
+from .pages import ENGINE_NAMES, asked_pages, choice_for, chosen_page_id, documents_of, missing_errors, page_index
 
 IMAGE_LIST = "array<struct<url:string,alt:string,title:string,source:string>>"
 RESULT_COLUMNS = ("url", "markdown", "html", "metadata", "images")
@@ -93,6 +93,8 @@ def scrape(
     # What is asked of a page has few forms, so deciding on distinct forms keeps
     # a page that very many requests want from gathering in one task.
     forms = open_requests.select("page_key", "mode", "screenshot").distinct()
+    keys = forms.select("page_key")
+    pages, rendered = asked_pages(pages, keys), asked_pages(rendered, keys)
     decided = decide(forms, pages, rendered, index)
     needed = decided.filter(F.col("error").isNull()).select("page_key", "engine", "page_id").distinct()
     documents = documents_of(needed, pages, rendered)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,5 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; pages and documents are spread over all cores if they come in
-    fewer splits, because their queries are bound by text work."""
-    df = read_table(spark, folder, name)
-    return spread(df) if name in ("pages", "documents") else df
+    """A table as its files are split; how they are is for the session to set."""
+    return read_table(spark, folder, name)

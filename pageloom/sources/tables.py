@@ -20,13 +20,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work all cores when the files have fewer splits than
-    that. Large inputs have more splits and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_page_store(pages: DataFrame, table: str, buckets: int) -> None:
     """Save pages with their key, bucketed and sorted by it: lookups of any
     size then shuffle only the asked URLs, never the HTML."""

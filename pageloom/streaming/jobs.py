@@ -26,6 +26,20 @@ def _batch_path(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
+def rejects_of(out: str) -> str:
+    """Where a stream that writes to ``out`` puts the tasks it cannot run."""
+    return f"{out.rstrip('/')}-rejected"
+
+
+def _write_rejects(undecoded: DataFrame, unusable: DataFrame, id_column: str, out: str, batch_id: int) -> None:
+    """Tasks whose payload cannot be read, or lacks its URL, with their error."""
+    lacking = unusable.select(
+        F.col(id_column).alias("task_id"), "ts", F.lit(None).cast("string").alias("payload"), "error"
+    )
+    rejected = undecoded.select("task_id", "ts", "payload", "error").unionByName(lacking)
+    rejected.write.mode("overwrite").parquet(_batch_path(rejects_of(out), batch_id))
+
+
 def stream_scrape(
     spark: SparkSession,
     requests_dir: str,
@@ -37,11 +51,13 @@ def stream_scrape(
     once: bool = True,
     with_images: bool = True,
 ) -> StreamingQuery:
-    """Task files in, results out. The page side is static: give a stored
+    """Task files in, results out, and tasks that cannot run under ``rejects_of(out)``. The page side is static: give a stored
     ``index`` and a page store so that a batch reads only what it asks for."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        requests, _ = split_requests(scrape_requests(batch)[0])
+        decoded, undecoded = scrape_requests(batch)
+        requests, unusable = split_requests(decoded)
+        _write_rejects(undecoded, unusable, "request_id", out, batch_id)
         results = scrape(requests, pages, rendered, index=index, with_images=with_images)
         results.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
@@ -60,7 +76,9 @@ def stream_crawl(
     """Crawl tasks in, crawled pages out; all jobs of a batch run together."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        jobs, _ = split_requests(crawl_jobs(batch)[0])
+        decoded, undecoded = crawl_jobs(batch)
+        jobs, unusable = split_requests(decoded)
+        _write_rejects(undecoded, unusable, "crawl_id", out, batch_id)
         stored = materialize(jobs, "crawl-jobs")
         crawl(stored, index, links).write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
@@ -87,23 +105,21 @@ def stream_cached_scrape(
     """
 
     def cache_of(before: int) -> DataFrame | None:
-        """Entries of all earlier batches; a replayed batch never sees its own."""
-        try:
-            rows = spark.read.parquet(cache_dir)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-                return None
-            raise
+        """Entries of all earlier batches, each of which wrote its folder; a
+        replayed batch never sees its own."""
+        if before == 0:
+            return None
+        rows = spark.read.parquet(cache_dir)
         return rows.filter(F.col("batch_id") < before).drop("batch_id")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        requests, _ = split_requests(scrape_requests(batch)[0])
+        decoded, undecoded = scrape_requests(batch)
+        requests, unusable = split_requests(decoded)
+        _write_rejects(undecoded, unusable, "request_id", out, batch_id)
         stored = materialize(requests, "requests")
-        if stored.isEmpty():
-            return
         cache = cache_of(batch_id)
-        if cache is not None:
-            oldest = stored.agg(F.min("ts")).first()[0]
+        oldest = stored.agg(F.min("ts")).first()[0]
+        if cache is not None and oldest is not None:
             cache = cache.filter(F.unix_micros("cached_at") > F.unix_micros(F.lit(oldest)) - TTL_SECONDS * 1_000_000)
         first_pass = materialize(scrape(stored, pages, rendered, cache), "first-pass")
         hits = first_pass.filter("cached")

@@ -152,3 +152,10 @@ def test_summary_with_documents(spark):
     docs = docs.withColumn("metadata", F.create_map(F.lit("engine"), F.lit("colly")))
     row = crawl_summary(crawl_site(jobs, pages), jobs, docs).first()
     assert [(d.url, d.markdown, d.metadata) for d in row.data] == [(E, "root", {"engine": "colly"}), (f"{E}/a", "leaf", {"engine": "colly"})]
+
+
+def test_seed_that_cannot_be_parsed(spark):
+    pages = spark.createDataFrame([(1, "https://e.com/", "<p>x</p>" * 300)], "page_id long, url string, html string")
+    jobs = spark.createDataFrame([("bad", "http://[bad"), ("good", "https://e.com")], "crawl_id string, url string")
+    rows = {r.crawl_id: r for r in crawl_site(jobs, pages).collect()}
+    assert rows["bad"].error == 'invalid seed URL "http://[bad"' and rows["good"].error is None

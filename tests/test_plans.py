@@ -4,9 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators.images import extract_images
-from pageloom.operators.links import extract_links
-from pageloom.operators.pages import page_index
+from pageloom.operators.pages import documents_of, lookup_pages, page_index
 from pageloom.operators.search import documents_corpus, search
 from pageloom.plans import ORACLES, QUERIES
 from pageloom.sources.tables import write_page_store
@@ -41,9 +39,8 @@ def test_every_query_has_sql():
 
 
 def test_link_and_image_tables_do_not_shuffle(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet")
-    for df in (extract_links(pages), extract_images(pages)):
-        assert "Exchange" not in plan_of(df)
+    for name in ("link_table", "image_list"):
+        assert "Exchange" not in plan_of(QUERIES[name](spark, data))
 
 
 def test_index_shuffles_no_html(spark, data):
@@ -61,9 +58,15 @@ def test_search_keeps_only_top_rows(spark, data):
 def test_page_store_joins_without_shuffling_pages(spark, data, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS store LOCATION '{tmp_path}/store'")
     write_page_store(spark.read.parquet(f"{data}/pages.parquet"), "store.pages", 4)
-    asked = spark.read.parquet(f"{data}/pages.parquet").select(F.col("url").alias("page_key")).hint("merge")
-    plan = plan_of(asked.join(spark.table("store.pages"), "page_key"))
-    assert plan.count("Exchange hashpartitioning") == 1
+    store = spark.table("store.pages")
+    asked = spark.read.parquet(f"{data}/pages.parquet").select(F.col("url").alias("page_key"), F.lit("static").alias("engine"), "page_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (documents_of(asked, store, None), lookup_pages(asked.select(F.col("page_key").alias("url")), store)):
+            moved = [line for line in plan_of(df).splitlines() if "Exchange hashpartitioning" in line and "html" in line]
+            assert not moved
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("DROP DATABASE store CASCADE")
 
 

@@ -12,7 +12,7 @@ from pageloom.operators.joins import heavy_keys, salted_join
 from pageloom.operators.scrape import decide, normalize_requests, scrape, split_requests
 
 URL = "https://example.com/p"
-RICH = "<html><body><h1>Example</h1>" + "<p>Paragraph of meaningful content for testing purposes.</p>" * 100 + "</body></html>"
+RICH = "<html><body><h1>Example</h1>" + "<p>The harbour master counts the boats at noon.</p>" * 100 + "</body></html>"
 SHELL = '<html><body><div id="root"></div></body></html>'
 
 
@@ -69,7 +69,7 @@ def test_scrape_result_and_cache(spark):
     as_of = "2024-02-01 00:00:00"
     row = scrape(request(spark), pages(spark), as_of=as_of).first()
     assert row.metadata == {"scraped_at": "2024-02-01T00:00:00Z", "engine": "colly"}
-    assert row.markdown.startswith("# Example\n\nParagraph") and row.html == RICH and not row.cached
+    assert row.markdown.startswith("# Example\n\nThe harbour") and row.html == RICH and not row.cached
     stored = scrape(request(spark), pages(spark), as_of=as_of)
     from pageloom.operators.scrape import cache_rows
 
@@ -153,8 +153,8 @@ def random_log(seed, heavy=False):
 def test_cache_flags_equal_greedy(spark, monkeypatch, heavy):
     rows = random_log(3, heavy)
     if heavy:
-        # Force the salted path: a key with a fifth of the rows is heavy.
-        monkeypatch.setattr(cache_module, "heavy_keys", lambda df, keys, share: heavy_keys(df, keys, 5, 100))
+        # A key with a fifth of the rows is heavy, and none else.
+        monkeypatch.setattr(cache_module, "heavy_keys", lambda df, keys, share: heavy_keys(df, keys, 5))
     got = {r.request_id: r.cache_hit for r in cache_hit_flags(log(spark, rows)).collect()}
     assert got == greedy(rows)
 
@@ -172,8 +172,8 @@ def test_lookup_takes_newest_valid_entry(spark):
 def test_salted_join_keeps_every_row(spark):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    heavy = heavy_keys(left, ["k"], share=10, floor=10)
-    assert [r.k for r in heavy.collect()] == [0]
+    heavy = heavy_keys(left, ["k"], share=10)
+    assert [(r.k, r["_salts"]) for r in heavy.collect()] == [(0, 4)]  # a third of the rows in tenths
     salted = salted_join(left, right, ["k"], heavy, ["id"]).select("id", "k", "v")
     plain = left.join(right, "k", "left").select("id", "k", "v")
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

@@ -12,7 +12,7 @@ from pageloom.operators.runlog import request_metrics
 from pageloom.operators.scrape import scrape
 from pageloom.session import materialize_counted, scratch_root
 from pageloom.sources.tables import pages_from, read_cache, read_image_files, summaries, write_cache
-from pageloom.streaming.jobs import stream_queue_depth, stream_scrape
+from pageloom.streaming.jobs import rejects_of, stream_queue_depth, stream_scrape
 from pageloom.sources.tasks import stream_tasks
 
 PAD = "<p>Paragraph of meaningful content for testing purposes.</p>" * 100
@@ -147,6 +147,20 @@ def test_stream_is_replayable(spark, task_dir, tmp_path):
     for _ in range(2):
         stream_scrape(spark, task_dir, pages, out, checkpoint, with_images=False).awaitTermination()
         assert spark.read.parquet(out).count() == 9
+        rejected = spark.read.parquet(rejects_of(out)).collect()
+        assert sorted((r.task_id, r.error) for r in rejected) == [(i, "failed to unmarshal payload") for i in ("0", "4", "8")]
+
+
+def test_stream_rejects_requests_without_url(spark, tmp_path):
+    rows = [("a", '{"url":""}'), ("b", '{"mode":"static"}'), ("c", '{"url":"https://e.com/a"}')]
+    tasks = spark.createDataFrame(rows, "task_id string, payload string")
+    path, out = str(tmp_path / "tasks"), str(tmp_path / "out")
+    tasks.select("task_id", F.lit("scrape:url").alias("task_type"), F.lit("2024-01-01").alias("ts"), "payload").write.json(path)
+    pages = spark.createDataFrame([(1, "https://e.com/a", PAD)], "page_id long, url string, html string")
+    stream_scrape(spark, path, pages, out, str(tmp_path / "cp"), with_images=False).awaitTermination()
+    rejected = spark.read.parquet(rejects_of(out)).collect()
+    assert sorted((r.task_id, r.error) for r in rejected) == [("a", "URL is required"), ("b", "URL is required")]
+    assert [r.request_id for r in spark.read.parquet(out).collect()] == ["c"]
 
 
 def test_queue_depth_stream(spark, task_dir, tmp_path):
