@@ -8,7 +8,6 @@ memory. Words outside the lexicon are merged exactly, pair by pair.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap

@@ -19,7 +19,7 @@ from . import (
     substring_dedup,
     winnowing,
 )
-from .common import fold, table, whole_text
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

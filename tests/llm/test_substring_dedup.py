@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pageloom.llm import substring_dedup as S
 
