@@ -229,23 +229,20 @@ def _score_column(model: Model):
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 20_000) -> Model:
-    """Learn ``labels.quality`` from at most ``max_rows`` labelled documents.
+    """Learn ``labels.quality`` from about ``max_rows`` labelled documents at most.
 
-    The bound is the sample the driver fits on: the labels with the smallest
-    hash of their id, of those where ``usable`` (an expression over doc_id)
-    holds. Null ids or labels are left out; labels of one id are averaged, of
+    The bound is the sample the driver fits on: of the labels where ``usable``
+    (an expression over doc_id) holds, the share, by hash of the id, that makes
+    up so many rows; all if there are fewer. Null ids or labels are left out; labels of one id are averaged, of
     texts of one id the one with the least features is taken.
     """
     bound_batches(documents.sparkSession)
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     if usable is not None:
         rows = rows.filter(usable)
-    chosen = (
-        rows.groupBy("doc_id")
-        .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-    )
+    labelled = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    share = min(1.0, max_rows / max(1, labelled.count()))
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = (
         documents.select("doc_id", whole_text().alias("text"))
         .join(F.broadcast(chosen), "doc_id")
