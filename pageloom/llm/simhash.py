@@ -142,25 +142,46 @@ def simhash_groups(
         F.col(id_col).alias("id"), _fingerprint_column(shingle)(whole_text(text_col)).alias("fp")
     )
     hashed = materialize(hashed, "simhash")
-    firsts = hashed.groupBy("fp").agg(F.min("id").alias("first"))
+    named = _least_of_groups(hashed, "id", max_bits).withColumnRenamed("least", "component_id")
+    return hashed.join(named, "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _least_of_groups(hashed: DataFrame, value: str, max_bits: int) -> DataFrame:
+    """(fp, least): every fingerprint with the least ``value`` of its whole group."""
+    firsts = hashed.groupBy("fp").agg(F.min(value).alias("first"))
     edges = materialize(near_links(firsts.select("fp"), max_bits), "simhash-links")
     roots = connected_components(edges)
     members = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
     linked = members.join(firsts, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     groups = materialize(linked.join(least, "root").select("fp", "least"), "simhash-groups")
-    named = firsts.join(groups, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return hashed.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return firsts.join(groups, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``documents`` that keep one document of each group, the one
-    with the smallest ``doc_id``. Rows with one id are one document and go or
-    stay together; a row without id stays only if its group has no id."""
-    groups = simhash_groups(documents, shingle, max_bits)
-    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__dropped")
+    with the smallest ``doc_id`` (nulls last), then the smallest text hash.
+
+    Rows are judged one by one: a row goes only if its own group keeps another
+    document. Rows with the same id and text are one document and stay
+    together; rows without id are documents of their own, and of those with one
+    text the one with the least hash of all columns stays.
+    """
+    bound_batches(documents.sparkSession)
+    no_id, text = F.col("doc_id").isNull(), whole_text()
+    tie = F.when(no_id, F.xxhash64(F.to_json(F.struct("*")))).otherwise(F.lit(0).cast("bigint"))
+    key = F.struct(
+        no_id.alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("text_hash"), tie.alias("tie")
+    )
+    hashed = materialize(documents.select(key.alias("key"), _fingerprint_column(shingle)(text).alias("fp")), "simhash")
+    named = _least_of_groups(hashed, "key", max_bits)
+    dropped = (
+        hashed.join(named, "fp").filter(~F.col("key").eqNullSafe(F.col("least"))).select(F.col("key").alias("__dropped"))
     ).distinct()
-    return documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
+    same = [F.col("__key")[c].eqNullSafe(F.col("__dropped")[c]) for c in ("id", "text_hash", "tie")]
+    kept = documents.withColumn("__key", key).join(dropped, same, "left_anti")
+    # rows without id that are left with one key are equal in all columns
+    alone = kept.filter("doc_id is null").dropDuplicates(["__key"])
+    return kept.filter("doc_id is not null").union(alone).drop("__key")

@@ -102,6 +102,28 @@ def test_edges_of_a_table(frame, edges, spark):
     assert simhash.simhash_groups(frame([])).count() == 0
 
 
+def test_one_document_of_each_group(spark, frame, prose):
+    """Null and repeated ids against brute force over rows: every group keeps one document."""
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [
+        (None, a), (7, a), (None, b), (3, c), (5, c), (5, prose(4)), (None, prose(5)), (None, prose(5)), (9, prose(6)), (9, prose(6)),
+        (8, prose(7)), (8, prose(8)), (None, None), (None, ""), (2, prose(9)), (None, prose(9)), (2, prose(9)), (None, prose(10).upper()), (None, prose(10)),
+    ]
+    prints = [simhash._signed(plain_fingerprint(t or "")) for _, t in rows]
+    root = roots(set(prints), lambda x, y: ((x ^ y) % (1 << 64)).bit_count() <= 2)
+    groups = {}
+    for (id_, text), fp in zip(rows, prints):
+        groups.setdefault(root[fp], []).append((id_, text or ""))
+    kept = [(r.doc_id, r.text or "") for r in simhash.drop_near_duplicates(frame(rows)).collect()]
+    assert not set(kept) - {(i, t or "") for i, t in rows}
+    for members in groups.values():
+        mine = [m for m in kept if m in members]
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert len(set(mine)) == 1 and mine[0][0] == least
+        assert len(mine) == (1 if least is None else members.count(mine[0]))
+    assert len(kept) == sum(len([m for m in kept if m in members]) for members in groups.values())
+
+
 def test_query_has_every_document(spark, data):
     rows = QUERIES["op7_simhash"](spark, data)
     assert rows.columns == ["doc_id", "fingerprint", "component_id"]
