@@ -1,11 +1,15 @@
 """License scans: TF-IDF cosine of notices to templates, inherited from the nearest directory.
 
 A notice is a sentence with a word about licensing. Equal notices are scored
-once, so that a line which a third of all files share is one row.
+once, so that a line which a third of all files share is one row. Whole texts,
+leading comments and paragraphs are compared as such with standard headers and
+full texts, and SPDX tags are read as they stand.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,44 @@ FILE_NAMES = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 THRESHOLD = 0.6
 
 
+_GNU = (
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu {0}general public "
+    "license as published by the free software foundation either version {1} of the license or at your option any later version"
+)
+_GNU_REST = (
+    " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+    "of merchantability or fitness for a particular purpose see the gnu {0}general public license for more details you should "
+    "have received a copy of the gnu {0}general public license along with this program if not see http www gnu org licenses"
+)
+_GNUS = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "lesser ", "3"), ("AGPL-3.0", "affero ", "3"))
+_APACHE = (
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the "
+    "license you may obtain a copy of the license at http www.apache.org licenses license 2.0"
+)
+_APACHE_REST = (
+    " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as "
+    "is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+    "governing permissions and limitations under the license"
+)
+# Standard headers, the naming paragraph alone and the whole.
+HEADERS = (
+    ("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE + _APACHE_REST),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not "
+     "distributed with this file you can obtain one at https mozilla.org mpl 2.0"),
+    *((name, (_GNU + rest).format(kind, version)) for name, kind, version in _GNUS for rest in ("", _GNU_REST)),
+)
+BLOCK_THRESHOLD = 0.8
+PARAGRAPHS = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+LEADING_COMMENT = r"^(?:[ \t]*(?:#|//|/?[*]|;|--|<!--)[^\n]*(?:\n|$))+"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the standard texts beside this module."""
+    folder = Path(__file__).with_name("license_texts")
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERMS), F.lit(0))
 
@@ -89,21 +131,77 @@ def judge_notices(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def judge_blocks(rows: DataFrame, threshold: float = BLOCK_THRESHOLD) -> DataFrame:
+    """(path, license, score, words) of whole texts, leading comments and
+    paragraphs with a cue that come near a standard header or full text.
+
+    Equal blocks of all files add up under one hash, which leaves their cosine
+    as it is. Weights are those of notices, with N and df over the templates.
+    """
+    spark = rows.sparkSession
+    blocks = F.concat(
+        F.array(F.col("text"), F.regexp_extract("text", LEADING_COMMENT, 0)), F.split("text", PARAGRAPHS)
+    )
+    blocks = F.array_distinct(F.transform(F.filter(blocks, lambda b: F.lower(b).rlike(CUES)), lambda b: F.trim(b)))
+    found = rows.select("path", F.explode(blocks).alias("block")).select(
+        "path", terms(F.col("block")).alias("terms"), F.xxhash64("block").alias("block")
+    )
+    names = [*HEADERS, *full_texts()]
+    templates = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(names)], "template int, text string")
+    parts = templates.select("template", F.explode(terms(F.col("text"))).alias("term"))
+    parts = parts.groupBy("template", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rare = F.log(F.lit(1.0 + len(names))) + 1
+    idf = parts.groupBy("term").agg((rare - F.log(1.0 + F.count(F.lit(1)))).alias("idf"))
+    theirs = parts.join(idf, "term").withColumn("v", F.col("tf") * F.col("idf"))
+    sizes = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    unit = F.map_from_entries(F.collect_list(F.struct("template", F.col("v") / F.col("size"))))
+    unit = theirs.join(sizes, "template").groupBy("term", "idf").agg(unit.alias("units"))
+    unit = unit.select("term", "idf", F.array(*[F.coalesce(F.col("units")[i], F.lit(0.0)) for i in range(len(names))]).alias("unit"))
+    counted = found.select("block", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count(F.lit(1)).alias("tf"))
+    mine = counted.join(F.broadcast(unit), "term", "left")  # the terms of the fixed templates
+    mine = mine.withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    dots = [F.sum(F.col("w") * F.col("unit")[i]).alias(f"d{i}") for i in range(len(names))]
+    sums = mine.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    scores = F.array_min(
+        F.array(
+            *[
+                F.struct((-F.round(F.coalesce(f"d{i}", F.lit(0.0)) / F.col("norm"), 6)).alias("low"), F.lit(name).alias("license"))
+                for i, (name, _) in enumerate(names)
+            ]
+        )
+    )
+    judged = sums.select("block", scores.alias("best")).filter(-F.col("best.low") >= threshold)
+    return found.select("path", "block", F.size("terms").alias("words")).join(judged, "block").select(
+        "path", F.col("best.license").alias("license"), (-F.col("best.low")).alias("score"), "words"
+    )
+
+
+def spdx_tags(rows: DataFrame) -> DataFrame:
+    """(path, license, score, words) of SPDX tags, with score 1; GNU names lose their "only" or "or later"."""
+    tag = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
+    found = rows.select("path", tag.alias("tag"))
+    name = F.regexp_replace(F.trim("tag"), r"(?i)(GPL-[0-9.]*[0-9])(-only|-or-later|[+])", "$1")
+    return found.select("path", name.alias("license"), F.lit(1.0).alias("score"), (3 + F.size(terms(F.col("tag")))).alias("words"))
+
+
 def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, score, origin, declared_in) of every row of ``files`` (path, text).
 
-    ``origin`` is ``own`` if a notice in the text names the licence (the best
+    ``origin`` is ``own`` if a notice, SPDX tag, header or full text names the licence (the best
     score, then the first name), ``inherited`` if the nearest directory above
     with a licence file gives it, else null. A licence file is one so named, or
-    one of whose terms at least half are in notices that name a licence; of several in a
+    one of whose terms at least half are in notices that name a licence (or in one such block); of several in a
     directory the first path counts. Null texts are empty; a null path has no
     directory. Repeated paths are one file; repeated rows stay.
     """
     rows = files.select("path", whole_text().alias("text"))
     found = notices(rows)
     named = found.join(judge_notices(found, threshold), "notice")
-    own = named.groupBy("path").agg(
-        F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("best"), F.sum("words").alias("noticed")
+    lines = named.select("path", "license", "score", "words", F.col("words").alias("line_words"))
+    larger = judge_blocks(rows).union(spdx_tags(rows)).withColumn("line_words", F.lit(0))
+    own = lines.union(larger).groupBy("path").agg(
+        F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("best"),
+        F.greatest(F.sum("line_words"), F.max("words")).alias("noticed"),
     )
     own = own.select(
         F.col("path").alias("own_path"), F.col("best.license").alias("own"), (-F.col("best.low")).alias("own_score"), "noticed"

@@ -171,6 +171,34 @@ def test_notices_and_inheritance(spark):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_standard_texts_headers_and_tags(spark):
+    """Texts, headers and tags as they are found in the wild, wrapped and commented."""
+    import textwrap
+
+    def comment(text, mark):
+        return "\n".join(f"{mark} {line}".rstrip() for line in textwrap.wrap(text, 70))
+
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    )
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )
+    code = "\n\nimport os\n\n\ndef run(path, other):\n    return os.listdir(path) + other\n" * 5
+    tag = "SPDX-License-Identifier:"
+    rows = [(f"full/{n}/x", "Copyright (c) 2020 Jane Doe\n\n" + t, n) for n, t in licenses.full_texts()] + [
+        ("h/apache.py", "# Copyright 2021 Somebody\n#\n" + comment(apache, "#") + code, "Apache-2.0"),
+        ("h/gpl.py", comment(gpl, " *") + code, "GPL-3.0"), ("s/a.c", f"// {tag} MIT" + code, "MIT"),
+        ("s/b.c", f"/* {tag} GPL-2.0-or-later */" + code, "GPL-2.0"), ("s/c.c", f"# {tag} Apache-2.0" + code, "Apache-2.0"),
+        ("s/d.c", "the licence of the text and of the words is a matter for the owner" + code, None),
+    ]
+    files = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    got = {r.path: r.license if r.origin == "own" else None for r in licenses.scan_licenses(files).collect()}
+    assert got == {path: name for path, _, name in rows}
+
+
 def test_licences_equal_sql(spark, data):
     import duckdb
 
