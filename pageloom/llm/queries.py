@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    collocations,
     decontaminate,
+    embedding_join,
     gam,
     html_blocks,
     licenses,
     ppm,
     secret_scan,
     simhash,
+    spelling,
     substring_dedup,
     winnowing,
 )
@@ -107,3 +110,19 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Documents have no paths; source, language and id stand for directories and file."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.scan_licenses(table(spark, folder, "documents").select(path.alias("path"), "text"))
+
+
+@query(collocations.SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = collocations.collocations(table(spark, folder, "documents"))
+    return collocations.best_collocations(candidates).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query()
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, folder, "documents"))
+
+
+@query(embedding_join.SQL)
+def op13_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, folder, "embeddings"))
