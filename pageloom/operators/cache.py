@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .asof import as_of
 from .joins import heavy_keys, salted_join
 
 TTL_SECONDS = 7 * 24 * 3600
@@ -15,42 +16,19 @@ def _week(ts, ttl: int):
     return F.floor(F.unix_micros(ts) / F.lit(ttl * 1_000_000)).cast("bigint")
 
 
-def match_cache(
-    requests: DataFrame, cache: DataFrame, id_column: str, ts_column: str, ttl: int = TTL_SECONDS
-) -> DataFrame:
-    """``id, cache_key, cached_at`` of the newest entry valid at each request.
-
-    An as-of join as an equi-join: an entry can only serve requests in its own
-    life-long slot of time or the next one, so the slot joins the key and a key
-    with a long history meets two slots of it, not all.
-    """
-    slot = _week(F.col("cached_at"), ttl)
-    entries = (
-        cache.select("cache_key", "cached_at")
-        .distinct()
-        .withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    )
-    asked = requests.select(id_column, "cache_key", F.col(ts_column).cast("timestamp").alias("_ts")).withColumn(
-        "_slot", _week(F.col("_ts"), ttl)
-    )
-    valid = (F.col("cached_at") <= F.col("_ts")) & (
-        F.unix_micros("_ts") < F.unix_micros("cached_at") + ttl * 1_000_000
-    )
-    return (
-        asked.join(entries, ["cache_key", "_slot"])
-        .filter(valid)
-        .groupBy(id_column, "cache_key")
-        .agg(F.max("cached_at").alias("cached_at"))
-    )
+def match_cache(requests: DataFrame, cache: DataFrame, ts_column: str, ttl: int = TTL_SECONDS) -> DataFrame:
+    """``requests`` with ``cached_at`` of the newest entry valid at each, NULL on
+    a miss. Entries do not outlive newer ones, so it is the newest entry at or
+    before the request, unless that one has expired."""
+    found = as_of(requests, cache, "cache_key", ts_column, "cached_at", "cached_at")
+    alive = F.unix_micros(F.col(ts_column).cast("timestamp")) < F.unix_micros("cached_at") + ttl * 1_000_000
+    return found.withColumn("cached_at", F.when(alive, F.col("cached_at")))
 
 
-def lookup_cache(
-    requests: DataFrame, cache: DataFrame, id_column: str, ts_column: str, ttl: int = TTL_SECONDS
-) -> DataFrame:
+def lookup_cache(requests: DataFrame, cache: DataFrame, ts_column: str, ttl: int = TTL_SECONDS) -> DataFrame:
     """Requests with ``cached_at`` and ``result`` (NULL on a miss). Results are
     attached last, after the narrow match."""
-    hit = match_cache(requests, cache, id_column, ts_column, ttl)
-    return with_results(requests.join(hit, [id_column, "cache_key"], "left"), cache)
+    return with_results(match_cache(requests, cache, ts_column, ttl), cache)
 
 
 def with_results(matched: DataFrame, cache: DataFrame) -> DataFrame:

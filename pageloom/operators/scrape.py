@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import markdown
 from ..functions.requests import cache_key, mark_cached, metadata_map, resolve_mode
 from ..functions.urls import key_of
+from ..session import materialize
 from .cache import match_cache, with_results
 from .images import image_arrays
 from .pages import ENGINE_NAMES, asked_pages, choice_for, chosen_page_id, documents_of, missing_errors, page_index
@@ -86,8 +87,7 @@ def scrape(
     hits = None
     if cache is not None:
         # The match is narrow; stored results are attached to hits alone.
-        found = match_cache(asked.withColumn("_at", at), cache, "request_id", "_at")
-        matched = asked.join(found, ["request_id", "cache_key"], "left")
+        matched = materialize(match_cache(asked.withColumn("asked_at", at), cache, "asked_at").drop("asked_at"), "cache-matches")
         hits = with_results(matched.filter(F.col("cached_at").isNotNull()), cache)
         open_requests = matched.filter(F.col("cached_at").isNull()).drop("cached_at")
     # What is asked of a page has few forms, so deciding on distinct forms keeps

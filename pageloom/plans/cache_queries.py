@@ -23,8 +23,7 @@ def cache_lookup(spark, folder):
     key = F.col("user_id").cast("string")
     entries = log.filter(F.col("event_type") == "purchase").select(key.alias("cache_key"), F.col("ts").alias("cached_at"))
     asked = log.select("event_id", key.alias("cache_key"), "ts")
-    hit = match_cache(asked, entries, "event_id", "ts").select("event_id", "cached_at")
-    return asked.join(hit, "event_id", "left").select("event_id", F.unix_micros("cached_at").alias("cached_at"))
+    return match_cache(asked, entries, "ts").select("event_id", F.unix_micros("cached_at").alias("cached_at"))
 
 
 @query(

@@ -164,7 +164,7 @@ def test_lookup_takes_newest_valid_entry(spark):
         [("k", days(0), "a"), ("k", days(5), "b"), ("k", days(20), "c"), ("x", days(1), "d")], "cache_key string, cached_at timestamp, result string"
     )
     asked = [("k", days(d), i) for i, d in enumerate([-1, 0, 4, 6.99, 11.9, 12, 20, 26.9, 27])]
-    got = lookup_cache(log(spark, asked), entries, "request_id", "ts").orderBy("request_id").collect()
+    got = lookup_cache(log(spark, asked), entries, "ts").orderBy("request_id").collect()
     assert [r.result for r in got] == [None, "a", "a", "b", "b", None, "c", "c", None]
     assert {r.cache_key: r.result for r in newest_entries(entries).collect()} == {"k": "c", "x": "d"}
 
