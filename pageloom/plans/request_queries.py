@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import requests as R
 from ..operators import runlog
-from ..operators.scrape import split_requests
 from ..session import scratch_path
 from ..sources.tables import read_results_json, write_results_json
-from ..sources.tasks import crawl_jobs, scrape_requests
+from ..sources.tasks import NO_URL, decode_tasks
 from .registry import AS_OF, load, query
 
 _MODES = "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'static' WHEN 2 THEN 'dynamic' WHEN 3 THEN 'turbo' END"
@@ -111,41 +110,34 @@ def _tasks(spark, folder):
   CASE WHEN event_type = 'error' THEN 'failed to unmarshal payload' END AS error FROM events"""
 )
 def request_decode(spark, folder):
-    """JSON payloads routed by task type, bad ones rejected."""
-    tasks = _tasks(spark, folder)
-    good_s, bad_s = scrape_requests(tasks)
-    good_c, bad_c = crawl_jobs(tasks)
-    null = F.lit(None)
-    parts = [
-        good_s.select(F.col("request_id").alias("id"), F.lit("scrape").alias("kind"), "url", "render", "mode",
-                      null.cast("int").alias("depth"), null.cast("int").alias("lim"), null.cast("string").alias("error")),
-        good_c.select(F.col("crawl_id").alias("id"), F.lit("crawl").alias("kind"), "url", null.cast("boolean").alias("render"),
-                      null.cast("string").alias("mode"), F.col("maxDepth").alias("depth"), F.col("limit").alias("lim"),
-                      null.cast("string").alias("error")),
-    ]
-    for bad, kind in ((bad_s, "scrape"), (bad_c, "crawl")):
-        parts.append(
-            bad.select(F.col("task_id").alias("id"), F.lit(kind).alias("kind"), null.cast("string").alias("url"),
-                       null.cast("boolean").alias("render"), null.cast("string").alias("mode"),
-                       null.cast("int").alias("depth"), null.cast("int").alias("lim"), "error")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """JSON payloads read as their task type says, bad ones with an error, in one scan."""
+    tasks = decode_tasks(_tasks(spark, folder))
+    return tasks.select(
+        F.col("task_id").alias("id"),
+        F.split_part("task_type", F.lit(":"), F.lit(1)).alias("kind"),
+        F.coalesce("scrape.url", "crawl.url").alias("url"),
+        "scrape.render",
+        "scrape.mode",
+        F.col("crawl.maxDepth").alias("depth"),
+        F.col("crawl.limit").alias("lim"),
+        F.when(F.col("error") != NO_URL, F.col("error")).alias("error"),
+    )
 
 
 @query(
-    """SELECT CAST(event_id AS VARCHAR) AS request_id, event_id % 10 <> 9 AS accepted,
-  CASE WHEN event_id % 10 = 9 THEN 'URL is required' END AS error FROM events WHERE event_type <> 'error' AND event_id % 2 = 1"""
+    """SELECT CAST(event_id AS VARCHAR) AS request_id, CASE event_id % 10 WHEN 6 THEN 'media:url' WHEN 8 THEN NULL ELSE task_type END AS task_type, payload,
+  CASE WHEN event_id % 10 IN (6, 8) THEN 'unknown task type' WHEN event_type = 'error' THEN 'failed to unmarshal payload'
+    WHEN event_id % 10 = 9 THEN 'URL is required' END AS error
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'scrape:url' ELSE 'crawl:site' END AS task_type,
+  CASE WHEN event_type = 'error' THEN '{broken ' || props END AS payload FROM events)"""
 )
 def request_required(spark, folder):
-    """Accepted and rejected requests."""
-    jobs = crawl_jobs(_tasks(spark, folder))[0].withColumnRenamed("crawl_id", "request_id")
-    good, bad = split_requests(jobs)
-    return good.select("request_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("error")).unionByName(
-        bad.select("request_id", F.lit(False).alias("accepted"), "error")
-    )
+    """Accepted and rejected tasks of all types; rejects keep what they came with."""
+    n = F.col("task_id").cast("bigint")
+    task_type = F.when(n % 10 == 6, F.lit("media:url")).when(n % 10 != 8, F.col("task_type"))
+    tasks = _tasks(spark, folder).withColumn("task_type", task_type)
+    broken = F.when(F.col("payload").startswith("{broken"), F.col("payload"))
+    return decode_tasks(tasks).select(F.col("task_id").alias("request_id"), "task_type", broken.alias("payload"), "error")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,23 +44,66 @@ def read_results_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_cache(entries: DataFrame, path: str) -> None:
-    """Append cache entries by day, so expired days can be dropped whole."""
+#: Entries that no micro-batch wrote.
+NO_BATCH = -1
+
+
+def write_cache(entries: DataFrame, path: str, batch_id: int = NO_BATCH) -> None:
+    """Entries by day and, below it, by the micro-batch that made them. A batch
+    that runs again replaces what it wrote; entries without batch are added."""
+    replay = batch_id != NO_BATCH
     (
-        entries.withColumn("cached_on", F.to_date("cached_at"))
-        .write.mode("append")
-        .partitionBy("cached_on")
+        entries.withColumns({"cached_on": F.to_date("cached_at"), "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite" if replay else "append")
+        .option("partitionOverwriteMode", "dynamic" if replay else "static")
+        .partitionBy("cached_on", "batch_id")
         .option("compression", "zstd")
         .parquet(path)
     )
 
 
-def read_cache(spark: SparkSession, path: str, oldest=None) -> DataFrame:
-    """Cache entries, pruned to the days that can still be valid."""
-    rows = spark.read.parquet(path)
+def read_cache(
+    spark: SparkSession, path: str, oldest: str | None = None, newest: str | None = None, before_batch: int | None = None
+) -> DataFrame | None:
+    """Cache entries of the days from ``oldest`` to ``newest`` (``yyyy-MM-dd``)
+    that batches before ``before_batch`` made; None if there are none.
+
+    With both days given only their folders are listed, so the cost does not
+    depend on how long the cache has been written.
+    """
+    folders = path
+    if oldest is not None and newest is not None:
+        days = spark.sql("SELECT array_join(sequence(to_date(:a), to_date(:b)), ',') AS d", {"a": oldest, "b": newest}).first().d
+        folders = f"{path}/cached_on={{{days}}}"
+    try:
+        rows = spark.read.option("basePath", path).parquet(folders)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
     if oldest is not None:
         rows = rows.filter(F.col("cached_on") >= F.to_date(F.lit(oldest)))
-    return rows.drop("cached_on")
+    if newest is not None:
+        rows = rows.filter(F.col("cached_on") <= F.to_date(F.lit(newest)))
+    if before_batch is not None:
+        rows = rows.filter(F.col("batch_id") < before_batch)
+    return rows.drop("cached_on", "batch_id")
+
+
+def expire_cache(spark: SparkSession, path: str, oldest: str) -> list[str]:
+    """Drop the folders of days before ``oldest`` and return these days. No entry
+    is read: a day goes as a whole once its last entry has expired."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    gone = []
+    for status in files.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith("cached_on=") and name.split("=")[1] < oldest:
+            files.delete(status.getPath(), True)
+            gone.append(name.split("=")[1])
+    return sorted(gone)
 
 
 def summaries(results: DataFrame) -> DataFrame:

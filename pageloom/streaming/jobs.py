@@ -10,9 +10,10 @@ from ..functions.requests import mark_cached
 from ..operators.cache import TTL_SECONDS, cache_hit_flags
 from ..operators.crawl import crawl
 from ..operators.runlog import queue_depth
-from ..operators.scrape import cache_rows, scrape, split_requests
+from ..operators.scrape import cache_rows, scrape
 from ..session import materialize
-from ..sources.tasks import crawl_jobs, scrape_requests, stream_tasks
+from ..sources.tables import expire_cache, read_cache, write_cache
+from ..sources.tasks import CRAWL_TASK, SCRAPE_TASK, decode_tasks, rejected, runnable, stream_tasks
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, once: bool) -> StreamingQuery:
@@ -31,13 +32,12 @@ def rejects_of(out: str) -> str:
     return f"{out.rstrip('/')}-rejected"
 
 
-def _write_rejects(undecoded: DataFrame, unusable: DataFrame, id_column: str, out: str, batch_id: int) -> None:
-    """Tasks whose payload cannot be read, or lacks its URL, with their error."""
-    lacking = unusable.select(
-        F.col(id_column).alias("task_id"), "ts", F.lit(None).cast("string").alias("payload"), "error"
-    )
-    rejected = undecoded.select("task_id", "ts", "payload", "error").unionByName(lacking)
-    rejected.write.mode("overwrite").parquet(_batch_path(rejects_of(out), batch_id))
+def _take(batch: DataFrame, batch_id: int, task_type: str, id_column: str, out: str) -> DataFrame:
+    """The tasks of a batch that can run. The batch is read and parsed once; its
+    rejects, among them tasks of unknown type, are written with their payload."""
+    decoded = materialize(decode_tasks(batch), "decoded-tasks")
+    rejected(decoded, task_type).write.mode("overwrite").parquet(_batch_path(rejects_of(out), batch_id))
+    return runnable(decoded, task_type, id_column)
 
 
 def stream_scrape(
@@ -55,9 +55,7 @@ def stream_scrape(
     ``index`` and a page store so that a batch reads only what it asks for."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded, undecoded = scrape_requests(batch)
-        requests, unusable = split_requests(decoded)
-        _write_rejects(undecoded, unusable, "request_id", out, batch_id)
+        requests = _take(batch, batch_id, SCRAPE_TASK, "request_id", out)
         results = scrape(requests, pages, rendered, index=index, with_images=with_images)
         results.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
@@ -76,11 +74,8 @@ def stream_crawl(
     """Crawl tasks in, crawled pages out; all jobs of a batch run together."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded, undecoded = crawl_jobs(batch)
-        jobs, unusable = split_requests(decoded)
-        _write_rejects(undecoded, unusable, "crawl_id", out, batch_id)
-        stored = materialize(jobs, "crawl-jobs")
-        crawl(stored, index, links).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        jobs = _take(batch, batch_id, CRAWL_TASK, "crawl_id", out)
+        crawl(jobs, index, links).write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
     return _start(stream_tasks(spark, jobs_dir), handle, checkpoint, once)
 
@@ -102,25 +97,20 @@ def stream_cached_scrape(
     requests the first per key and life time is scraped and written to the
     cache folder of this batch; later ones are answered from it. Requests are
     expected in time order across batches.
-    """
 
-    def cache_of(before: int) -> DataFrame | None:
-        """Entries of all earlier batches, each of which wrote its folder; a
-        replayed batch never sees its own."""
-        if before == 0:
-            return None
-        rows = spark.read.parquet(cache_dir)
-        return rows.filter(F.col("batch_id") < before).drop("batch_id")
+    The cache lies by day, so a batch lists and reads the days within one life
+    time of its requests, and drops those before them: its cost does not grow
+    with the number of batches before. A batch that runs again sees what it saw
+    the first time, as it reads earlier batches only and has dropped no day it
+    needs.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded, undecoded = scrape_requests(batch)
-        requests, unusable = split_requests(decoded)
-        _write_rejects(undecoded, unusable, "request_id", out, batch_id)
-        stored = materialize(requests, "requests")
-        cache = cache_of(batch_id)
-        oldest = stored.agg(F.min("ts")).first()[0]
-        if cache is not None and oldest is not None:
-            cache = cache.filter(F.unix_micros("cached_at") > F.unix_micros(F.lit(oldest)) - TTL_SECONDS * 1_000_000)
+        stored = _take(batch, batch_id, SCRAPE_TASK, "request_id", out)
+        life = F.make_dt_interval(secs=F.lit(TTL_SECONDS))
+        day = [F.date_format(x, "yyyy-MM-dd") for x in (F.min("ts") - life, F.max("ts"))]
+        oldest, newest = stored.agg(*day).first()
+        cache = None if oldest is None else read_cache(spark, cache_dir, oldest, newest, before_batch=batch_id)
         first_pass = materialize(scrape(stored, pages, rendered, cache), "first-pass")
         hits = first_pass.filter("cached")
         fresh = first_pass.filter(~F.col("cached"))
@@ -129,13 +119,15 @@ def stream_cached_scrape(
         )
         misses = flagged.filter(~F.col("cache_hit")).select("request_id")
         entries = cache_rows(fresh.join(misses, "request_id", "left_semi"), F.col("ts"))
-        entries.write.mode("overwrite").parquet(_batch_path(cache_dir, batch_id))
+        write_cache(entries, cache_dir, batch_id)
         repeats = flagged.filter("cache_hit").select("request_id")
         again = fresh.join(repeats, "request_id", "left_semi").withColumns(
             {"cached": F.lit(True), "metadata": mark_cached(F.col("metadata"))}
         )
         rest = fresh.join(repeats, "request_id", "left_anti")
         hits.unionByName(again).unionByName(rest).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if oldest is not None:
+            expire_cache(spark, cache_dir, oldest)
 
     return _start(stream_tasks(spark, requests_dir, max_files), handle, checkpoint, once)
 

@@ -11,9 +11,9 @@ from pageloom.operators.quantiles import exact_quantiles
 from pageloom.operators.runlog import request_metrics
 from pageloom.operators.scrape import scrape
 from pageloom.session import materialize_counted, scratch_root
-from pageloom.sources.tables import pages_from, read_cache, read_image_files, summaries, write_cache
-from pageloom.streaming.jobs import rejects_of, stream_queue_depth, stream_scrape
-from pageloom.sources.tasks import stream_tasks
+from pageloom.sources.tables import expire_cache, pages_from, read_cache, read_image_files, summaries, write_cache
+from pageloom.streaming.jobs import rejects_of, stream_cached_scrape, stream_queue_depth, stream_scrape
+from pageloom.sources.tasks import decode_tasks, rejected, runnable, stream_tasks
 
 PAD = "<p>Paragraph of meaningful content for testing purposes.</p>" * 100
 
@@ -116,14 +116,72 @@ def test_image_files(spark, tmp_path):
     assert rows[1].error == "image exceeded size limit (5242880 bytes max)"
 
 
-def test_cache_table(spark, tmp_path):
-    entries = spark.createDataFrame([("k", 1), ("k", 9)], "cache_key string, d int").select(
+def entries_of(spark, *days):
+    rows = spark.createDataFrame([("k", d) for d in days], "cache_key string, d int")
+    return rows.select(
         "cache_key", F.expr("timestamp'2024-01-01 12:00:00' + make_dt_interval(d)").alias("cached_at"), F.lit("r").alias("result")
     )
+
+
+def test_cache_table(spark, tmp_path):
     path = str(tmp_path / "cache")
-    write_cache(entries, path)
+    assert read_cache(spark, path) is None and expire_cache(spark, path, "2024-01-05") == []
+    write_cache(entries_of(spark, 1, 9), path)
     assert read_cache(spark, path).count() == 2
     assert read_cache(spark, path, "2024-01-05").count() == 1
+    assert read_cache(spark, path, "2024-01-03", "2024-01-09") is None
+
+
+def test_cache_by_batch(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for batch in range(4):
+        write_cache(entries_of(spark, batch, batch + 10), path, batch)
+    write_cache(entries_of(spark, 2, 12), path, 2)  # runs again
+    assert read_cache(spark, path).count() == 8
+    seen = read_cache(spark, path, "2024-01-02", "2024-01-12", before_batch=2)
+    assert sorted(str(r.cached_at.date()) for r in seen.collect()) == ["2024-01-02", "2024-01-11", "2024-01-12"]
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "cached_on" in filters and "batch_id" in filters
+    # of the days written, 1 to 4 and 11 to 14, only the asked ones are listed
+    assert {f.split("cached_on=")[1][8:10] for f in seen.inputFiles()} == {"02", "03", "04", "11", "12"}
+    assert expire_cache(spark, path, "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert read_cache(spark, path).count() == 6
+
+
+def test_cached_stream_over_many_days(spark, tmp_path):
+    """One file a batch: every day a request for one page. Days that no later
+    request can hit are dropped; hits and misses are those of the rule."""
+    tasks, out, cache = (str(tmp_path / name) for name in ("tasks", "out", "cache"))
+    days = [0, 1, 6, 7, 8, 13, 14, 15, 30, 31]
+    pages = spark.createDataFrame([(1, "https://e.com/a", PAD)], "page_id long, url string, html string")
+    payload = '{"url":"https://e.com/a","mode":"static"}'
+    for day in days:
+        row = spark.createDataFrame([(str(day), "scrape:url", payload, day)], "task_id string, task_type string, payload string, d int")
+        at = F.expr("timestamp'2024-01-01 12:00:00' + make_dt_interval(d)").alias("ts")
+        row.select("task_id", "task_type", at, "payload").coalesce(1).write.mode("append").json(tasks)
+        stream_cached_scrape(spark, tasks, pages, cache, out, str(tmp_path / "cp"), max_files=1).awaitTermination()
+    got = {int(r.request_id): r.cached for r in spark.read.parquet(out).collect()}
+    assert got == {d: d not in (0, 7, 14, 30) for d in days}
+    assert sorted(p.name for p in (tmp_path / "cache").glob("cached_on=*")) == ["cached_on=2024-01-31"]
+
+
+def test_decode_tasks_in_one_scan(spark, tmp_path):
+    rows = [
+        ("a", "scrape:url", '{"url":"https://e.com/a","images":true,"maxDepth":"x"}'), ("b", "crawl:site", '{"url":"https://e.com/b","maxDepth":3}'),
+        ("c", "crawl:site", '{"url":"https://e.com/b","maxDepth":"x"}'), ("d", "crawl:site", '{"limit":3}'), ("e", "scrape:url", None),
+        ("f", "scrape:url", "{bad"), ("g", "media:url", '{"url":"https://e.com/m"}'), ("h", None, "{}"), ("i", "scrape:url", "[]"), ("j", "scrape:url", ""),
+    ]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "task_id string, task_type string, payload string").withColumn("ts", F.lit(None).cast("timestamp")).write.parquet(path)
+    decoded = decode_tasks(spark.read.parquet(path))
+    assert decoded._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    errors = {r.task_id: r.error for r in decoded.collect()}
+    bad, none, type_ = "failed to unmarshal payload", "URL is required", "unknown task type"
+    assert errors == {"a": None, "b": None, "c": bad, "d": none, "e": bad, "f": bad, "g": type_, "h": type_, "i": bad, "j": bad}
+    assert [tuple(r) for r in runnable(decoded, "crawl:site", "crawl_id").select("crawl_id", "url", "maxDepth").collect()] == [("b", "https://e.com/b", 3)]
+    kept = {r.task_id: r.payload for r in rejected(decoded, "scrape:url").collect()}
+    assert kept == {t: p for t, k, p in rows if t in "efghij"}
 
 
 def test_counted_write_and_scratch(spark):
@@ -159,7 +217,7 @@ def test_stream_rejects_requests_without_url(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://e.com/a", PAD)], "page_id long, url string, html string")
     stream_scrape(spark, path, pages, out, str(tmp_path / "cp"), with_images=False).awaitTermination()
     rejected = spark.read.parquet(rejects_of(out)).collect()
-    assert sorted((r.task_id, r.error) for r in rejected) == [("a", "URL is required"), ("b", "URL is required")]
+    assert sorted((r.task_id, r.error, r.payload) for r in rejected) == [("a", "URL is required", '{"url":""}'), ("b", "URL is required", '{"mode":"static"}')]
     assert [r.request_id for r in spark.read.parquet(out).collect()] == ["c"]
 
 
