@@ -91,16 +91,20 @@ def omit_empty_list(column: Column) -> Column:
     return F.when(F.size(column) > 0, column)
 
 
-def result_envelope(url: Column, markdown: Column, html: Column, metadata: Column, images: Column) -> Column:
-    """JSON of one result without its empty optional fields."""
-    fields = F.struct(
+def result_fields(url: Column, markdown: Column, html: Column, metadata: Column, images: Column) -> Column:
+    """One result as a struct whose empty optional fields are NULL."""
+    return F.struct(
         url.alias("url"),
         F.coalesce(markdown, F.lit("")).alias("markdown"),
         omit_empty(html).alias("html"),
         F.when(F.size(metadata) > 0, metadata).alias("metadata"),
         omit_empty_list(images).alias("images"),
     )
-    return F.to_json(fields, {"ignoreNullFields": "true"})
+
+
+def result_envelope(url: Column, markdown: Column, html: Column, metadata: Column, images: Column) -> Column:
+    """JSON of one result without its empty optional fields."""
+    return F.to_json(result_fields(url, markdown, html, metadata, images), {"ignoreNullFields": "true"})
 
 
 def summary_line(url: Column) -> Column:

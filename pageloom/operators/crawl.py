@@ -19,17 +19,47 @@ Sizes that follow from the rules and bound every group:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.requests import MAX_DEPTH, MAX_LIMIT, clamp_crawl_limit, clamp_depth, resolve_mode
+from ..functions.markdown import markdown
+from ..functions.requests import (
+    MAX_DEPTH,
+    MAX_LIMIT,
+    clamp_crawl_limit,
+    clamp_depth,
+    metadata_map,
+    omit_empty_list,
+    resolve_mode,
+    result_fields,
+)
 from ..functions.reuse import reuse
 from ..functions.urls import explode_positions, hostname, is_parsable_url, key_of
-from ..session import materialize, materialize_counted
-from .links import crawl_links
-from .pages import NOT_FOUND, choice_for, chosen_page_id, missing_errors, page_index, with_page_key
-
-OUTPUT = ("crawl_id", "seq", "url", "depth", "parent_seq", "engine", "error")
+from ..session import materialize_bucketed, materialize_counted
+from .images import image_arrays
+from .links import page_links
+from .pages import (
+    DYNAMIC,
+    ENGINE_NAMES,
+    NOT_FOUND,
+    STATIC,
+    _dynamic_error,
+    _static_columns,
+    _with_id,
+    asked_pages,
+    choice_for,
+    chosen_page_id,
+    documents_of,
+    index_of,
+    missing_errors,
+    with_page_key,
+)
+
+OUTPUT = ("crawl_id", "seq", "url", "depth", "parent_seq", "engine", "error", "page_id")
+#: A link belongs to one snapshot of a page.
+LINK_KEYS = ["page_key", "engine", "page_id"]
+#: Hosts that may be broadcast (some megabytes).
+FEW_HOSTS = 100_000
 _SPEC = ("url", "mode", "screenshot", "maxDepth", "limit")
 
 
@@ -86,10 +116,11 @@ def _admit(level: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
     """Next frontier: links of the level's pages in page and link order, each
     admitted once and only while a place is open. The depth is read from the
     rows, so every level runs the same generated code."""
+    # bucketed links are joined on exactly the keys they are bucketed by
     open_pages = level.filter(
         F.col("error").isNull() & (F.col("depth") < F.col("maxDepth")) & (F.col("cap") > 0)
     ).select("spec_id", "seq", "cap", F.col("url").alias("page_key"), "engine", "page_id")
-    candidates = open_pages.join(links, ["page_key", "engine", "page_id"]).select(
+    candidates = open_pages.join(links, LINK_KEYS).select(
         "spec_id", "cap", "seq", "pos", F.col("link_norm").alias("url")
     )
     fresh = candidates.join(visited, ["spec_id", "url"], "left_anti")
@@ -150,9 +181,9 @@ def crawl(
 ) -> DataFrame:
     """Pages of every crawl in visiting order.
 
-    ``index`` comes from ``page_index`` and ``links`` from ``crawl_links``;
-    keep both as tables. Returns ``crawl_id, seq, url, depth, parent_seq,
-    engine, error``. Jobs that ask for the same crawl are computed once. Runs
+    ``index`` and ``links`` come from ``crawl_graph`` (or from ``page_index`` and
+    ``crawl_links``, kept as tables). Returns ``crawl_id, seq, url, depth,
+    parent_seq, engine, error, page_id``. Jobs that ask for the same crawl are computed once. Runs
     up to ``maxDepth + 1`` steps, each writing one narrow level.
 
     Patterns limit which links may be followed; with include patterns a link
@@ -196,24 +227,111 @@ def crawl(
     return ids.join(pages, "spec_id").select(*OUTPUT)
 
 
+def _hosted(table: DataFrame | None, hosts: DataFrame | None) -> DataFrame | None:
+    if table is None or hosts is None:
+        return table
+    hosted = table.withColumn("_host", hostname(F.col("page_key")))
+    return hosted.join(hosts, "_host", "left_semi").drop("_host")
+
+
+def _read_pages(pages: DataFrame | None, rendered: DataFrame | None, hosts: DataFrame | None) -> DataFrame:
+    """What a crawl needs of every snapshot, from one reading of its HTML:
+    ``page_key, engine, page_id, error, needs_dynamic, norms``."""
+    keys = ["page_key", "engine", "page_id", "error", "needs_dynamic"]
+    parts = []
+    if pages is not None:
+        kept = _hosted(with_page_key(pages), hosts)
+        flags = dict(zip(("error", "needs_dynamic"), _static_columns()[2:]))
+        parts.append(page_links(kept.withColumns({"engine": F.lit(STATIC), **flags}), "page_key", keys))
+    if rendered is not None:
+        kept = _hosted(with_page_key(_with_id(rendered)), hosts)
+        flags = {"error": _dynamic_error(), "needs_dynamic": F.lit(False)}
+        parts.append(page_links(kept.withColumns({"engine": F.lit(DYNAMIC), **flags}), "page_key", keys))
+    return _union(parts)
+
+
+def crawl_graph(
+    pages: DataFrame | None, rendered: DataFrame | None = None, jobs: DataFrame | None = None, few_hosts: int = FEW_HOSTS
+) -> tuple[DataFrame, DataFrame]:
+    """Page index and links for ``crawl``, as tables bucketed by the keys a crawl
+    joins on, so that each level moves its frontier only.
+
+    Each snapshot's HTML is read once. With ``jobs``, only snapshots on the hosts
+    of their seeds count, as no crawl leaves these. Up to ``few_hosts`` hosts are
+    broadcast and the HTML of other pages is never read; beyond that number
+    hosts meet what was read of the pages, without their HTML.
+    """
+    hosts, broadcast = None, False
+    if jobs is not None:
+        hosts = normalize_jobs(jobs).select(hostname(F.col("url")).alias("_host")).distinct()
+        hosts, count = materialize_counted(hosts, "crawl-hosts")
+        broadcast = count <= few_hosts
+    read = _read_pages(pages, rendered, F.broadcast(hosts) if broadcast else None)
+    if hosts is not None and not broadcast:
+        read = _hosted(read, hosts)
+    read, rows = materialize_counted(read, "crawl-pages")
+    static, dynamic = read.filter(F.col("engine") == STATIC), read.filter(F.col("engine") == DYNAMIC)
+    static = static.select(
+        "page_key", F.col("page_id").alias("static_id"), F.col("error").alias("static_error"), "needs_dynamic"
+    )
+    dynamic = dynamic.select("page_key", F.col("page_id").alias("dynamic_id"), F.col("error").alias("dynamic_error"))
+    index = index_of(None if pages is None else static, None if rendered is None else dynamic)
+    index = materialize_bucketed(index, "page-index", ["page_key"], rows)
+    total = read.agg(F.sum(F.size("norms"))).first()[0] or 0
+    links = explode_positions(read, LINK_KEYS, "norms", "link_norm")
+    return index, materialize_bucketed(links, "crawl-links", LINK_KEYS, total)
+
+
 def crawl_site(jobs: DataFrame, pages: DataFrame | None, rendered: DataFrame | None = None, **options) -> DataFrame:
-    """``crawl`` straight from page tables: index and links are written to the
-    shared folder once, so HTML is read a single time, and only that of pages
-    on the hosts of the seeds, which no crawl leaves."""
-    hosts = normalize_jobs(jobs).select(hostname(F.col("url")).alias("_host")).distinct()
-
-    def on_hosts(table: DataFrame | None) -> DataFrame | None:
-        if table is None:
-            return None
-        hosted = with_page_key(table).withColumn("_host", hostname(F.col("page_key")))
-        return hosted.join(hosts, "_host", "left_semi").drop("_host")
-
-    pages, rendered = on_hosts(pages), on_hosts(rendered)
-    index = materialize(page_index(pages, rendered), "page-index")
-    links = materialize(crawl_links(pages, rendered), "crawl-links")
+    """``crawl`` straight from page tables, over a ``crawl_graph`` of the hosts of
+    the seeds."""
+    index, links = crawl_graph(pages, rendered, jobs)
     return crawl(jobs, index, links, missing=missing_errors(pages, rendered), **options)
 
 
+def crawl_documents(
+    crawl_pages: DataFrame,
+    jobs: DataFrame,
+    pages: DataFrame | None,
+    rendered: DataFrame | None = None,
+    as_of: Column | None = None,
+    max_images: int = 10,
+) -> DataFrame:
+    """One document per crawl: ``crawl_id`` and the fields of a crawl result, its
+    pages as result envelopes in visiting order, its failures with their errors.
+
+    The payload of a page is made once, however many crawls visited it, and
+    attached in the last join. A crawl holds at most 100 pages, which bounds a
+    document. ``as_of`` gives the time of the results, NULL leaves it out;
+    images are part of the results of jobs with ``images``.
+    """
+    ok = crawl_pages.filter(F.col("error").isNull())
+    needed = ok.select(F.col("url").alias("page_key"), "engine", "page_id").distinct()
+    keys = needed.select("page_key")
+    found = documents_of(needed, asked_pages(pages, keys), asked_pages(rendered, keys))
+    converted = found.withColumn("markdown", markdown(F.col("html")))
+    payload = image_arrays(converted, ["page_key", "engine", "html", "markdown"], max_images, base="page_key")
+    names = F.create_map(*[F.lit(x) for pair in ENGINE_NAMES.items() for x in pair])
+    metadata = metadata_map(F.lit(None).cast("timestamp") if as_of is None else as_of, F.element_at(names, F.col("engine")))
+    payload = payload.withColumn("metadata", F.map_filter(metadata, lambda _, value: value.isNotNull()))
+    summary = crawl_summary(crawl_pages, jobs, payload)
+    wants = F.coalesce(F.col("images"), F.lit(False)) if "images" in jobs.columns else F.lit(False)
+    asked = summary.join(jobs.select("crawl_id", wants.alias("_images")), "crawl_id")
+
+    def envelope(page: Column) -> Column:
+        return result_fields(page.url, page.markdown, page.html, page.metadata, F.when(F.col("_images"), page.images))
+
+    return asked.select(
+        "crawl_id",
+        "status",
+        "total",
+        "maxDepth",
+        "limit",
+        F.transform("data", envelope).alias("data"),
+        omit_empty_list(F.col("failedUrls")).alias("failedUrls"),
+    )
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

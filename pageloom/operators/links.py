@@ -79,6 +79,12 @@ def _norms() -> Column:
     return F.array_distinct(F.transform("links", lambda u: normalize_url(u)))
 
 
+def page_links(pages: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """``keys`` and ``norms``: the keys of the pages that a crawl may go on to, in
+    link order; links that differ in fragment or last slash are one."""
+    return link_arrays(pages, keys, base).select(*keys, _norms().alias("norms"))
+
+
 def crawl_links(pages: DataFrame | None, rendered: DataFrame | None = None) -> DataFrame:
     """Links a crawl follows: ``page_key, page_id, engine, pos, link_norm``.
 
@@ -91,15 +97,9 @@ def crawl_links(pages: DataFrame | None, rendered: DataFrame | None = None) -> D
     for table, engine in ((pages, STATIC), (rendered, DYNAMIC)):
         if table is None:
             continue
-        keyed = with_page_key(_with_id(table) if engine == DYNAMIC else table)
-        arrays = link_arrays(keyed, ["page_key", "page_id"], base="page_key")
-        norms = arrays.select(
-            "page_key",
-            "page_id",
-            F.lit(engine).alias("engine"),
-            _norms().alias("norms"),
-        )
-        parts.append(explode_positions(norms, ["page_key", "page_id", "engine"], "norms", "link_norm"))
+        keyed = with_page_key(_with_id(table) if engine == DYNAMIC else table).withColumn("engine", F.lit(engine))
+        keys = ["page_key", "page_id", "engine"]
+        parts.append(explode_positions(page_links(keyed, "page_key", keys), keys, "norms", "link_norm"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -52,14 +52,14 @@ def _static_flags(pages: DataFrame) -> DataFrame:
     return with_page_key(pages).select(*_static_columns())
 
 
+def _dynamic_error() -> Column:
+    failed = F.when(F.col("error").isNotNull() & (F.col("error") != ""), F.col("error"))
+    return failed.when(F.coalesce(F.col("html"), F.lit("")) == "", F.lit("empty response from browser"))
+
+
 def _dynamic_flags(rendered: DataFrame) -> DataFrame:
-    html = F.coalesce(F.col("html"), F.lit(""))
     return with_page_key(_with_id(rendered)).select(
-        "page_key",
-        F.col("page_id").alias("dynamic_id"),
-        F.when(F.col("error").isNotNull() & (F.col("error") != ""), F.col("error"))
-        .when(html == "", F.lit("empty response from browser"))
-        .alias("dynamic_error"),
+        "page_key", F.col("page_id").alias("dynamic_id"), _dynamic_error().alias("dynamic_error")
     )
 
 
@@ -71,14 +71,22 @@ def page_index(pages: DataFrame | None, rendered: DataFrame | None = None) -> Da
 
     Missing relations stand for engines that are not configured.
     """
-    static = dynamic = None
-    if pages is not None:
+    return index_of(
+        None if pages is None else _static_flags(pages), None if rendered is None else _dynamic_flags(rendered)
+    )
+
+
+def index_of(static: DataFrame | None, dynamic: DataFrame | None) -> DataFrame:
+    """The page index from what was read of each snapshot: ``static(page_key,
+    static_id, static_error, needs_dynamic)``, ``dynamic(page_key, dynamic_id,
+    dynamic_error)``."""
+    if static is not None:
         first = F.min(F.struct("static_id", "static_error", "needs_dynamic"))
-        static = _static_flags(pages).groupBy("page_key").agg(first.alias("s"), F.lit(True).alias("has_static"))
+        static = static.groupBy("page_key").agg(first.alias("s"), F.lit(True).alias("has_static"))
         static = static.select("page_key", "s.*", "has_static")
-    if rendered is not None:
+    if dynamic is not None:
         first = F.min(F.struct("dynamic_id", "dynamic_error"))
-        dynamic = _dynamic_flags(rendered).groupBy("page_key").agg(first.alias("d"), F.lit(True).alias("has_dynamic"))
+        dynamic = dynamic.groupBy("page_key").agg(first.alias("d"), F.lit(True).alias("has_dynamic"))
         dynamic = dynamic.select("page_key", "d.*", "has_dynamic")
     if static is None and dynamic is None:
         raise ValueError("a page table is needed")

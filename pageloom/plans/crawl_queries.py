@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schemas
+from ..operators.crawl import crawl_documents as documents_of_crawls
 from ..operators.crawl import crawl_page, crawl_site, crawl_summary, explode_results
+from ..session import materialize, scratch_path
+from ..sources.tables import read_results_json, write_results_json
 from .inputs import SQL_SITE, site_jobs, site_pages
 from .registry import query
 
@@ -84,3 +89,43 @@ def crawl_with_patterns(spark, folder):
     """Only links that match, none that are excluded."""
     out = _crawled(spark, folder, include_patterns=("/p/",), exclude_patterns=("[37]$",))
     return out.select("crawl_id", F.col("seq").cast("bigint").alias("seq"), "url", F.col("depth").cast("bigint").alias("depth"), "error")
+
+
+#: A crawl document as it is written.
+DOCUMENT = T.StructType([T.StructField("crawl_id", T.StringType(), True), *schemas.CRAWL_RESULT.fields])
+
+SQL_DOCUMENTS = f"""{_HEAD}, {_SUMMARY}
+SELECT crawl_id, status, total, max_depth, lim,
+  coalesce((SELECT string_agg(v.url || ' ' || md5(s1.page), ' ' ORDER BY seq) FROM visits v
+    JOIN site1 s1 ON s1.origin || '/p/' || s1.m = v.url WHERE v.crawl_id = s.crawl_id AND error IS NULL), '') AS pages,
+  CASE WHEN total > 0 THEN 'colly' END AS engines, total AS with_markdown,
+  (SELECT string_agg(url || '=' || error, ' ' ORDER BY seq) FROM visits v WHERE v.crawl_id = s.crawl_id AND error IS NOT NULL) AS failed
+FROM states s"""
+
+
+def document_rows(documents):
+    """What a document holds, page by page."""
+    pages = F.transform("data", lambda d: F.concat(d.url, F.lit(" "), F.md5(d.html.cast("binary"))))
+    engines = F.array_distinct(F.transform("data", lambda d: F.element_at(d.metadata, "engine")))
+    marked = F.size(F.filter("data", lambda d: F.length(d.markdown) > 0))
+    big = [F.col(c).cast("bigint").alias(a) for c, a in (("total", "total"), ("maxDepth", "max_depth"), ("limit", "lim"))]
+    return documents.select(
+        "crawl_id",
+        "status",
+        *big,
+        F.coalesce(F.array_join(pages, " "), F.lit("")).alias("pages"),
+        F.nullif(F.array_join(engines, " "), F.lit("")).alias("engines"),
+        F.greatest(F.coalesce(marked, F.lit(0)), F.lit(0)).cast("bigint").alias("with_markdown"),
+        F.array_join(F.transform("failedUrls", lambda f: F.concat(f.url, F.lit("="), f.error)), " ").alias("failed"),
+    )
+
+
+@query(SQL_DOCUMENTS)
+def crawl_documents(spark, folder):
+    """A document per crawl with the payload of its pages, written
+    as gzip JSON and read back."""
+    jobs, pages = site_jobs(spark, folder), site_pages(spark, folder)
+    found = materialize(crawl_site(jobs, pages), "crawled")
+    path = scratch_path(spark, "crawl-documents")
+    write_results_json(documents_of_crawls(found, jobs, pages), path)
+    return document_rows(read_results_json(spark, path, DOCUMENT))

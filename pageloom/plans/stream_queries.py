@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.links import crawl_links
+from ..operators.crawl import crawl_graph
 from ..operators.pages import page_index
 from ..session import materialize, scratch_path
-from ..streaming.jobs import stream_cached_scrape, stream_crawl, stream_scrape
+from ..sources.tables import read_results_json
+from ..streaming.jobs import documents_folder, stream_cached_scrape, stream_crawl, stream_scrape
 from . import cache_queries  # noqa: F401  (registers the SQL reused below)
-from .crawl_queries import _HEAD
+from .crawl_queries import _HEAD, DOCUMENT, SQL_DOCUMENTS, document_rows
 from .inputs import marked_pages, rendered_pages, site_jobs, site_pages
 from .registry import ORACLES, load, query
 from .scrape_queries import _DECIDED, _requests
@@ -46,25 +47,42 @@ def streamed_scrape(spark, folder):
     return _finish(q, spark, out).select("request_id", "mode", "engine", "error")
 
 
-@query(f"{_HEAD} SELECT * FROM visits WHERE crawl_id IN (SELECT crawl_id FROM jobs WHERE NOT cancelled)")
-def streamed_crawl(spark, folder):
-    """R2: crawl jobs through a stream equal the batch."""
-    jobs = site_jobs(spark, folder).filter(~F.col("cancelled"))
+def _crawl_tasks(jobs: DataFrame) -> DataFrame:
     payload = F.to_json(F.struct("url", "mode", "maxDepth", "limit"))
-    tasks = jobs.select(
+    return jobs.select(
         F.col("crawl_id").alias("task_id"),
         F.lit("crawl:site").alias("task_type"),
         F.lit("2024-02-01 00:00:00").cast("timestamp").alias("ts"),
         payload.alias("payload"),
     )
+
+
+def _streamed_crawls(spark: SparkSession, folder: str) -> str:
+    """Output folder of a stream that ran all jobs, some of them cancelled."""
+    jobs = site_jobs(spark, folder)
     pages = site_pages(spark, folder)
-    index, links = materialize(page_index(pages), "page-index"), materialize(crawl_links(pages), "crawl-links")
+    index, links = crawl_graph(pages, jobs=jobs)
     out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
-    q = stream_crawl(spark, _write_tasks(tasks, 2), index, links, out, checkpoint)
-    rows = _finish(q, spark, out)
+    tasks = _write_tasks(_crawl_tasks(jobs), 2)
+    stopped = materialize(jobs.filter("cancelled").select("crawl_id"), "cancelled")
+    stream_crawl(spark, tasks, index, links, out, checkpoint, pages=pages, cancelled=stopped).awaitTermination()
+    return out
+
+
+@query(f"{_HEAD} SELECT * FROM visits")
+def streamed_crawl(spark, folder):
+    """R2: crawl jobs through a stream equal the batch."""
+    rows = spark.read.parquet(_streamed_crawls(spark, folder))
     return rows.select("crawl_id", F.col("seq").cast("bigint").alias("seq"), "url", F.col("depth").cast("bigint").alias("depth"), "error")
 
 
+@query(SQL_DOCUMENTS)
+def streamed_crawl_documents(spark, folder):
+    """The JSON documents that the stream writes, read back."""
+    written = documents_folder(_streamed_crawls(spark, folder))
+    return document_rows(read_results_json(spark, written, DOCUMENT))
+
+
 @query(ORACLES["cache_hits"].replace("SELECT event_id, user_id,", "SELECT CAST(event_id AS VARCHAR) AS event_id,"))
 def streamed_cache(spark, folder):
     """Requests in time order through a cached stream; hits and misses are

@@ -71,3 +71,20 @@ def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
     out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
     return out, seen.get["n"]
+
+
+#: Rows of a bucket, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 10_000
+
+
+def materialize_bucketed(df: DataFrame, label: str, keys: list[str], rows: int) -> DataFrame:
+    """``materialize`` as a table of one file per bucket of ``keys``: joins on all
+    of ``keys`` read it where it lies and move the other side only. ``rows`` is
+    about how many it has. The catalog of the session knows it under a name of
+    its own; the files stay in the shared folder like other intermediates."""
+    spark = df.sparkSession
+    buckets = max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    spread = df.repartition(buckets, *keys)
+    spread.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)

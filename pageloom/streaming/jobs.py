@@ -8,11 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.requests import mark_cached
 from ..operators.cache import TTL_SECONDS, cache_hit_flags
-from ..operators.crawl import crawl
+from ..operators.crawl import crawl, crawl_documents
 from ..operators.runlog import queue_depth
 from ..operators.scrape import cache_rows, scrape
 from ..session import materialize
-from ..sources.tables import expire_cache, read_cache, write_cache
+from ..sources.tables import expire_cache, read_cache, write_cache, write_results_json
 from ..sources.tasks import CRAWL_TASK, SCRAPE_TASK, decode_tasks, rejected, runnable, stream_tasks
 
 
@@ -62,6 +62,11 @@ def stream_scrape(
     return _start(stream_tasks(spark, requests_dir), handle, checkpoint, once)
 
 
+def documents_folder(out: str) -> str:
+    """Where a crawl stream that writes to ``out`` puts one document per crawl."""
+    return f"{out.rstrip('/')}-documents"
+
+
 def stream_crawl(
     spark: SparkSession,
     jobs_dir: str,
@@ -70,12 +75,28 @@ def stream_crawl(
     out: str,
     checkpoint: str,
     once: bool = True,
+    pages: DataFrame | None = None,
+    rendered: DataFrame | None = None,
+    cancelled: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Crawl tasks in, crawled pages out; all jobs of a batch run together."""
+    """Crawl tasks in, crawled pages out; all jobs of a batch run together.
+
+    With ``pages`` (or ``rendered``) every crawl also becomes a JSON document
+    under ``documents_folder(out)``, gzip. Jobs in ``cancelled(crawl_id)`` are not
+    run; they have a document that says so. Keep ``index`` and ``links`` as
+    ``crawl_graph`` makes them: a batch then moves its frontier only.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         jobs = _take(batch, batch_id, CRAWL_TASK, "crawl_id", out)
-        crawl(jobs, index, links).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if cancelled is not None:
+            stopped = cancelled.select("crawl_id").distinct().withColumn("cancelled", F.lit(True))
+            jobs = materialize(jobs.join(stopped, "crawl_id", "left"), "crawl-jobs")
+        found = materialize(crawl(jobs, index, links), "crawled")
+        found.drop("page_id").write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if pages is not None or rendered is not None:
+            documents = crawl_documents(found, jobs, pages, rendered)
+            write_results_json(documents, _batch_path(documents_folder(out), batch_id), "overwrite")
 
     return _start(stream_tasks(spark, jobs_dir), handle, checkpoint, once)
 

@@ -1,10 +1,21 @@
+import gzip
+import json
 import random
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators.crawl import crawl, crawl_page, crawl_site, crawl_summary, explode_results
+from pageloom.operators.crawl import (
+    crawl,
+    crawl_documents,
+    crawl_graph,
+    crawl_page,
+    crawl_site,
+    crawl_summary,
+    explode_results,
+)
+from pageloom.sources.tables import write_results_json
 
 E = "https://example.com"
 PAD = "<p>Paragraph of meaningful content for testing purposes.</p>" * 100
@@ -159,3 +170,92 @@ def test_seed_that_cannot_be_parsed(spark):
     jobs = spark.createDataFrame([("bad", "http://[bad"), ("good", "https://e.com")], "crawl_id string, url string")
     rows = {r.crawl_id: r for r in crawl_site(jobs, pages).collect()}
     assert rows["bad"].error == 'invalid seed URL "http://[bad"' and rows["good"].error is None
+
+
+def above(plan, table):
+    """Nodes between a scan of ``table`` and the join above it, per scan."""
+    lines = [(len(line) - len(line.lstrip(" :+-*")), line) for line in plan.splitlines()]
+    found = []
+    for i, (depth, line) in enumerate(lines):
+        if "FileScan" in line and f".{table}_" in line:
+            path = []
+            for other, parent in reversed(lines[:i]):
+                if other < depth:
+                    depth = other
+                    path.append(parent.strip(" :+-"))
+                    if "Join" in parent:
+                        break
+            found.append(path)
+    return found
+
+
+def test_levels_move_the_frontier_only(spark, monkeypatch):
+    """Three levels with broadcast off: no exchange over links or index."""
+    import pageloom.operators.crawl as module
+
+    plans = []
+    original = module.materialize_counted
+
+    def keep(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return original(df, label)
+
+    monkeypatch.setattr(module, "materialize_counted", keep)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = site(spark, {"/": ["/a", "/b"], "/a": ["/c"], "/b": ["/d"], "/c": [], "/d": []})
+        jobs = spark.createDataFrame([("a", E, 2, 50)], "crawl_id string, url string, maxDepth int, limit int")
+        assert crawl_site(jobs, pages).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    levels = [plan for label, plan in plans if label.startswith("crawl-level")]
+    assert len(levels) >= 3
+    for depth, plan in enumerate(levels):
+        scans = above(plan, "page_index") + (above(plan, "crawl_links") if depth else [])
+        assert len(scans) == (2 if depth else 1)
+        for path in scans:
+            assert "SortMergeJoin" in path[-1] and not [node for node in path if "Exchange" in node]
+
+
+def test_html_is_read_once(spark, tmp_path):
+    """One scan of the pages, with and without a broadcast of the hosts."""
+    import pageloom.operators.crawl as module
+
+    site(spark, {"/": ["/a"], "/a": []}).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    other = spark.createDataFrame([(9, "https://elsewhere.org/", PAD)], "page_id long, url string, html string")
+    jobs = spark.createDataFrame([("a", E, 2, 50)], "crawl_id string, url string, maxDepth int, limit int")
+    hosts = module.normalize_jobs(jobs).select(module.hostname(F.col("url")).alias("_host")).distinct()
+    plan = module._read_pages(pages, None, F.broadcast(hosts))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "BroadcastHashJoin" in plan and "hashpartitioning(_host" not in plan.split("FileScan")[0].split("Broadcast")[0]
+    for few in (0, 100):
+        index, links = crawl_graph(pages.union(other), None, jobs, few_hosts=few)
+        assert sorted(r.page_key for r in index.collect()) == [E, f"{E}/a"]
+        assert [(r.page_key, r.link_norm) for r in links.collect()] == [(E, f"{E}/a")]
+
+
+def test_documents(spark, tmp_path):
+    body = '<img src="/i.png" alt="i"><a href="/a">x</a>'
+    pages = spark.createDataFrame(
+        [(1, E + "/", body + PAD), (2, E + "/a", PAD), (3, "https://two.org/", "<a href='/gone'>x</a>" + PAD)], "page_id long, url string, html string"
+    )
+    jobs = spark.createDataFrame(
+        [("plain", E, False, False), ("pictures", E, True, False), ("stopped", E, True, True), ("partial", "https://two.org", False, False), ("none", "https://three.org", False, False)],
+        "crawl_id string, url string, images boolean, cancelled boolean",
+    )
+    found = crawl_site(jobs, pages)
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    write_results_json(crawl_documents(found, jobs, pages, as_of=at), str(tmp_path / "out"))
+    lines = [json.loads(line) for path in (tmp_path / "out").glob("*.json.gz") for line in gzip.open(path, "rt")]
+    rows = {row.pop("crawl_id"): row for row in lines}
+    assert {k: (r["status"], r["total"]) for k, r in rows.items()} == {
+        "plain": ("completed", 2), "pictures": ("completed", 2), "stopped": ("cancelled", 0), "partial": ("partial", 1), "none": ("failed", 0),
+    }
+    first = rows["pictures"]["data"][0]
+    assert first["url"] == E and first["html"] == body + PAD and first["metadata"] == {"scraped_at": "2024-02-01T00:00:00Z", "engine": "colly"}
+    assert [i["url"] for i in first["images"]] == [E + "/i.png"]
+    assert [sorted(d) for d in rows["plain"]["data"]] == [["html", "markdown", "metadata", "url"]] * 2
+    assert rows["partial"]["failedUrls"] == [{"url": "https://two.org/gone", "error": "page not found"}]
+    assert "failedUrls" not in rows["plain"] and [d["url"] for d in rows["plain"]["data"]] == [E, f"{E}/a"]
+    bare = crawl_documents(found, jobs, pages).filter("crawl_id = 'plain'").first()
+    assert bare.data[0].metadata == {"engine": "colly"}
