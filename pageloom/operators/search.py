@@ -17,6 +17,8 @@ from ..functions.requests import (
     preview,
 )
 from ..functions.urls import _let, hostname
+from ..session import materialize, materialize_counted
+from .postings import SearchStore, scores, shown
 
 # A corpus has: id, title, url, description, text, domain and optionally ts.
 
@@ -58,6 +60,21 @@ def effective_days(max_age: int | None, mode: str | None) -> int | None:
     return 1 if mode == "fast" else None
 
 
+def _row_filters(include, exclude, max_age, mode, as_of, dated: bool) -> list[Column]:
+    """Conditions on ``domain`` and ``ts``."""
+    found = []
+    if include:
+        found.append(in_domains(F.col("domain"), include))
+    if exclude:
+        found.append(~in_domains(F.col("domain"), exclude))
+    days = effective_days(max_age, mode)
+    if days is not None and dated:
+        if as_of is None:
+            raise ValueError("as_of is needed to bound the age of results")
+        found.append(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    return found
+
+
 def ranked(
     corpus: DataFrame,
     query: str,
@@ -75,15 +92,8 @@ def ranked(
     if not terms:
         raise ValueError("query parameter is required")
     rows = corpus
-    if include:
-        rows = rows.filter(in_domains(F.col("domain"), include))
-    if exclude:
-        rows = rows.filter(~in_domains(F.col("domain"), exclude))
-    days = effective_days(max_age, mode)
-    if days is not None and "ts" in corpus.columns:
-        if as_of is None:
-            raise ValueError("as_of is needed to bound the age of results")
-        rows = rows.filter(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    for condition in _row_filters(include, exclude, max_age, mode, as_of, "ts" in corpus.columns):
+        rows = rows.filter(condition)
     if required:
         phrases = [phrase.lower() for phrase in required]
         rows = rows.filter(
@@ -103,23 +113,68 @@ def page_bounds(offset: int | None, limit: int | None) -> tuple[int, int]:
     return offset, limit
 
 
-def search(corpus: DataFrame, query: str, offset: int = 0, limit: int = 10, **filters) -> DataFrame:
+#: Rows that a task may order for a page, and rows of a range beyond that.
+NEAR_ROWS, RANGE_ROWS = 10_000, 50_000
+
+
+def page_of(scored: DataFrame, offset: int, limit: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of ``scored(id, score)``, by score then id.
+
+    Near pages are a top-k per task. For far ones the rows are dealt into ranges
+    of the order; their counts, one per range, tell which ranges hold the page,
+    and only these are ordered.
+    """
+    order = (F.desc("score"), F.asc("id"))
+    if offset + limit <= NEAR_ROWS:
+        return scored.orderBy(*order).offset(offset).limit(limit)
+    scored, total = materialize_counted(scored, "search-scores")
+    if offset >= total:
+        return scored.limit(0)
+    ranged = scored.repartitionByRange(-(-total // range_rows), *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "search-ranges")
+    before, first, kept = 0, 0, []
+    for row in sorted(ranged.groupBy("_range").count().collect()):
+        if before + row["count"] > offset and before < offset + limit:
+            first = first if kept else before
+            kept.append(row["_range"])
+        before += row["count"]
+    return ranged.filter(F.col("_range").isin(kept)).drop("_range").orderBy(*order).offset(offset - first).limit(limit)
+
+
+def _stored_scores(store: SearchStore, query: str, include, exclude, required, max_age, mode, as_of) -> DataFrame:
+    terms = query_terms(query)
+    if not terms:
+        raise ValueError("query parameter is required")
+    where = _row_filters(include, exclude, max_age, mode, as_of, store.dated)
+    phrases = [phrase.lower() for phrase in required or []]
+    if any(phrase.split() != [phrase] for phrase in phrases):
+        raise ValueError("a store holds words: required phrases with white space need the texts, search the corpus")
+    return scores(store, terms, phrases, reduce(and_, where) if where else None)
+
+
+def search(corpus: DataFrame | SearchStore, query: str, offset: int = 0, limit: int = 10, **filters) -> DataFrame:
     """One page of results: ``idx, title, url, description, id, domain,
-    relevance``. Only ids and scores are ordered (a top-k per task); the few
-    rows of the page are then joined with their texts."""
+    relevance``. Only ids and scores are ordered; the few rows of the page are
+    then joined with what they show.
+
+    Over a ``SearchStore`` the query reads its own words. Over a corpus it reads
+    all texts; that also serves a ``scorer`` and phrases of several words.
+    """
     offset, limit = page_bounds(offset, limit)
-    top = (
-        ranked(corpus, query, **filters)
-        .select("id", "score")
-        .orderBy(F.desc("score"), "id")
-        .offset(offset)
-        .limit(limit)
-    )
+    if isinstance(corpus, SearchStore):
+        options = {"include": None, "exclude": None, "required": None, "max_age": None, "mode": None, "as_of": None}
+        scored = _stored_scores(corpus, query, **{**options, **filters})
+    else:
+        scored = ranked(corpus, query, **filters).select("id", "score")
+    top = page_of(scored, offset, limit)
     # At most 100 rows are left, so one task may number them.
     idx = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1
     page = top.select("id", "score", idx.alias("idx"))
-    shown = corpus.select("id", "title", "url", "description").join(F.broadcast(page), "id")
-    return shown.select(
+    if isinstance(corpus, SearchStore):
+        rows = shown(corpus, page)
+    else:
+        rows = corpus.select("id", "title", "url", "description").join(F.broadcast(page), "id")
+    return rows.select(
         "idx",
         "title",
         "url",
@@ -130,7 +185,7 @@ def search(corpus: DataFrame, query: str, offset: int = 0, limit: int = 10, **fi
     )
 
 
-def search_page(corpus: DataFrame, query: str, offset: int = 0, limit: int = 10, **filters) -> DataFrame:
+def search_page(corpus: DataFrame | SearchStore, query: str, offset: int = 0, limit: int = 10, **filters) -> DataFrame:
     """One response row: results in order, count and paging fields."""
     offset, limit = page_bounds(offset, limit)
     rows = search(corpus, query, offset, limit, **filters)

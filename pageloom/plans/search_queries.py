@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
+from ..operators.postings import write_search_store
 from ..operators.search import documents_corpus, search, search_and_scrape, search_page, shape_provider_results
+from ..session import scratch_path
 from ..sources.tasks import provider_responses
 from .inputs import SQL_MARKED, SQL_SHELL, marked_pages
-from .registry import SQL_KEY, load, query
+from .registry import AS_OF, SQL_KEY, load, query
 
 
 def _tf(*terms):
@@ -28,6 +33,23 @@ hits AS (
 page AS (SELECT *, n - {offset} AS idx FROM hits WHERE n >= {offset} AND n < {offset} + {limit})"""
 
 
+def _dated(corpus):
+    return corpus.withColumn(
+        "ts", F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=(F.col("id") % 480).cast("int"))
+    )
+
+
+@lru_cache(maxsize=4)
+def _store_once(spark, folder):
+    corpus = _dated(documents_corpus(load(spark, folder, "documents")))
+    return write_search_store(corpus, f"search_{uuid.uuid4().hex}", scratch_path(spark, "search-store"))
+
+
+def document_store(spark, folder):
+    """The postings of ``documents``, written once per session and folder."""
+    return _store_once(spark, folder)
+
+
 def _relevance(df):
     return df.withColumn("relevance", F.round("relevance", 6)).withColumn("idx", F.col("idx").cast("bigint"))
 
@@ -38,7 +60,7 @@ SELECT idx, title, url, description, 'The Que_' || n AS id, domain, round(1.0::D
 )
 def search_results(spark, folder):
     """One page of ranked results."""
-    return _relevance(search(documents_corpus(load(spark, folder, "documents")), "The Que", 15, 30))
+    return _relevance(search(document_store(spark, folder), "The Que", 15, 30))
 
 
 @query(
@@ -49,7 +71,7 @@ def search_filtered(spark, folder):
     """Domain and text filters, limit clamped to 100."""
     return _relevance(
         search(
-            documents_corpus(load(spark, folder, "documents")),
+            document_store(spark, folder),
             "and",
             -5,
             500,
@@ -70,12 +92,7 @@ ORDER BY score DESC, doc_id LIMIT 10"""
 )
 def search_fresh(spark, folder):
     """results of the last week."""
-    docs = load(spark, folder, "documents")
-    as_of = "2024-02-01 00:00:00"
-    corpus = documents_corpus(docs).withColumn(
-        "ts", F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=(F.col("id") % 480).cast("int"))
-    )
-    out = search(corpus, "der", max_age=7, as_of=as_of)
+    out = search(document_store(spark, folder), "der", max_age=7, as_of=AS_OF)
     return out.select(F.col("idx").cast("bigint").alias("idx"), "title")
 
 
@@ -86,7 +103,7 @@ SELECT 'die' AS query, (SELECT string_agg(url, ' ' ORDER BY idx) FROM page) AS u
 )
 def search_response(spark, folder):
     """A whole response row."""
-    out = search_page(documents_corpus(load(spark, folder, "documents")), "die", 20, 10)
+    out = search_page(document_store(spark, folder), "die", 20, 10)
     return out.select(
         "query",
         F.array_join(F.transform("results", lambda r: r.url), " ").alias("urls"),
