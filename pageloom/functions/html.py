@@ -35,6 +35,18 @@ def without_tags(html: Column) -> Column:
     return F.regexp_replace(html, MARKUP, "")
 
 
+def pieces(html: Column, raw_elements: bool = True) -> Column:
+    """The text cut into tags, comments and what lies between, in order; elements
+    of raw text are one piece. A tag that is never closed is the last piece."""
+    raw = rf"{_raw_text(RAW_TEXT_ELEMENTS, 1)}(?:[^>]*+>)?+|" if raw_elements else ""
+    return F.regexp_extract_all(html, F.lit(f"(?is){_COMMENT}|{raw}{OTHER_TAGS}|[^<]++|<"), F.lit(0))
+
+
+def is_markup(piece: Column) -> Column:
+    """Whether a piece is a tag, a comment or a declaration."""
+    return piece.rlike("^<(?:/?[a-zA-Z]|[!?/])")
+
+
 def tag_pattern(*names: str) -> str:
     """Pattern whose group 2 is ``name attributes`` of each wanted start tag
     and empty for everything else the tokenizer steps over."""
@@ -57,18 +69,22 @@ def has_attribute(tag: Column, name: str) -> Column:
     return tag.rlike(_before(name) + r"(?:[\s=/]|\z)")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of the first attribute of that name, '' when absent."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of that name as it is written, '' when absent."""
     quoted = F.regexp_extract(
         tag, _before(name) + r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'][^\s]*+)""", 1
     )
-    value = _let(
+    return _let(
         quoted,
         lambda v: F.when(
             v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - F.lit(2))
         ).otherwise(v),
     )
-    return _let(value, lambda v: decode_entities(v, in_attribute=True))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Decoded value of the first attribute of that name, '' when absent."""
+    return _let(raw_attribute(tag, name), lambda v: decode_entities(v, in_attribute=True))
 
 
 def _entity_table() -> str:
@@ -172,8 +188,11 @@ def plain_text(html: Column) -> Column:
     kept = without_elements(
         html, "script", "style", "noscript", "template", "iframe", "head", "nav", "header", "footer"
     )
-    lines = F.regexp_replace(kept, rf"(?is)</?(?:{'|'.join(BLOCK_ELEMENTS)})(?=[\s/>]){_TAG_BODY}>", "\n")
-    text = decode_entities(without_tags(lines))
+    block = rf"(?i)^</?(?:{'|'.join(BLOCK_ELEMENTS)})[\s/>]"
+    lines = F.transform(
+        pieces(kept, raw_elements=False), lambda p: F.when(~is_markup(p), p).when(p.endswith(">") & p.rlike(block), F.lit("\n")).otherwise("")
+    )
+    text = decode_entities(F.array_join(lines, ""))
     text = F.regexp_replace(text, r"[ \t\r\f\x{A0}]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
@@ -184,13 +203,14 @@ def cleaned_html(html: Column) -> Column:
     attributes."""
     kept = without_elements(html, "script", "style", "noscript", "iframe", "nav", "footer", "aside")
     tracking = r"""(?is)\s(?:on[a-z]+|data-analytics-[a-z0-9\-]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
-    pieces = F.regexp_extract_all(kept, F.lit(rf"(?is)<[a-z]{_TAG_BODY}>|[^<]++|<"), F.lit(0))
-    clean = F.transform(pieces, lambda p: F.when(p.rlike("^<[a-zA-Z]"), F.regexp_replace(p, tracking, "")).otherwise(p))
+    parts = F.regexp_extract_all(kept, F.lit(rf"(?is)<[a-z]{_TAG_BODY}>|<[a-z].*+\z|[^<]++|<"), F.lit(0))
+    start = lambda p: p.endswith(">") & p.rlike("^<[a-zA-Z]")
+    clean = F.transform(parts, lambda p: F.when(start(p), F.regexp_replace(p, tracking, "")).otherwise(p))
     return F.array_join(clean, "")
 
 
 def first_element_text(html: Column, name: str) -> Column:
-    inner = F.regexp_extract(html, rf"(?is)<{name}(?=[\s/>])[^>]*+>(.*?)</{name}(?=[\s/>])", 1)
+    inner = F.regexp_extract(html, rf"(?is)<{name}(?=[\s/>])[^>]*+(?:>(.*?)(?:</{name}(?=[\s/>])|\z)|\z)", 1)
     return F.trim(F.regexp_replace(decode_entities(without_tags(inner)), r"\s+", " "))
 
 

@@ -107,7 +107,7 @@ def asks_for_javascript_extended(html: Column) -> Column:
 def is_app_shell_extended(html: Column, main_text: Column) -> Column:
     """Marker and small page, or marker and next to no main text."""
     return contains_any(html, EXTENDED_SPA_MARKERS) & (
-        (F.octet_length(html) < SHELL_BYTES) | (F.length(main_text) < 100)
+        (F.octet_length(html) < SHELL_BYTES) | F.coalesce(F.length(main_text) < 100, F.lit(False))
     )
 
 

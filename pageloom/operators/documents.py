@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.elements import main_text
 from ..functions.html import (
     attribute,
     cleaned_html,
@@ -18,6 +19,7 @@ from ..functions.html import (
     without_tags,
 )
 from ..functions.predicates import (
+    EXTENDED_SPA_MARKERS,
     ROOT_MARKERS,
     SSR_MARKERS,
     asks_for_javascript_extended,
@@ -137,7 +139,7 @@ def first_paragraph(pages: DataFrame, size: int = 200) -> DataFrame:
     """Summary fallback: the page's first paragraph with text, cut to size."""
     body = without_elements(F.col("html"), "script", "style", "noscript", "template", "head")
     inner = F.regexp_extract_all(
-        body, F.lit(r"(?is)<p(?=[\s/>])[^>]*+>(.*?)(?=</p\s*>|<p[\s/>]|</(?:div|article|section|main|body)\s*>|\z)"), F.lit(1)
+        body, F.lit(r"(?is)<p(?=[\s/>])[^>]*+(?:>(.*?)(?=</p\s*+>|<p[\s/>]|</(?:div|article|section|main|body)\s*+>|\z)|\z)"), F.lit(1)
     )
     texts = F.transform(
         inner, lambda p: F.trim(F.regexp_replace(decode_entities(without_tags(p)), r"\s+", " "))
@@ -152,6 +154,11 @@ def body_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(decode_entities(without_tags(kept)), r"\s+", " "))
 
 
+@reuse
+def _main_text() -> Column:
+    return main_text(F.col("html"))
+
+
 def page_signals(pages: DataFrame) -> DataFrame:
     """Every signal of the extended and the scored heuristic.
 
@@ -159,6 +166,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
     """
     read = pages.select("page_id", "url", "html", body_text(F.col("html")).alias("_text"))
     html, text = F.col("html"), F.col("_text")
+    # containers are looked for only where a marker makes them count
+    main = F.when(contains_any(html, EXTENDED_SPA_MARKERS), _main_text())
     scripts = F.regexp_count(html, F.lit(r"(?i)<script[\s/>]"))
     elements = F.regexp_count(html, F.lit(r"<[a-zA-Z]"))
     links = F.regexp_count(html, F.lit(r"(?i)<a[\s/>]"))
@@ -180,7 +189,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
             *[c.alias(n) for n, c in signals.items()],
             needs_dynamic(html).alias("needs_dynamic"),
             asks_for_javascript_extended(html).alias("noscript_ext"),
-            is_app_shell_extended(html, text).alias("shell_ext"),
+            is_app_shell_extended(html, main).alias("shell_ext"),
             is_tiny_script_page_extended(html, text).alias("tiny_ext"),
             is_ajax_heavy(html).alias("ajax_heavy"),
             F.length(text).alias("text_length"),

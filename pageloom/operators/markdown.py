@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import without_elements
+from ..functions.elements import only_elements, without_selected
 from ..functions.markdown import markdown
 
 
 def pages_to_markdown(
     pages: DataFrame, exclude_tags: tuple[str, ...] = (), include_tags: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Adds ``markdown``. Tag lists take plain element names; the markup is
-    narrowed in the JVM before the Arrow hop, so less text crosses over."""
+    """Adds ``markdown``. Tag lists take element names, ``#id`` and ``.class``;
+    the markup is narrowed in the JVM before the Arrow hop, so less text crosses
+    over."""
     html = F.col("html")
     if include_tags:
-        names = "|".join(include_tags)
-        parts = F.regexp_extract_all(
-            html, F.lit(rf"(?is)<({names})(?=[\s/>])[^>]*+>.*?</\1\s*>"), F.lit(0)
-        )
-        html = F.array_join(parts, "\n")
+        html = only_elements(html, *include_tags)
     if exclude_tags:
-        html = without_elements(html, *exclude_tags)
-    return pages.withColumn("markdown", markdown(html))
+        html = without_selected(html, *exclude_tags)
+    # exploded, so that the function's argument is a column and is made once
+    narrowed = pages.withColumn("_markup", F.explode(F.array(html)))
+    return narrowed.withColumn("markdown", markdown(F.col("_markup"))).drop("_markup")

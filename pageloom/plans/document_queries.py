@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.elements import main_text, only_elements, without_selected
 from ..functions.urls import hostname
 from ..operators.documents import detect_framework, domain_override, first_paragraph, host_profile, page_metadata, page_signals, page_texts
 from ..operators.markdown import pages_to_markdown
@@ -97,25 +98,81 @@ def page_frameworks(spark, folder):
     return load(spark, folder, "pages").select("page_id", detect_framework(html, generator).alias("framework"))
 
 
+# Containers by hand: name, start of a page with its number put in for @, and the text of its main containers.
+_CONTAINERS = (
+    ("plain", "<main>A @</main>", "A @"),
+    ("nested", '<div id="root"><div>in @</div> and <div><div>deep</div></div> out</div><div>after</div>', "in @ and deep out"),
+    ("both", '<div id="app">a<main>b @</main></div>', "ab @b @"),
+    ("once", '<main id="root"> x @ </main>', "x @"),
+    ("script", '<MAIN>up &amp; @<script>"</main>"</script> on</MAIN>', "up & @ on"),
+    ("none", "<section>@</section>", ""),
+)
+_SQL_CONTAINERS = ", ".join(
+    "({}, '{}', '{}')".format(i, start.replace("'", "''"), text) for i, (_, start, text) in enumerate(_CONTAINERS)
+)
+
+
+def _contained(spark, folder):
+    n = F.col("page_id")
+    start = F.element_at(F.array(*[F.lit(s) for _, s, _ in _CONTAINERS]), (n % len(_CONTAINERS) + 1).cast("int"))
+    return load(spark, folder, "pages").withColumn("html", F.concat(F.replace(start, F.lit("@"), n.cast("string")), "html"))
+
+
 @query(
-    f"""WITH {SQL_MARKED}, read AS (
+    f"""SELECT page_id, replace(text, '@', CAST(page_id AS VARCHAR)) AS main_text,
+  md5(CASE page_id % 6 WHEN 1 THEN replace(start, '@', CAST(page_id AS VARCHAR))[:-length('<div>after</div>') - 1]
+    WHEN 3 THEN replace(start, '@', CAST(page_id AS VARCHAR)) ELSE '' END) AS root_md5,
+  md5(CASE page_id % 6 WHEN 1 THEN '<div>after</div>' WHEN 3 THEN '' ELSE replace(start, '@', CAST(page_id AS VARCHAR)) END || html) AS rest_md5
+FROM pages JOIN (VALUES {_SQL_CONTAINERS}) c(i, start, text) ON page_id % 6 = i"""
+)
+def page_elements(spark, folder):
+    """Main containers and a selected element, with nesting."""
+    html = F.col("html")
+    return _contained(spark, folder).select(
+        "page_id",
+        main_text(html).alias("main_text"),
+        F.md5(only_elements(html, "#root").cast("binary")).alias("root_md5"),
+        F.md5(without_selected(html, "#root").cast("binary")).alias("rest_md5"),
+    )
+
+
+# Scripts and containers put at the end of the article of some pages.
+_SCRIPTS = (
+    "<script>axios.get(a); fetch(b)</script>",
+    "<script>window.__INITIAL_STATE__ = 1</script>",
+    '<div id="app"><p>' + "long " * 30 + "</p></div>",
+    '<div id="app"><div>short</div></div>',
+)
+_SQL_SCRIPTED = "scripted AS (SELECT page_id, url, replace(html, '</article>', CASE page_id % 10 " + " ".join(
+    f"WHEN {i + 1} THEN '{s}'" for i, s in enumerate(_SCRIPTS)
+) + " ELSE '' END || '</article>') AS html FROM marked)"
+
+
+def _scripted(pages):
+    more = F.element_at(F.array(F.lit(""), *[F.lit(s) for s in _SCRIPTS], *[F.lit("")] * (9 - len(_SCRIPTS))), (F.col("page_id") % 10 + 1).cast("int"))
+    return pages.withColumn("html", F.replace("html", F.lit("</article>"), F.concat(more, F.lit("</article>"))))
+
+
+@query(
+    f"""WITH {SQL_MARKED}, {_SQL_SCRIPTED}, read AS (
   SELECT page_id, url, html, {_VISIBLE} AS text, len(regexp_extract_all(html, '(?i)<script[\\s/>]')) AS scripts,
-    len(regexp_extract_all(html, '<[a-zA-Z]')) AS elements, len(regexp_extract_all(html, '(?i)<a[\\s/>]')) AS links FROM marked),
+    len(regexp_extract_all(html, '<[a-zA-Z]')) AS elements, len(regexp_extract_all(html, '(?i)<a[\\s/>]')) AS links FROM scripted),
 signals AS (
   SELECT *, octet_length(encode(html)) < 4096 AS small, length(text) < 0.02 * length(html) AS low_density, length(text) < 400 AS short_text,
-    contains(html, 'id="root"') AS root_marker, scripts * 4 > elements AS script_heavy,
-    NOT regexp_matches(html, '(?i)<(main|article)[\\s/>]') AS no_main, links * 2 > elements AND length(text) < 400 AS link_shell FROM read),
+    contains(html, 'id="root"') OR contains(html, 'id="app"') AS root_marker, scripts * 4 > elements AS script_heavy,
+    NOT regexp_matches(html, '(?i)<(main|article)[\\s/>]') AS no_main, links * 2 > elements AND length(text) < 400 AS link_shell,
+    contains(html, '__INITIAL_STATE__') AS ssr FROM read),
 scored AS (
-  SELECT *, small::INT + low_density::INT + short_text::INT + root_marker::INT + script_heavy::INT + no_main::INT + link_shell::INT AS score FROM signals)
+  SELECT *, small::INT + low_density::INT + short_text::INT + root_marker::INT + script_heavy::INT + no_main::INT + link_shell::INT + ssr::INT AS score FROM signals)
 SELECT page_id, score, CASE WHEN score >= 3 THEN 'dynamic' WHEN score = 2 THEN 'retry' ELSE 'static' END AS decision,
   CAST(length(text) AS BIGINT) AS text_length, contains(lower(html), '<noscript>') AND contains(lower(html), 'enable javascript') AS noscript_ext,
-  contains(html, 'id="root"') AND (octet_length(encode(html)) < 5000 OR length(text) < 100) AS shell_ext,
+  contains(html, 'id="root"') OR contains(html, '__INITIAL_STATE__') OR contains(html, 'id="app"') AND (octet_length(encode(html)) < 5000 OR page_id % 10 = 4) AS shell_ext,
   octet_length(encode(html)) < 2000 AND contains(lower(html), '<script') AND length(text) < 200 AS tiny_ext,
-  FALSE AS ajax_heavy, {SQL_SHELL} AS needs_dynamic FROM scored"""
+  contains(html, 'axios.get') AS ajax_heavy, {SQL_SHELL} AS needs_dynamic FROM scored"""
 )
 def page_scores(spark, folder):
     """Extended and scored heuristics."""
-    out = page_signals(marked_pages(spark, folder))
+    out = page_signals(_scripted(marked_pages(spark, folder)))
     return out.select(
         "page_id", "score", "decision", F.col("text_length").cast("bigint").alias("text_length"),
         "noscript_ext", "shell_ext", "tiny_ext", "ajax_heavy", "needs_dynamic",

@@ -1,8 +1,12 @@
+import time
+
 from pyspark.sql import functions as F
 
 from pageloom.functions import html as H
 from pageloom.functions import predicates as P
+from pageloom.functions.elements import main_text, only_elements, without_selected
 from pageloom.functions.markdown import to_markdown
+from pageloom.operators.documents import first_paragraph
 
 # One document per rule and threshold: sizes just below and at 2000 and 5000
 # bytes, several bytes per letter, a marker in the wrong case, a phrase outside its tag.
@@ -115,3 +119,50 @@ def test_markdown_of_odd_markup():
     assert to_markdown("plain") == "plain"
     assert to_markdown("<p>a</b></p></div><b>c") == "a\n\n**c**"
     assert to_markdown("<b>" * 3000 + "x") .count("x") == 1
+
+
+MB = 1 << 20
+
+
+def test_broken_markup_is_linear(spark):
+    """A megabyte of open tags, each in about a second or less."""
+    texts = ["<p " * (MB // 3), "<title>" * (MB // 7), "<p>x" * (MB // 4), '<div id="root">' * (MB // 15), "</p " * (MB // 4), "<" * MB, "<p a='" * (MB // 6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id int, html string").repartition(1).cache()
+    assert df.count() == len(texts)
+    html = F.col("html")
+    for name, out in {
+        "plain": H.plain_text(html), "cleaned": H.cleaned_html(html), "title": H.first_element_text(html, "title"),
+        "main": main_text(html), "without": without_selected(html, "div", "p"), "only": only_elements(html, "main", "div"),
+    }.items():
+        start = time.time()
+        df.select(F.sum(F.length(out))).collect()
+        assert time.time() - start < 2.5 * len(texts), name
+    start = time.time()
+    first_paragraph(df).collect()
+    assert time.time() - start < 2.5 * len(texts)
+
+
+def test_elements(evaluate):
+    cases = [
+        ("a<main>b<main>c</main>d</main>e", "<main>b<main>c</main>d</main>", "ae"),
+        ("<main>1</main>x<main>2</main>", "<main>1</main>\n<main>2</main>", "x"),
+        ("<main>open <b>end", "<main>open <b>end", ""),
+        ("</main>a<main>b</main></main>", "<main>b</main>", "</main>a</main>"),
+        ("<mainly>a</mainly><!-- <main> --><script>'<main>'</script>", "", "<mainly>a</mainly><!-- <main> --><script>'<main>'</script>"),
+        ("<MAIN class=\"a > b\">x</Main>y", "<MAIN class=\"a > b\">x</Main>", "y"),
+        ("", "", ""), (None, None, None),
+    ]
+    values = [c[0] for c in cases]
+    assert evaluate(values, only_elements(F.col("v"), "main")) == [c[1] for c in cases]
+    assert evaluate(values, without_selected(F.col("v"), "main")) == [c[2] for c in cases]
+
+
+def test_selectors(evaluate):
+    page = '<nav>n</nav><div id="ad" class="box wide">1<div>2</div></div><p class="x">3<p>4</p><img id="ad"><div class="boxes">5</div><script id="s">6</script>'
+    picks = {
+        ("nav",): "<nav>n</nav>", ("#ad",): '<div id="ad" class="box wide">1<div>2</div></div>\n<img id="ad">', (".box",): '<div id="ad" class="box wide">1<div>2</div></div>',
+        ("p",): '<p class="x">3\n<p>4</p>', (".x",): '<p class="x">3', ("#s",): '<script id="s">6</script>', ("nav", ".boxes"): '<nav>n</nav>\n<div class="boxes">5</div>', ("#none",): "",
+    }
+    for selectors, want in picks.items():
+        assert evaluate([page], only_elements(F.col("v"), *selectors)) == [want], selectors
+    assert evaluate([page], without_selected(F.col("v"), "nav", "#ad", "p", ".boxes")) == ['<script id="s">6</script>']
