@@ -5,29 +5,24 @@ from pageloom.functions import media
 from pageloom.operators.images import encode_images, extract_images, within_blob_budget
 from pageloom.operators.links import extract_links
 
-E = "https://example.com"
+H = "https://harbour.test"
 
+# Each rule by links of a made-up harbour's site.
 LINKS = {
-    "nav": (
-        E,
-        ["/", "/docs", "/docs/getting-started", "/pricing", "/docs/api-reference", "https://github.com/example/repo", "/assets/sdk.zip", "/privacy", "/terms", "https://twitter.com/example"],
-        [f"{E}/", f"{E}/docs", f"{E}/docs/getting-started", f"{E}/pricing", f"{E}/docs/api-reference", f"{E}/privacy", f"{E}/terms"],
-    ),
-    "protocol": (E, ["//cdn.example.com/resource", "//example.com/page", "//other.com/page"], [f"{E}/page"]),
-    "subdomain": (
-        "https://docs.example.com/intro",
-        ["https://docs.example.com/api", "https://blog.example.com/post", "https://example.com/home", "/internal"],
-        ["https://docs.example.com/api", "https://docs.example.com/internal"],
-    ),
-    "schemes": (E, ["mailto:user@example.com", "tel:+1234567890", "javascript:void(0)", "#", "/valid"], [f"{E}/valid"]),
-    "resources": (E, ["/download.pdf", "/image.jpg", "/style.css", "/script.js", "/page", "/docs/api"], [f"{E}/page", f"{E}/docs/api"]),
-    "fragments": (E, ["/page#section1", "/page#section2", "/page"], [f"{E}/page"]),
-    "queries": (E, ["/search?page=1", "/search?page=2", "/search?page=1"], [f"{E}/search?page=1", f"{E}/search?page=2"]),
-    "relative": (f"{E}/docs/intro", ["sibling", "../parent", "./current"], [f"{E}/docs/sibling", f"{E}/parent", f"{E}/docs/current"]),
-    "port": (E, ["https://example.com:8080/api", "https://example.com/page"], ["https://example.com:8080/api", f"{E}/page"]),
-    "encoded": (E, ["/search?q=hello%20world", "/caf%C3%A9"], [f"{E}/search?q=hello%20world", f"{E}/caf%C3%A9"]),
-    "escaped": (E, ["/für", "/f%C3%BCr", "/hidden%2Epdf"], [f"{E}/f%C3%BCr"]),
-    "empty": (E, [], []),
+    "own pages in order": (H, ["/tides", "/ferries", "/ferries/night", "/tides"], [f"{H}/tides", f"{H}/ferries", f"{H}/ferries/night"]),
+    "the start page": (H, ["/", H], [f"{H}/", H]),
+    "other hosts": (H, ["https://weather.test/north", "/quay", "http://harbour.test.evil.test/"], [f"{H}/quay"]),
+    "no scheme": (H, ["//maps.test/quay", "//harbour.test/quay"], [f"{H}/quay"]),
+    "hosts above and below": ("https://crew.harbour.test/roster", [f"{H}/crew", "https://night.crew.harbour.test/", "week"], ["https://crew.harbour.test/week"]),
+    "not for reading": (H, ["mailto:pilot@harbour.test", "tel:0800", "javascript:dock()", "#", "/pilot"], [f"{H}/pilot"]),
+    "files": (H, ["/chart.pdf", "/gull.JPEG", "/signal.mp4", "/gull.html", "/v1.2/list"], [f"{H}/gull.html", f"{H}/v1.2/list"]),
+    "parts of a page": (H, ["/rules#speed", "/rules#wake", "/rules"], [f"{H}/rules"]),
+    "queries tell pages apart": (H, ["/berths?free=1", "/berths?free=0", "/berths?free=1#x"], [f"{H}/berths?free=1", f"{H}/berths?free=0"]),
+    "from where it stands": (f"{H}/ferries/night/", ["boat", "../day", "./boat?x", "."], [f"{H}/ferries/night/boat", f"{H}/ferries/day", f"{H}/ferries/night/boat?x", f"{H}/ferries/night/"]),
+    "ports": (H, ["https://harbour.test:444/log", "https://harbour.test/log"], ["https://harbour.test:444/log", f"{H}/log"]),
+    "escapes stay": (H, ["/s?for=two%20masts", "/m%C3%B6we"], [f"{H}/s?for=two%20masts", f"{H}/m%C3%B6we"]),
+    "letters are escaped": (H, ["/möwe", "/m%C3%B6we", "/chart%2Epdf"], [f"{H}/m%C3%B6we"]),
+    "nothing": (H, [], []),
 }
 
 
@@ -41,22 +36,22 @@ def test_extract_links(spark):
 
 
 IMAGES = {
-    "og": ('<meta property="og:image" content="https://example.com/og-hero.jpg">', [("https://example.com/og-hero.jpg", "og:image")]),
-    "twitter": ('<meta name="twitter:image" content="https://example.com/t.jpg">', [("https://example.com/t.jpg", "twitter:image")]),
-    "content": ('<img src="/a.jpg"><img src="b.png"><img src=c.gif />', [(f"{E}/a.jpg", "content"), (f"{E}/b.png", "content"), (f"{E}/c.gif", "content")]),
-    "data": ('<img src="data:image/png;base64,AA"><img src="/r.jpg">', [(f"{E}/r.jpg", "content")]),
-    "trackers": ('<img src="tracking-pixel.gif"><img src="analytics/beacon.png"><img src="real-photo.jpg">', [(f"{E}/real-photo.jpg", "content")]),
-    "duplicates": (f'<meta property="og:image" content="{E}/hero.jpg"><img src="hero.jpg"><img src="/other.jpg">', [(f"{E}/hero.jpg", "og:image"), (f"{E}/other.jpg", "content")]),
-    "none": ('<p>x</p><img src=""><img><img alt=x>', []),
-    "order": ('<img src=c.jpg><meta name="twitter:image" content=t.jpg><meta property="og:image" content=o.jpg>', [(f"{E}/o.jpg", "og:image"), (f"{E}/t.jpg", "twitter:image"), (f"{E}/c.jpg", "content")]),
-    "og tracker kept": ('<meta property="og:image" content="/pixel.jpg">', [(f"{E}/pixel.jpg", "og:image")]),
-    "og empty": ('<meta property="og:image" content="">', [(f"{E}/", "og:image")]),
-    "first og only": ('<meta property="og:image"><meta property="og:image" content=b.jpg>', []),
+    "og": (f'<meta property="og:image" content="{H}/mole.jpg">', [(f"{H}/mole.jpg", "og:image")]),
+    "twitter": ('<meta name="twitter:image" content="/buoy.webp">', [(f"{H}/buoy.webp", "twitter:image")]),
+    "content": ("<img src='/gull.jpg'><img src=deck/rope.png><IMG SRC=knot.gif />", [(f"{H}/gull.jpg", "content"), (f"{H}/deck/rope.png", "content"), (f"{H}/knot.gif", "content")]),
+    "inline": ('<img src="data:image/gif;base64,R0lG"><img src="/gull.jpg">', [(f"{H}/gull.jpg", "content")]),
+    "trackers": ('<img src="/1x1-pixel.gif"><img src="/analytics/wave.png"><img src="/wave.png">', [(f"{H}/wave.png", "content")]),
+    "duplicates": ('<meta property="og:image" content="/mole.jpg"><img src="mole.jpg"><img src="gull.jpg"><img src="./gull.jpg">', [(f"{H}/mole.jpg", "og:image"), (f"{H}/gull.jpg", "content")]),
+    "none": ('<p>fog</p><img src=""><img><img alt=fog>', []),
+    "order": ('<img src=gull.jpg><meta name="twitter:image" content=buoy.jpg><meta property="og:image" content=mole.jpg>', [(f"{H}/mole.jpg", "og:image"), (f"{H}/buoy.jpg", "twitter:image"), (f"{H}/gull.jpg", "content")]),
+    "og tracker kept": ('<meta property="og:image" content="/pixel/mole.jpg">', [(f"{H}/pixel/mole.jpg", "og:image")]),
+    "og empty": ('<meta property="og:image" content="">', [(f"{H}/", "og:image")]),
+    "first og only": ('<meta property="og:image"><meta property="og:image" content=mole.jpg>', []),
 }
 
 
 def test_extract_images(spark):
-    rows = [(i, f"{E}/", h) for i, (h, _) in enumerate(IMAGES.values())]
+    rows = [(i, f"{H}/", h) for i, (h, _) in enumerate(IMAGES.values())]
     out = extract_images(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id", "pos").collect()
     for i, (name, (_, expected)) in enumerate(IMAGES.items()):
         assert [(r.url, r.source) for r in out if r.page_id == i] == expected, name
@@ -66,24 +61,24 @@ def test_image_cap_and_texts(spark):
     page = '<meta property="og:image" content=o.jpg><meta name="twitter:image" content=t.jpg>' + "".join(
         f'<img src="p{i}.jpg" alt="Photo {i}" title="T{i}">' for i in range(5)
     )
-    pages = spark.createDataFrame([(1, f"{E}/blog/post", page)], "page_id int, url string, html string")
+    pages = spark.createDataFrame([(1, f"{H}/blog/post", page)], "page_id int, url string, html string")
     assert [r.source for r in extract_images(pages, max_images=1).orderBy("pos").collect()] == ["og:image", "twitter:image"]
     got = extract_images(pages, max_images=3).orderBy("pos").collect()
-    assert [(r.url, r.alt, r.title) for r in got][2] == (f"{E}/blog/p0.jpg", "Photo 0", "T0") and len(got) == 3
+    assert [(r.url, r.alt, r.title) for r in got][2] == (f"{H}/blog/p0.jpg", "Photo 0", "T0") and len(got) == 3
 
 
 def test_encode_images(spark):
     png = bytes.fromhex("89504E470D0A1A0A")
     stored = [
-        (f"{E}/ok.png", 200, "image/png", png),
-        (f"{E}/big.png", 200, "image/png", bytes(5 * 1024 * 1024 + 1)),
-        (f"{E}/max.png", 200, "image/png", bytes(5 * 1024 * 1024)),
-        (f"{E}/gone.png", 404, "image/png", png),
-        (f"{E}/sniffed", 200, "text/html", png),
-        (f"{E}/params", 200, "image/jpeg; charset=utf-8", png),
+        (f"{H}/ok.png", 200, "image/png", png),
+        (f"{H}/big.png", 200, "image/png", bytes(5 * 1024 * 1024 + 1)),
+        (f"{H}/max.png", 200, "image/png", bytes(5 * 1024 * 1024)),
+        (f"{H}/gone.png", 404, "image/png", png),
+        (f"{H}/sniffed", 200, "text/html", png),
+        (f"{H}/params", 200, "image/jpeg; charset=utf-8", png),
     ]
     bytes_df = spark.createDataFrame(stored, "url string, status int, content_type string, content binary")
-    urls = [s[0] for s in stored] + ["ftp://e.com/x.png", f"{E}/absent.png"]
+    urls = [s[0] for s in stored] + ["ftp://e.com/x.png", f"{H}/absent.png"]
     images = spark.createDataFrame([(1, i, u) for i, u in enumerate(urls)], "page_id int, pos int, url string")
     out = encode_images(images, bytes_df).orderBy("pos").collect()
     assert [r.error for r in out] == [

@@ -3,72 +3,75 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 
+H = "https://harbour.test"
+
+# address, key
 NORMALIZED = [
-    ("https://example.com/page#section", "https://example.com/page"),
-    ("https://example.com/page/", "https://example.com/page"),
-    ("https://example.com/page?foo=bar&baz=1", "https://example.com/page?foo=bar&baz=1"),
-    ("https://example.com/docs/#intro", "https://example.com/docs"),
-    (":::invalid", ":::invalid"),
-    ("https://example.com/", "https://example.com"),
-    ("https://example.com/a//", "https://example.com/a"),
-    ("https://example.com/?q=a/", "https://example.com/?q=a"),
-    ("https://example.com/für", "https://example.com/f%C3%BCr"),
-    ("https://example.com/a b/%41ü", "https://example.com/a%20b/A%C3%BC"),
-    ("https://example.com/a!*'()", "https://example.com/a!*'()"),
-    ("https://example.com/a!ü*", "https://example.com/a%21%C3%BC%2A"),
-    ("https://example.com/%zz/", "https://example.com/%zz/"),
-    ("http://e.com:80a/", "http://e.com:80a/"),
-    ("HTTP://Example.com/x", "http://Example.com/x"),
-    ("mailto:x@y", "mailto:x@y"),
+    (f"{H}/rules#wake", f"{H}/rules"),
+    (f"{H}/rules/", f"{H}/rules"),
+    (f"{H}/rules///#wake/", f"{H}/rules"),
+    (f"{H}/berths?free=1&deep=2", f"{H}/berths?free=1&deep=2"),
+    (f"{H}/", H),
+    (f"{H}/?free=1/", f"{H}/?free=1"),
+    (f"{H}/möwe", f"{H}/m%C3%B6we"),
+    (f"{H}/two masts/%41ö", f"{H}/two%20masts/A%C3%B6"),
+    (f"{H}/a!*'()", f"{H}/a!*'()"),
+    (f"{H}/a!ö*", f"{H}/a%21%C3%B6%2A"),
+    (f"{H}/%zz/", f"{H}/%zz/"),
+    ("://quay", "://quay"),
+    ("http://h.test:80a/", "http://h.test:80a/"),
+    ("HTTP://Harbour.test/x", "http://Harbour.test/x"),
+    ("mailto:pilot@quay", "mailto:pilot@quay"),
     ("", ""),
 ]
 
 HOSTS = [
-    ("https://golang.org/doc", "golang.org"),
-    ("https://www.github.com/golang/go", "www.github.com"),
-    ("https://github.com", "github.com"),
-    ("http://localhost:8080/path", "localhost"),
+    (f"{H}/tides", "harbour.test"),
+    ("https://night.crew.harbour.test/roster/2", "night.crew.harbour.test"),
+    ("https://harbour.test", "harbour.test"),
+    ("http://quay:9000/log", "quay"),
     ("", ""),
-    ("http://u:p@[::1]:80/x", "::1"),
-    ("https://under_score.com/a b", "under_score.com"),
-    ("//host/x", "host"),
-    (":::invalid", ""),
-    ("example.com/path", ""),
-    ("http://mün.de:1/x", "mün.de"),
+    ("http://pilot:pw@[::1]:80/x", "::1"),
+    ("https://low_tide.test/a b", "low_tide.test"),
+    ("//quay/x", "quay"),
+    ("://quay", ""),
+    ("harbour.test/tides", ""),
+    ("http://möwe.test:1/x", "möwe.test"),
 ]
 
+# base, reference, address
 RESOLVED = [
-    ("https://example.com/docs/intro", "sibling", "https://example.com/docs/sibling"),
-    ("https://example.com/docs/intro", "../parent", "https://example.com/parent"),
-    ("https://example.com/docs/intro", "./current", "https://example.com/docs/current"),
-    ("https://example.com", "/", "https://example.com/"),
-    ("https://example.com", "x", "https://example.com/x"),
-    ("https://example.com/a", "//other.com/p", "https://other.com/p"),
-    ("https://example.com/a?x=1", "", "https://example.com/a?x=1"),
-    ("https://example.com/a?x=1", "?y=2", "https://example.com/a?y=2"),
-    ("https://example.com/a/b/c", "../../../../d", "https://example.com/d"),
-    ("https://example.com/a/b/", "..", "https://example.com/a/"),
-    ("https://example.com/a/b/", "c/.", "https://example.com/a/b/c/"),
-    ("https://example.com/a", "/caf%C3%A9", "https://example.com/caf%C3%A9"),
-    ("https://example.com/a", "/search?q=hello%20world", "https://example.com/search?q=hello%20world"),
-    ("https://example.com/a", "b:c", "b:c"),
-    ("https://example.com/a", "/p\x01", None),
-    ("https://example.com/a", "/%g1", None),
-    ("https://example.com/a", "//h:port/x", None),
+    (f"{H}/ferries/night", "day", f"{H}/ferries/day"),
+    (f"{H}/ferries/night", "../tides", f"{H}/tides"),
+    (f"{H}/ferries/night", "./boat", f"{H}/ferries/boat"),
+    (H, "/", f"{H}/"),
+    (H, "tides", f"{H}/tides"),
+    (f"{H}/tides", "//maps.test/quay", "https://maps.test/quay"),
+    (f"{H}/berths?free=1", "", f"{H}/berths?free=1"),
+    (f"{H}/berths?free=1", "?free=0", f"{H}/berths?free=0"),
+    (f"{H}/one/two/three", "../../../../tides", f"{H}/tides"),
+    (f"{H}/one/two/", "..", f"{H}/one/"),
+    (f"{H}/one/two/", "three/.", f"{H}/one/two/three/"),
+    (f"{H}/tides", "/m%C3%B6we", f"{H}/m%C3%B6we"),
+    (f"{H}/tides", "/s?for=two%20masts", f"{H}/s?for=two%20masts"),
+    (f"{H}/tides", "b:c", "b:c"),
+    (f"{H}/tides", "/p\x01", None),
+    (f"{H}/tides", "/%g1", None),
+    (f"{H}/tides", "//h:port/x", None),
 ]
 
 IMAGES = [
-    ("https://cdn.example.com/img.jpg", "https://example.com/a", "https://cdn.example.com/img.jpg"),
-    ("/images/photo.jpg", "https://example.com/blog/post", "https://example.com/images/photo.jpg"),
-    ("photo.jpg", "https://example.com/blog/", "https://example.com/blog/photo.jpg"),
-    ("data:image/png;base64,AAA", "https://example.com/", ""),
-    ("HTTPS://X.com/../a b", "https://example.com/", "HTTPS://X.com/../a b"),
-    ("", "https://example.com/p", "https://example.com/p"),
-    ("%zz", "https://example.com/p", ""),
+    ("https://maps.test/quay.jpg", f"{H}/tides", "https://maps.test/quay.jpg"),
+    ("/pictures/gull.jpg", f"{H}/log/today", f"{H}/pictures/gull.jpg"),
+    ("gull.jpg", f"{H}/log/", f"{H}/log/gull.jpg"),
+    ("data:image/gif;base64,R0lG", f"{H}/", ""),
+    ("HTTPS://Maps.test/../a b", f"{H}/", "HTTPS://Maps.test/../a b"),
+    ("", f"{H}/log", f"{H}/log"),
+    ("%zz", f"{H}/log", ""),
 ]
 
-RESOURCES = "/download.pdf /photo.jpg /photo.JPEG /icon.png /style.css /app.js /font.woff2 /archive.zip /feed.xml /video.mp4".split()
-PAGES = ["/docs/getting-started", "/api/v1/users", "/", "", "/page.html", "/page.htm", "/page.php", "/page.aspx", "/a.pdf/b"]
+RESOURCES = "/chart.pdf /gull.jpg /gull.JPEG /buoy.png /deck.css /tide.js /sign.woff2 /logs.zip /news.xml /signal.mp4".split()
+PAGES = ["/ferries/night", "/v1.2/list", "/", "", "/gull.html", "/gull.htm", "/tide.php", "/tide.aspx", "/chart.pdf/two"]
 
 
 def test_normalize_url(evaluate):
