@@ -69,6 +69,42 @@ def request_metrics(
     return counts.join(quantiles, "window_start", "left")
 
 
+def metric_sketches(
+    log: DataFrame, ts: str = "ts", latency: str = "latency_ms", failed: str = "failed", every: str = "5 minutes", k: int = 200
+) -> DataFrame:
+    """``window_start, n, failures, latencies`` per window, the latter a KLL sketch.
+
+    Sketches merge, so a window is combined map-side and in the state of a stream
+    and its size does not grow with the log; a window of up to ``k`` rows is kept
+    as it is. Works on streams with a watermark.
+    """
+    return (
+        log.groupBy(F.window(ts, every))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col(failed)).alias("failures"),
+            F.kll_sketch_agg_double(F.col(latency).cast("double"), k).alias("latencies"),
+        )
+        .select(F.col("window.start").alias("window_start"), "n", "failures", "latencies")
+    )
+
+
+def sketched_metrics(sketches: DataFrame, shares: dict[str, float], every: str | None = None) -> DataFrame:
+    """``window_start, n, error_rate`` and a quantile per entry of ``shares`` from
+    rows of ``metric_sketches``, merged to windows of ``every`` if given. Several
+    rows of one window count together. A quantile is the least value that at
+    least its share of the values does not exceed, within the sketch's error."""
+    start = F.col("window_start") if every is None else F.window("window_start", every)["start"]
+    merged = sketches.groupBy(start.alias("window_start")).agg(
+        F.sum("n").alias("n"), F.sum("failures").alias("failures"), F.kll_merge_agg_double("latencies").alias("_all")
+    )
+    values = F.kll_sketch_get_n_double("_all") > 0
+    quantiles = [
+        F.when(values, F.kll_sketch_get_quantile_double("_all", F.lit(share))).alias(name) for name, share in shares.items()
+    ]
+    return merged.select("window_start", "n", (F.col("failures") / F.col("n")).alias("error_rate"), *quantiles)
+
+
 def classify_error(message: Column) -> Column:
     """Error code of a message, NULL for none."""
     text = F.lower(message)

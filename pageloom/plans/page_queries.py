@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates, urls
 from ..operators.links import extract_links, link_details
 from ..operators.pages import lookup_pages, page_index, with_page_key
+from ..operators.search import page_of, ranked
+from ..sources.snapshots import read_snapshots
 from .inputs import SQL_MARKED, SQL_SHELL, marked_pages
 from .registry import SQL_HOST, SQL_KEY, load, query
 
@@ -181,3 +184,27 @@ def page_copies(spark, folder):
     """U1 as a grouping key: how many snapshots share a page."""
     keyed = with_page_key(load(spark, folder, "pages"))
     return keyed.groupBy("page_key").agg(F.count(F.lit(1)).alias("snapshots"), F.min("page_id").alias("first_id"))
+
+
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages WHERE page_id >= 7 AND (page_id < 40 OR page_id % 2 = 0)")
+def snapshot_source(spark, folder):
+    """Pages through the snapshot source, a filter taken and one left to Spark."""
+    n = F.col("page_id")
+    pages = read_snapshots(spark, f"{folder}/pages.parquet").filter((n >= 7) & ((n < 40) | (n % 2 == 0)))
+    return pages.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query(
+    f"""WITH scored AS (
+  SELECT page_id, url, len(regexp_extract_all(html, '<a href=')) * 10 + page_id % 3 AS score FROM pages WHERE contains(lower(html), 'the'))
+SELECT row_number() OVER (ORDER BY score DESC, page_id) - 1 AS idx, page_id, {SQL_HOST} AS domain, score FROM scored WHERE score > 0
+ORDER BY score DESC, page_id LIMIT 50"""
+)
+def scored_snapshots(spark, folder):
+    """A caller's scorer over the snapshot source."""
+    pages = read_snapshots(spark, f"{folder}/pages.parquet")
+    corpus = pages.select(F.col("page_id").alias("id"), F.lit("").alias("title"), "url", F.lit("").alias("description"), F.col("html").alias("text"))
+    scorer = (F.regexp_count("text", F.lit("<a href=")) * 10 + F.col("id") % 3).cast("bigint")
+    found = page_of(ranked(corpus, "links", required=["the"], scorer=scorer).select("id", "url", "score"), 0, 50)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1  # of 50 rows
+    return found.select(rank.cast("bigint").alias("idx"), F.col("id").alias("page_id"), urls.hostname(F.col("url")).alias("domain"), "score")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators.crawl import crawl_graph
 from ..operators.pages import page_index
+from ..operators.runlog import sketched_metrics
 from ..session import materialize, scratch_path
 from ..sources.tables import read_results_json
-from ..streaming.jobs import documents_folder, stream_cached_scrape, stream_crawl, stream_scrape
+from ..streaming.jobs import documents_folder, stream_cached_scrape, stream_crawl, stream_metrics, stream_scrape
 from . import cache_queries  # noqa: F401  (registers the SQL reused below)
 from .crawl_queries import _HEAD, DOCUMENT, SQL_DOCUMENTS, document_rows
 from .inputs import marked_pages, rendered_pages, site_jobs, site_pages
@@ -115,3 +116,24 @@ def streamed_cache(spark, folder):
     q = stream_cached_scrape(spark, path, materialize(pages, "pages"), cache, out, checkpoint, max_files=2)
     return _finish(q, spark, out).select(F.col("request_id").alias("event_id"), F.col("cached").alias("cache_hit"))
 
+
+
+@query(
+    """WITH closed AS (SELECT *, time_bucket(INTERVAL '5 minutes', ts) AS start FROM events)
+SELECT epoch_us(start) AS window_start, count(*) AS n, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_rate,
+  quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
+FROM closed WHERE start + INTERVAL '15 minutes' <= (SELECT max(ts) FROM events) GROUP BY start"""
+)
+def streamed_metrics(spark, folder):
+    """Error rate and percentiles of a log stream, all windows that its
+    watermark has closed. Windows of up to 200 rows are exact."""
+    log = load(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("failed")
+    )
+    path = scratch_path(spark, "request-log")
+    log.repartitionByRange(4, "ts").write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    out = scratch_path(spark, "stream-out")
+    stream_metrics(stream, out, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    found = sketched_metrics(spark.read.parquet(out), {"p50": 0.5, "p95": 0.95})
+    return found.select(F.unix_micros("window_start").alias("window_start"), "n", F.round("error_rate", 4).alias("error_rate"), "p50", "p95")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.requests import mark_cached
 from ..operators.cache import TTL_SECONDS, cache_hit_flags
 from ..operators.crawl import crawl, crawl_documents
-from ..operators.runlog import queue_depth
+from ..operators.runlog import metric_sketches, queue_depth
 from ..operators.scrape import cache_rows, scrape
 from ..session import materialize
 from ..sources.tables import expire_cache, read_cache, write_cache, write_results_json
@@ -156,3 +156,16 @@ def stream_cached_scrape(
 def stream_queue_depth(tasks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Tasks per type and minute on a stream, late rows up to the watermark."""
     return queue_depth(tasks.withWatermark("ts", watermark), state="task_type")
+
+
+def stream_metrics(
+    log: DataFrame, out: str, checkpoint: str, watermark: str = "10 minutes", every: str = "5 minutes", once: bool = True
+) -> StreamingQuery:
+    """Sketches of a request log per window, each written once, when the watermark
+    has passed it; rows later than that are left out. ``sketched_metrics`` reads
+    them, in windows as long as one likes."""
+    sketches = metric_sketches(log.withWatermark("ts", watermark), every=every)
+    writer = sketches.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    if once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import documents as D
 from pageloom.operators import runlog
+from pageloom.operators.runlog import metric_sketches, sketched_metrics
 from pageloom.operators.search import ranked, search, search_and_scrape, search_page
 from pageloom.sources.tasks import crawl_jobs, decode, provider_responses, scrape_requests
 from pageloom import schemas
+from pageloom.streaming.jobs import stream_metrics
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +136,46 @@ def test_first_paragraph_and_errors(spark, evaluate):
     codes = evaluate(["unknown mode: x", "page not found", None, "weird"], runlog.classify_error(F.col("v")))
     assert codes == ["INVALID_MODE", "NOT_FOUND", None, "INTERNAL_ERROR"]
     assert evaluate(["TIMEOUT", "BAD_REQUEST"], runlog.is_retryable(F.col("v"))) == [True, False]
+
+
+def test_sketched_metrics_within_their_bound(spark):
+    """A day of 40,000 rows in windows of five minutes, merged to hours and the day."""
+    log = spark.range(40_000).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 86_400).alias("ts"),
+        (F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("double") / 7).alias("latency_ms"),
+        (F.col("id") % 10 == 0).alias("failed"),
+    )
+    sketches = metric_sketches(log)
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    for every in ("1 hour", "1 day"):
+        got = {r.window_start: r for r in sketched_metrics(sketches, shares, every).collect()}
+        exact = log.groupBy(F.window("ts", every)["start"].alias("w")).agg(F.array_sort(F.collect_list("latency_ms")).alias("v")).collect()
+        assert len(got) == len(exact) and sum(r.n for r in got.values()) == 40_000
+        for row in exact:
+            for name, share in shares.items():
+                rank = sum(v <= got[row.w][name] for v in row.v) / len(row.v)
+                assert abs(rank - share) < 0.027, (every, name)  # twice the error of k = 200
+    small = sketched_metrics(metric_sketches(log.filter("id < 150")), {"p50": 0.5}, "1 day").first()
+    values = sorted(r.latency_ms for r in log.filter("id < 150").collect())
+    assert (small.n, small.error_rate, small.p50) == (150, 0.1, values[74])
+    empty = sketched_metrics(metric_sketches(log.filter("id < 3").withColumn("latency_ms", F.lit(None).cast("double"))), {"p50": 0.5}).first()
+    assert empty.p50 is None and empty.n == 3
+
+
+def test_metric_stream_and_late_rows(spark, tmp_path):
+    """Each start of the stream takes a file; rows behind the watermark are left out."""
+    path, out, checkpoint = (str(tmp_path / name) for name in ("log", "out", "cp"))
+    schema = "ts timestamp, latency_ms double, failed boolean"
+
+    def add(*minutes):
+        rows = spark.createDataFrame([(m, float(m)) for m in minutes], "m int, latency_ms double")
+        at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("m") * 60).alias("ts")
+        rows.select(at, "latency_ms", (F.col("m") % 2 == 0).alias("failed")).coalesce(1).write.mode("append").parquet(path)
+        stream_metrics(spark.readStream.schema(schema).parquet(path), out, checkpoint).awaitTermination()
+
+    add(1, 2, 3, 8)
+    add(4, 31)  # 4 is late, but within the watermark of minute 8
+    add(2, 9, 40)  # behind the watermark of minute 31
+    add(70)
+    rows = sketched_metrics(spark.read.parquet(out), {"p50": 0.5}).orderBy("window_start").collect()
+    assert [(r.window_start.minute, r.n, r.error_rate, r.p50) for r in rows] == [(0, 4, 0.5, 2.0), (5, 1, 1.0, 8.0), (30, 1, 0.0, 31.0), (40, 1, 1.0, 40.0)]
