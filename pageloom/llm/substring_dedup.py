@@ -125,7 +125,7 @@ class Automaton:
         return out
 
 
-FOUND = "key bigint, id bigint, text_hash int, place bigint, content bigint"
+FOUND = "key bigint, id bigint, text_hash bigint, place bigint, content bigint"
 COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 
 
@@ -166,7 +166,7 @@ def _find(window: int):
                 closes = ends[starts + counts + window - 2].tolist()
                 digest = xxhash.xxh64_intdigest
                 content = np.fromiter([digest(joined[a:b]) for a, b in zip(begins, closes)], np.uint64, n)
-                ids, hashes = np.full(n, id_, np.int64), np.full(n, text_hash, np.int32)
+                ids, hashes = np.full(n, id_, np.int64), np.full(n, text_hash, np.int64)
                 parts.append((key, ids, hashes, (starts << 7) | counts, content.view(np.int64)))
                 held += n
             if held > HELD:
@@ -178,7 +178,7 @@ def _find(window: int):
     return run
 
 
-JUDGED = "id bigint, text_hash int, place bigint, key bigint"
+JUDGED = "id bigint, text_hash bigint, place bigint, key bigint"
 
 
 def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +216,7 @@ def _judged(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": id_[order], "text_hash": text_hash[order], "place": place[order] >> 1, "key": keys})
 
 
-SPANS = "shard bigint, id bigint, text_hash int, lo int, hi int, words binary"
+SPANS = "shard bigint, id bigint, text_hash bigint, lo int, hi int, words binary"
 
 
 def _cut_out(window: int):
@@ -318,7 +318,7 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = documents.sparkSession
     bound_batches(spark)
     id_, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), whole_text()
-    rows = documents.select(id_.alias("id"), F.hash(text).alias("text_hash"), text.alias("text"))
+    rows = documents.select(id_.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     judged = (
         rows.mapInPandas(_find(window), FOUND)
         .repartition("key")
@@ -332,7 +332,7 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         .mapInPandas(_cut_out(window), SPANS)
         .repartition("shard")
         .sortWithinPartitions("shard", "id")
-        .mapInPandas(_match(window), "id bigint, text_hash int, lo int, hi int")
+        .mapInPandas(_match(window), "id bigint, text_hash bigint, lo int, hi int")
         .groupBy("id", "text_hash")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.llm import substring_dedup as S
 
@@ -95,3 +96,13 @@ def test_query_digests(spark, data):
     for r in QUERIES["op10_substrings"](spark, data).collect():
         _, n, gone, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_rows_without_id_are_told_apart_by_more_than_32_bits(spark, frame):
+    """Two texts of one 32-bit hash: only the repeated one loses words."""
+    words = F.concat(F.lit("w"), F.col("id").cast("string"))
+    text = F.concat_ws(" ", *[F.concat(words, F.lit(f"_{i}")) for i in range(14)])
+    hashed = spark.range(150_000).select(text.alias("text")).withColumn("h", F.hash("text"))
+    same = hashed.groupBy("h").agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t
+    rows = S.remove_repeated(frame([(1, same[0]), (None, same[0]), (None, same[1])])).collect()
+    assert sorted((r.doc_id is None, r.n_removed, r.kept) for r in rows) == sorted([(False, 0, same[0]), (True, 14, ""), (True, 0, same[1])])
