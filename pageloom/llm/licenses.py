@@ -8,11 +8,14 @@ full texts, and SPDX tags are read as they stand.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import whole_text
 
 # How licences are usually named in notices; one licence may have several.
@@ -39,6 +42,8 @@ TEMPLATES = (
 )
 
 CUES = "(licen[sc]e|spdx|copyright|public domain|redistribution|hereby granted)"
+#: Plain words of which every cue holds one; looked for before any expression is.
+CUE_WORDS = ("licen", "spdx", "copyright", "public domain", "redistribution", "hereby granted")
 SENTENCES = "\n+|[.!?][ \t\r]+"
 TERMS = "[a-z0-9]+(?:[.][0-9]+)*"
 FILE_NAMES = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
@@ -146,6 +151,7 @@ def judge_blocks(rows: DataFrame, threshold: float = BLOCK_THRESHOLD) -> DataFra
     found = rows.select("path", F.explode(blocks).alias("block")).select(
         "path", terms(F.col("block")).alias("terms"), F.xxhash64("block").alias("block")
     )
+    found = materialize(found, "licence-blocks")
     names = [*HEADERS, *full_texts()]
     templates = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(names)], "template int, text string")
     parts = templates.select("template", F.explode(terms(F.col("text"))).alias("term"))
@@ -177,11 +183,26 @@ def judge_blocks(rows: DataFrame, threshold: float = BLOCK_THRESHOLD) -> DataFra
 
 
 def spdx_tags(rows: DataFrame) -> DataFrame:
-    """(path, license, score, words) of SPDX tags, with score 1; GNU names lose their "only" or "or later"."""
+    """(path, license, score, words) of the licences that SPDX tags name, with score 1.
+
+    Each known name of an expression counts, whatever ``AND``, ``OR`` or ``WITH``
+    stands between; GNU names lose their "only" or "or later". Other words after
+    a tag name nothing.
+    """
+    known = sorted({name for name, _ in (*TEMPLATES, *HEADERS, *full_texts())})
     tag = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
+    names = F.regexp_extract_all("tag", F.lit("[A-Za-z0-9.+-]+"), F.lit(0))
+    plain = F.transform(names, lambda n: F.regexp_replace(n, r"(?i)(GPL-[0-9.]*[0-9])(-only|-or-later|[+])$", "$1"))
     found = rows.select("path", tag.alias("tag"))
-    name = F.regexp_replace(F.trim("tag"), r"(?i)(GPL-[0-9.]*[0-9])(-only|-or-later|[+])", "$1")
-    return found.select("path", name.alias("license"), F.lit(1.0).alias("score"), (3 + F.size(terms(F.col("tag")))).alias("words"))
+    found = found.select("path", (3 + F.size(terms(F.col("tag")))).alias("words"), F.explode(plain).alias("license"))
+    return found.filter(F.col("license").isin(known)).select("path", "license", F.lit(1.0).alias("score"), "words")
+
+
+def with_cues(rows: DataFrame) -> DataFrame:
+    """The rows with a cue anywhere in their text. Sentences, blocks and tags
+    without one name no licence, so all else reads this table."""
+    lowered = F.lower("text")
+    return rows.filter(reduce(or_, [lowered.contains(word) for word in CUE_WORDS])).filter(F.lower("text").rlike(CUES))
 
 
 def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,9 +214,13 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one of whose terms at least half are in notices that name a licence (or in one such block); of several in a
     directory the first path counts. Null texts are empty; a null path has no
     directory. Repeated paths are one file; repeated rows stay.
+
+    All texts are read once, for cues; what has one is written down and read by
+    the rest.
     """
-    rows = files.select("path", whole_text().alias("text"))
-    found = notices(rows)
+    files = files.select("path", whole_text().alias("text"))
+    rows = materialize(with_cues(files), "licence-cues")
+    found = materialize(notices(rows), "licence-notices")
     named = found.join(judge_notices(found, threshold), "notice")
     lines = named.select("path", "license", "score", "words", F.col("words").alias("line_words"))
     larger = judge_blocks(rows).union(spdx_tags(rows)).withColumn("line_words", F.lit(0))
@@ -206,11 +231,14 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = own.select(
         F.col("path").alias("own_path"), F.col("best.license").alias("own"), (-F.col("best.low")).alias("own_score"), "noticed"
     )
+    own = materialize(own, "licence-own")
     sized = rows.select("path", F.size(terms(F.col("text"))).alias("terms"))
-    marked = sized.join(own, F.col("path").eqNullSafe(F.col("own_path")), "left")
+    same = F.col("path").eqNullSafe(F.col("own_path"))
+    marked = files.select("path").join(own, same, "left")
     whole = F.col("path").rlike(FILE_NAMES) | (2 * F.col("noticed") >= F.col("terms"))
     declared = (
-        marked.filter(F.col("own").isNotNull() & F.col("path").contains("/") & whole)
+        sized.join(own, same)
+        .filter(F.col("path").contains("/") & whole)
         .groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
         .agg(F.min(F.struct("path", "own", "own_score")).alias("file"))
     )
