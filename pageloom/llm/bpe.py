@@ -8,6 +8,7 @@ memory. Words outside the lexicon are merged exactly, pair by pair.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import mmap
@@ -16,11 +17,15 @@ import re
 import struct
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,10 @@ LEXICON = 65_536  # words compiled; only speed depends on it
 MEMO = 250_000  # results in each of the two generations that a task remembers
 SHORT = 48  # symbols up to which a word is merged by scanning
 NEVER = 1 << 60
+NONE = np.int32((1 << 31) - 1)  # rank of a pair that is never merged
+MARKS = 1 << 22  # bits that tell which words a lexicon may hold
+SLICE = 1 << 20  # ids whose bytes are put together at once
+TOGETHER = 8192  # words merged in one block
 
 
 # White space that keeps a text from being cut at its spaces: any but spaces and line ends, or two in a row.
@@ -58,6 +67,11 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
+def packed(ids) -> bytes:
+    """Ids as 32-bit numbers in a row, as they stand in a column."""
+    return array("i", ids).tobytes()
+
+
 class Vocabulary:
     """Ids of bytes and pairs, and the bytes of ids, of a byte-level vocabulary file."""
 
@@ -83,6 +97,92 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[a]].setdefault(ids[b], rank)
             self.merged.append(ids[a + b])
+        self.spelled: tuple | None = None
+        self._tables()
+
+    def _tables(self) -> None:
+        """Ranks as arrays: by pair of bytes, and by pair of ids in order."""
+        size = len(self.ranks)
+        rows = sorted((a * size + b, rank) for a, row in enumerate(self.ranks) for b, rank in row.items())
+        self.pair_keys = np.array([key for key, _ in rows] or [-1], np.int64)
+        self.pair_ranks = np.array([rank for _, rank in rows] or [NONE], np.int32)
+        self.id_of_byte = np.array(self.byte_ids, np.int32)
+        self.id_of_rank = np.array(self.merged or [0], np.int32)
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.byte_pairs = self._ranks_of(self.id_of_byte[a], self.id_of_byte[b])
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) * len(self.ranks) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words, ids packed into bytes: each step merges one pair
+        in every word that has one left. Words of like length stand in one block."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = [i for i in order if 0 < len(words[i]) <= SHORT]
+        for i in order:
+            if len(words[i]) > SHORT:
+                out[i] = packed(self.merge(words[i]))
+        for start in range(0, len(short), TOGETHER):
+            block = short[start : start + TOGETHER]
+            for i, ids in zip(block, self._merge_block([words[i] for i in block])):
+                out[i] = ids
+        return out
+
+    def _merge_block(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.array([len(w) for w in words])
+        width = int(lengths.max())
+        raw = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+        ids = self.id_of_byte[raw]
+        places = np.arange(width)
+        ranks = np.full((len(words), width), NONE, np.int32)
+        ranks[:, :-1] = self.byte_pairs[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]
+        ranks[places >= lengths[:, None] - 1] = NONE
+        after = np.broadcast_to(places + 1, ids.shape).copy()
+        before = np.broadcast_to(places - 1, ids.shape).copy()
+        rows = np.arange(len(words))
+        while True:
+            left = ranks[rows]
+            at = left.argmin(axis=1)  # the leftmost of equals
+            best = left[np.arange(len(rows)), at]
+            some = best < NONE
+            rows, at, best = rows[some], at[some], best[some]
+            if not len(rows):
+                break
+            gone = after[rows, at]
+            then = after[rows, gone]
+            merged = self.id_of_rank[best]
+            ids[rows, at], ids[rows, gone] = merged, -1
+            ranks[rows, gone] = NONE
+            after[rows, at] = then
+            ranks[rows, at] = NONE
+            more = then < lengths[rows]
+            r, p, q = rows[more], at[more], then[more]
+            before[r, q] = p
+            ranks[r, p] = self._ranks_of(ids[r, p], ids[r, q])
+            earlier = before[rows, at]
+            more = earlier >= 0
+            r, p, q = rows[more], earlier[more], at[more]
+            ranks[r, p] = self._ranks_of(ids[r, p], ids[r, q])
+        left = (ids >= 0) & (places < lengths[:, None])
+        flat, ends = ids[left].tobytes(), (4 * np.cumsum(left.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids one after the other, and how many each has."""
+        if self.spelled is None:
+            tokens = [self.bytes_of.get(i, b"") for i in range(1 + max(self.bytes_of))]
+            sizes = np.array([len(t) for t in tokens], np.int64)
+            self.spelled = (np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        spelled, starts, sizes = self.spelled
+        parts, counts = [], sizes[ids]
+        for at in range(0, len(ids), SLICE):
+            some, n = ids[at : at + SLICE], counts[at : at + SLICE]
+            shift = starts[some] - (np.cumsum(n) - n)
+            parts.append(spelled[np.repeat(shift, n) + np.arange(n.sum())])
+        return np.concatenate(parts) if parts else np.empty(0, np.uint8), counts
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: the pair of lowest rank, the leftmost of equals, is merged until none is left."""
@@ -186,8 +286,12 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
         ids.extend(entries[word])
         ends.append(len(ids))
     tables = (first, targets, skips, final, ends, ids)
+    marks = bytearray(MARKS // 8)
+    for word in ordered:
+        mark = crc32(word) % MARKS
+        marks[mark >> 3] |= 1 << (mark & 7)
     head = struct.pack("<9i", root, len(labels), *map(len, tables), 0)
-    return head + b"".join(struct.pack(f"<{len(t)}i", *t) for t in tables) + bytes(labels)
+    return head + b"".join(struct.pack(f"<{len(t)}i", *t) for t in tables) + bytes(marks) + bytes(labels)
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
@@ -207,9 +311,17 @@ class Lexicon:
             tables.append(view[at : at + 4 * size].cast("i"))
             at += 4 * size
         self.first, self.targets, self.skips, self.final, self.ends, self.ids = tables
-        self.labels = at
+        self.marks, self.labels = view[at : at + MARKS // 8], at + MARKS // 8
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
+        found = self.packed(word)
+        return None if found is None else tuple(memoryview(found).cast("i"))
+
+    def packed(self, word: bytes) -> bytes | None:
+        # most words that are not here have no mark either
+        mark = crc32(word) % MARKS
+        if not self.marks[mark >> 3] >> (mark & 7) & 1:
+            return None
         state, index, base, find = self.root, 0, self.labels, self.map.find
         first, skips, targets = self.first, self.skips, self.targets
         for byte in word:
@@ -220,7 +332,7 @@ class Lexicon:
             state = targets[arc]
         if not self.final[state]:
             return None
-        return tuple(self.ids[self.ends[index] : self.ends[index + 1]])
+        return self.ids[self.ends[index] : self.ends[index + 1]].tobytes()
 
 
 class Memo(dict):
@@ -247,12 +359,62 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon, self.split = vocabulary, lexicon, splitter()
+        self.learned: dict[str, bytes] = {}
         self.words = Memo(self._word)
         self.stretches = Memo(self._stretch)
         self.specials = list(vocabulary.special)
         names = sorted(self.specials, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of many texts, packed: what stands between spaces in any of
+        them and is not known yet is merged at once, then the texts are joined."""
+        cut = [None if self._special(text) or _UNEVEN(text) else text.split(" ") for text in texts]
+        between: set[str] = set()
+        for parts in cut:
+            if parts:
+                between.update(parts[1:])
+        known = self._learn(between)
+        out = []
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                out.append(packed(self.encode(text)))
+            else:
+                first = packed(self._plain(parts[0]))
+                out.append(first + b"".join(map(known.__getitem__, parts[1:])))
+        return out
+
+    def _learn(self, between: set[str]) -> dict[str, bytes]:
+        """The packed ids of all stretches in ``between``, each after a space."""
+        if len(self.learned) > MEMO:
+            self.learned = {s: self.learned[s] for s in between if s in self.learned}
+        known, words, cut = self.learned, set(), {}
+        for stretch in between.difference(known):
+            if stretch.isascii() and stretch.isalpha():
+                words.add(" " + stretch)
+            else:
+                cut[stretch] = self.split(" " + stretch)
+        words.update(*cut.values())
+        find = self.lexicon.packed if self.lexicon else lambda _: None
+        ids, unseen = {}, []
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            found = find(raw)
+            if found is None:
+                unseen.append((word, raw))
+            else:
+                ids[word] = found
+        merged = self.vocabulary.merge_all([raw for _, raw in unseen])
+        ids.update((word, found) for (word, _), found in zip(unseen, merged))
+        # a word after a space is a stretch of its own
+        known.update((word[1:], found) for word, found in ids.items() if word[0] == " " and word[1:] in between and word[1:] not in cut)
+        for stretch, parts in cut.items():
+            known[stretch] = b"".join([ids[w] for w in parts])
+        return known
+
+    def _special(self, text: str) -> bool:
+        return any(name in text for name in self.specials)
+
     def _word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon else None
@@ -273,7 +435,7 @@ class Codec:
         A space between two characters that are no white space always begins a
         word, so that what lies between such spaces may be encoded on its own.
         """
-        if any(name in text for name in self.specials):
+        if self._special(text):
             out: list[int] = []
             for i, part in enumerate(self.special_split(text)):
                 out += [self.vocabulary.special[part]] if i % 2 else self._between(part)
@@ -298,18 +460,23 @@ def stretch_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """(stretch, n): how often each run without white space occurs in all texts."""
     bound_batches(documents.sparkSession)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(seen: Counter) -> pa.RecordBatch:
+        short = [(s, n) for s, n in seen.items() if len(s) <= 64]
+        columns = [pa.array([s for s, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["stretch", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for frame in frames:
-            for text in frame["text"]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
                 seen.update(text.split())
                 if len(seen) > MEMO:
-                    yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())}, dtype=object)
+                    yield counts(seen)
                     seen.clear()
-        yield pd.DataFrame({"stretch": list(seen), "n": list(seen.values())}, dtype=object)
+        yield counts(seen)
 
-    rows = documents.select(whole_text(text_col).alias("text")).mapInPandas(count, "stretch string, n bigint")
-    return rows.filter(F.length("stretch") <= 64).groupBy("stretch").agg(F.sum("n").alias("n"))
+    rows = documents.select(whole_text(text_col).alias("text")).mapInArrow(count, "stretch string, n bigint")
+    return rows.groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(documents: DataFrame, size: int = LEXICON, text_col: str = "text") -> set[str]:
@@ -358,17 +525,36 @@ def encode_documents(
     shared, run_name = spark.sparkContext.broadcast((source, compiled)), uuid.uuid4().hex
     bound_batches(spark)
 
-    @F.pandas_udf("token_ids array<int>, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("token_ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(run_name, shared)
         for texts in batches:
-            ids = [codec.encode(t) for t in texts]
-            yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+            # hundreds of thousands of small objects come at once, none in a cycle
+            gc.disable()
+            try:
+                yield _columns(codec, texts.to_pylist())
+            finally:
+                gc.enable()
 
     coded = documents.withColumn("__coded", run(whole_text(text_col)))
     return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
 
 
+def _columns(codec: Codec, texts: list[str]) -> pa.Array:
+    """Ids and decoded texts as columns, without an object per id."""
+    coded = codec.encode_all(texts)
+    ids = np.frombuffer(b"".join(coded), np.int32)
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
+    decoded, sizes = codec.vocabulary.decode_all(ids)
+    bytes_before = np.concatenate(([0], np.cumsum(sizes)))[ends]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    strings = pa.StringArray.from_buffers(
+        len(texts), pa.py_buffer(bytes_before.astype(np.int32).tobytes()), pa.py_buffer(decoded.tobytes())
+    )
+    strings.validate(full=True)  # what encodes a text decodes to it, which is UTF-8
+    return pa.StructArray.from_arrays([lists, strings], ["token_ids", "decoded"])
+
+
 _KEPT: dict[str, Codec] = {}
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from tokenizers import Tokenizer
 
@@ -43,6 +45,28 @@ def test_scan_and_heap_merge_alike(vocabulary):
         assert vocabulary._scan(list(ids)) == vocabulary._heap(list(ids))
 
 
+def test_words_merged_together(vocabulary):
+    rng = random.Random(4)
+    letters = "aeioutnrslthing é" + "\U0001f642\n."
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))).encode() for _ in range(3000)]
+    words += [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaa", bytes(range(48)), bytes(range(256)), b"x" * 300, b"\x00\x00", b"\x00a\x00"]
+    assert vocabulary.merge_all(words) == [bpe.packed(vocabulary.merge(w)) for w in words]
+    assert vocabulary.merge_all([]) == [] and vocabulary.merge_all([b""]) == [b""]
+
+
+def test_texts_encoded_together(vocabulary, library, prose, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({w: vocabulary.merge(w) for w in (b" ba", b" kera")}))
+    codec = bpe.Codec(vocabulary, lexicon)
+    texts = [prose(i) for i in range(5)] + list(TEXTS)
+    for _ in range(2):
+        coded = [bpe.packed(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert codec.encode_all(texts) == coded
+        columns = bpe._columns(codec, texts)
+        assert [bpe.packed(x) for x in columns.field("token_ids").to_pylist()] == coded
+        assert columns.field("decoded").to_pylist() == texts and bpe._columns(codec, []).to_pylist() == []
+
+
 def test_memo_is_bounded(monkeypatch, vocabulary):
     monkeypatch.setattr(bpe, "MEMO", 10)
     codec = bpe.Codec(vocabulary)
