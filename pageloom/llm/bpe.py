@@ -49,8 +49,13 @@ SLICE = 1 << 20  # ids whose bytes are put together at once
 TOGETHER = 8192  # words merged in one block
 
 
-# White space that keeps a text from being cut at its spaces: any but spaces and line ends, or two in a row.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n] | \n|^ | $").search
+def _uneven(text: str) -> bool:
+    """Whether a text must not be cut at its spaces: it has white space other than
+    spaces and line ends, a space beside one of these, or one at an end."""
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    solid = text.replace(" ", "").replace("\n", "")
+    return solid != "" and solid.split(None, 1)[:1] != [solid]
 
 
 def splitter():
@@ -120,11 +125,11 @@ class Vocabulary:
         """``merge`` of many words, ids packed into bytes: each step merges one pair
         in every word that has one left. Words of like length stand in one block."""
         out = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        short = [i for i in order if 0 < len(words[i]) <= SHORT]
-        for i in order:
-            if len(words[i]) > SHORT:
-                out[i] = packed(self.merge(words[i]))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        short = order[(lengths[order] > 0) & (lengths[order] <= SHORT)].tolist()
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            out[i] = packed(self.merge(words[i]))
         for start in range(0, len(short), TOGETHER):
             block = short[start : start + TOGETHER]
             for i, ids in zip(block, self._merge_block([words[i] for i in block])):
@@ -311,17 +316,18 @@ class Lexicon:
             tables.append(view[at : at + 4 * size].cast("i"))
             at += 4 * size
         self.first, self.targets, self.skips, self.final, self.ends, self.ids = tables
-        self.marks, self.labels = view[at : at + MARKS // 8], at + MARKS // 8
+        self.marks, self.labels = np.frombuffer(self.map, np.uint8, MARKS // 8, at), at + MARKS // 8
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         found = self.packed(word)
         return None if found is None else tuple(memoryview(found).cast("i"))
 
+    def likely(self, words: list[bytes]) -> list[int]:
+        """Places of the words that may be here: most others have no mark."""
+        marks = np.fromiter(map(crc32, words), np.int64, len(words)) % MARKS
+        return np.flatnonzero(self.marks[marks >> 3] >> (marks & 7).astype(np.uint8) & 1).tolist()
+
     def packed(self, word: bytes) -> bytes | None:
-        # most words that are not here have no mark either
-        mark = crc32(word) % MARKS
-        if not self.marks[mark >> 3] >> (mark & 7) & 1:
-            return None
         state, index, base, find = self.root, 0, self.labels, self.map.find
         first, skips, targets = self.first, self.skips, self.targets
         for byte in word:
@@ -369,7 +375,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """``encode`` of many texts, packed: what stands between spaces in any of
         them and is not known yet is merged at once, then the texts are joined."""
-        cut = [None if self._special(text) or _UNEVEN(text) else text.split(" ") for text in texts]
+        cut = [None if self._special(text) or _uneven(text) else text.split(" ") for text in texts]
         between: set[str] = set()
         for parts in cut:
             if parts:
@@ -388,30 +394,36 @@ class Codec:
         """The packed ids of all stretches in ``between``, each after a space."""
         if len(self.learned) > MEMO:
             self.learned = {s: self.learned[s] for s in between if s in self.learned}
-        known, words, cut = self.learned, set(), {}
-        for stretch in between.difference(known):
-            if stretch.isascii() and stretch.isalpha():
-                words.add(" " + stretch)
-            else:
-                cut[stretch] = self.split(" " + stretch)
-        words.update(*cut.values())
-        find = self.lexicon.packed if self.lexicon else lambda _: None
+        known = self.learned
+        new = between.difference(known)
+        # most are one word of plain letters
+        alone = [s for s in new if s.isascii() and s.isalpha()]
+        raw = ("\n".join([" " + s for s in alone])).encode().split(b"\n") if alone else []
+        known.update(zip(alone, self._resolve(raw)))
+        mixed = list(new.difference(alone))
+        cut = [self.split(" " + s) for s in mixed]
         ids, unseen = {}, []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            found = find(raw)
+        for word in set(chain.from_iterable(cut)):
+            found = known.get(word[1:]) if word[0] == " " else None
             if found is None:
-                unseen.append((word, raw))
+                unseen.append(word)
             else:
                 ids[word] = found
-        merged = self.vocabulary.merge_all([raw for _, raw in unseen])
-        ids.update((word, found) for (word, _), found in zip(unseen, merged))
-        # a word after a space is a stretch of its own
-        known.update((word[1:], found) for word, found in ids.items() if word[0] == " " and word[1:] in between and word[1:] not in cut)
-        for stretch, parts in cut.items():
-            known[stretch] = b"".join([ids[w] for w in parts])
+        ids.update(zip(unseen, self._resolve([word.encode("utf-8", "surrogatepass") for word in unseen])))
+        known.update(zip(mixed, [b"".join([ids[w] for w in words]) for words in cut]))
         return known
 
+    def _resolve(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words, from the lexicon or by merging."""
+        out: list[bytes | None] = [None] * len(words)
+        if self.lexicon:
+            for i in self.lexicon.likely(words):
+                out[i] = self.lexicon.packed(words[i])
+        unseen = [i for i, found in enumerate(out) if found is None]
+        for i, found in zip(unseen, self.vocabulary.merge_all([words[i] for i in unseen])):
+            out[i] = found
+        return out
+
     def _special(self, text: str) -> bool:
         return any(name in text for name in self.specials)
 
@@ -443,7 +455,7 @@ class Codec:
         return self._between(text)
 
     def _between(self, text: str) -> list[int]:
-        if _UNEVEN(text):
+        if _uneven(text):
             return list(self._plain(text))
         first, *others = text.split(" ")
         stretches = self.stretches
