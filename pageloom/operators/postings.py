@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, materialize_counted
+from ..session import materialize_counted
 
 GRAM = 3
 #: Postings of one word in a slot, slots at most, and words that a plan may name.
@@ -111,14 +111,14 @@ def _containing(store: SearchStore, term: str) -> DataFrame:
 def _postings_of(store: SearchStore, words: DataFrame, where: Column | None, few: int) -> DataFrame:
     """Postings of ``words(word, salts, times)``. Up to ``few`` words are named in
     the plan, so that only their slots are read; more are joined."""
-    words, count = materialize_counted(words, "query-words")
     rows = store.postings if where is None else store.postings.filter(where)
-    if count > few:
+    named = words.select("word", _home(store.slots).cast("int").alias("home"), "salts", "times").limit(few + 1).collect()
+    if len(named) > few:
         return rows.join(words.drop("salts"), "word")
-    named = words.select("word", _home(store.slots).cast("int").alias("home"), "salts").collect()
+    times = words.sparkSession.createDataFrame([(row.word, row.times) for row in named], "word string, times bigint")
     slots = {(row.home + i) % store.slots for row in named for i in range(min(row.salts, store.slots))}
     pruned = rows.filter(F.col("slot").isin(sorted(slots)) & F.col("word").isin([row.word for row in named]))
-    return pruned.join(F.broadcast(words.drop("salts")), "word")
+    return pruned.join(F.broadcast(times), "word")
 
 
 def scores(
@@ -139,6 +139,7 @@ def scores(
 def shown(store: SearchStore, page: DataFrame) -> DataFrame:
     """What the results of ``page(id, ...)``, of at most 100 rows, show: their ids
     are named in the plan, so only their buckets are read."""
-    page = materialize(page, "search-page")
-    ids = [row[0] for row in page.select("id").collect()]
+    rows = page.collect()
+    ids = [row["id"] for row in rows]
+    page = page.sparkSession.createDataFrame(rows, page.schema)
     return store.results.filter(F.col("id").isin(ids)).join(F.broadcast(page), "id")

@@ -62,7 +62,7 @@ def test_a_query_reads_its_slots(store):
     scan = next(line for line in plan.splitlines() if "store_a_postings" in line)
     chosen, of = (int(x) for x in scan.split("SelectedBucketsCount: ")[1].split(",")[0].split(" out of "))
     assert chosen < of and "word" in scan.split("PushedFilters: ")[1]
-    assert plan.count("FileScan") == 2 and "text" not in plan
+    assert plan.count("FileScan") == 1 and "text" not in plan
     shown = search(store[0], "the", 0, 5)._jdf.queryExecution().executedPlan().toString()
     assert "store_a_results" in shown and "PushedFilters: [In(id" in shown and "text" not in shown
 
