@@ -24,7 +24,6 @@ from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
