@@ -3,6 +3,11 @@
 Of the hashes of all runs of ``gram`` code points, the least in every window of
 ``window`` runs is kept, the rightmost of equals, with its position. Two texts
 that share a passage of ``gram + window - 1`` code points share a hash.
+
+Runs overhang both ends of a text by half their length, and windows both ends of
+the runs, so that lengths are the same for every text: a short text has several
+hashes too, and shares those of its beginning and end with longer texts that
+begin or end alike.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ WINDOW = 24
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 19  # runs hashed at once
 PART_BYTES = 32 << 20
-MOST_PARTS = 20_000  # bounds the cuts between ranges, which are on the driver
+MOST_PARTS = 20_000  # shuffle partitions; ranges beyond it are longer streams, not more memory
 
 
 def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
@@ -61,21 +66,30 @@ def rightmost_minima(values: np.ndarray, window: int) -> np.ndarray:
     return least[np.concatenate(([True], least[1:] != least[:-1]))]
 
 
+def first_minima(values: np.ndarray) -> np.ndarray:
+    """Positions of the least value of every beginning of ``values``, the rightmost of equals."""
+    return np.nonzero(values == np.minimum.accumulate(values))[0]
+
+
+def last_minima(values: np.ndarray) -> np.ndarray:
+    """Positions of the least value of every ending of ``values``, the rightmost of equals."""
+    back = values[::-1]
+    lower = np.append(True, back[1:] < np.minimum.accumulate(back)[:-1])
+    return len(values) - 1 - np.nonzero(lower)[0]
+
+
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of a text; an empty text has none.
 
-    Runs are a quarter of a short text at most, windows an eighth of its runs,
-    so that short texts have several hashes too. A smaller window keeps what a
-    larger one keeps, hence the guarantee holds between texts of 4 * ``gram``
-    code points or more, whatever their lengths.
+    A position is the run's first code point, below zero where it overhangs the start.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    gram = min(gram, max(1, len(codes) // 4))
-    hashes, positions = [], []
+    over = gram // 2
+    codes = np.pad(codes.astype(np.int64), over, constant_values=-1)  # no code point
     runs = len(codes) - gram + 1
-    window = min(window, max(1, runs // 8))
+    hashes, positions = [], []
     for at in range(0, runs, CHUNK):
         end = min(runs, at + CHUNK + window - 1)  # windows that begin in this chunk
         values = gram_hashes(codes[at : end + gram - 1], gram)
@@ -84,9 +98,16 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
         positions.append(kept + at)
         if end == runs:
             break
+    reach = min(runs, window - 1)  # runs that a window which overhangs an end may hold
+    if reach:
+        for at, least in ((0, first_minima), (runs - reach, last_minima)):
+            values = gram_hashes(codes[at : at + reach + gram - 1], gram)
+            kept = least(values)
+            hashes.append(values[kept])
+            positions.append(kept + at)
     h, p = np.concatenate(hashes), np.concatenate(positions)
-    new = np.concatenate(([True], p[1:] != p[:-1]))
-    return h[new], p[new]
+    p, first = np.unique(p, return_index=True)
+    return h[first], p - over
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -97,17 +118,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def to_string(hashes: np.ndarray, positions: np.ndarray) -> str:
-    """The upper halves of the hashes in hexadecimal, a colon, and the gaps between their positions."""
+    """The hashes in hexadecimal, a colon, and the first position and the gaps to the others."""
     if len(hashes) == 0:
         return ""
     gaps = np.diff(positions, prepend=0)
-    return (hashes >> np.uint64(32)).astype(">u4").tobytes().hex() + ":" + ",".join(map(str, gaps.tolist()))
+    return hashes.astype(">u8").tobytes().hex() + ":" + ",".join(map(str, gaps.tolist()))
 
 
 def fingerprint_documents(documents: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``documents`` with ``hashes`` (array of bigint, in order of position) and
-    ``positions`` (array of bigint, code points from 0), which replace columns
-    of those names. Null and empty texts have empty arrays. Nothing is shuffled."""
+    ``positions`` (array of bigint, code points from 0, those of overhanging runs
+    below), which replace columns of those names; all others stay. Null and empty
+    texts have empty arrays, repeated rows equal ones. Nothing is shuffled."""
     bound_batches(documents.sparkSession)
 
     @F.pandas_udf("hashes array<bigint>, positions array<bigint>")
@@ -115,10 +137,9 @@ def fingerprint_documents(documents: DataFrame, gram: int = GRAM, window: int =
         rows = [winnow(t, gram, window) for t in texts]
         return pd.DataFrame({"hashes": [h.view(np.int64) for h, _ in rows], "positions": [p for _, p in rows]})
 
-    marked = documents.withColumn("__winnowed", run(whole_text()))
-    return marked.withColumns({"hashes": F.col("__winnowed.hashes"), "positions": F.col("__winnowed.positions")}).drop(
-        "__winnowed"
-    )
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("hashes", "positions")]
+    marked = documents.select(F.struct(*kept).alias("row"), run(whole_text()).alias("prints"))
+    return marked.select("row.*", "prints.hashes", "prints.positions")
 
 
 RESULT = (
@@ -171,7 +192,7 @@ def compare_edited(
     rows each have their place. One document follows itself.
 
     Rows are dealt by ranges of ids into ``parts`` (by default of 32 MB of
-    text), each a sorted stream. The first row of each range is the one that another
+    text), one to a task, each a sorted stream. The first row of each range is the one that another
     range needs: these rows, one per range, are sent along as guests.
     """
     spark = documents.sparkSession
@@ -207,7 +228,7 @@ def compare_edited(
     stream = (
         placed.select("id", "text", "part", F.lit(0).alias("guest"))
         .unionByName(guests)
-        .repartition(parts, "part")
+        .repartitionById(len(edges) + 2, F.col("part"))
         .sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), "text")
     )
     return stream.mapInPandas(_compare(gram, window), RESULT)

@@ -6,21 +6,22 @@ from pageloom.llm import winnowing as W
 
 
 def brute(text, gram=W.GRAM, window=W.WINDOW):
-    codes = np.array([ord(c) for c in text], np.uint32)
-    gram = min(gram, max(1, len(codes) // 4))
-    hashes = W.gram_hashes(codes, gram).tolist()
-    window = min(window, max(1, len(hashes) // 8))
-    kept = []
-    for i in range(len(hashes) - window + 1):
-        least = min(hashes[i : i + window])
-        at = max(j for j in range(i, i + window) if hashes[j] == least)
-        if not kept or kept[-1] != at:
-            kept.append(at)
-    return [hashes[p] for p in kept], kept
+    """Every window that holds a run of the padded text, each looked through alone."""
+    if not text:
+        return [], []
+    over = gram // 2
+    codes = np.array([-1] * over + [ord(c) for c in text] + [-1] * over, np.int64)
+    hashes = [int(W.gram_hashes(codes[i : i + gram], gram)[0]) for i in range(len(codes) - gram + 1)]
+    kept = set()
+    for i in range(1 - window, len(hashes)):
+        held = range(max(0, i), min(len(hashes), i + window))
+        least = min(hashes[j] for j in held)
+        kept.add(max(j for j in held if hashes[j] == least))
+    return [hashes[p] for p in sorted(kept)], [p - over for p in sorted(kept)]
 
 
 def test_against_brute_force(monkeypatch, prose):
-    texts = ["a", "abc", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", prose(1, 30), prose(2, 400), "é🙂" * 90]
+    texts = ["", "a", "abc", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", prose(1, 30), prose(2, 400), "é🙂" * 90]
     for chunk in (W.CHUNK, 17):
         monkeypatch.setattr(W, "CHUNK", chunk)
         for text in texts:
@@ -35,6 +36,32 @@ def test_gram_hash_is_of_the_gram_alone():
         assert len(hashes) == len(codes) - gram + 1 and hashes[0] == hashes[22]
 
 
+def test_short_near_copies_are_alike(prose):
+    """A few characters more leave a likeness, at every length."""
+    for length in [*range(8, 70), 100, 191, 192, 193, 250]:
+        for seed in range(10):
+            text = prose(seed, 80)[:length]
+            longer = W.winnow(text + "xyz!")[0]
+            assert W.likeness(W.winnow(text)[0], longer) > 0
+    likenesses = [W.likeness(W.winnow(prose(k, 40)[:40])[0], W.winnow(prose(k, 40)[:40] + "abcd")[0]) for k in range(50)]
+    strange = [W.likeness(W.winnow(prose(k, 40)[:40])[0], W.winnow(prose(k + 99, 40)[:40])[0]) for k in range(50)]
+    assert np.mean(likenesses) > 0.4 and np.mean(strange) < 0.1
+
+
+def test_string_holds_what_is_compared(prose):
+    hashes, positions = W.winnow(prose(3, 50))
+    digits, gaps = W.to_string(hashes, positions).split(":")
+    assert [int(digits[k : k + 16], 16) for k in range(0, len(digits), 16)] == hashes.tolist()
+    assert np.cumsum([int(g) for g in gaps.split(",")]).tolist() == positions.tolist()
+
+
+def test_one_range_to_a_task(frame, prose):
+    rows = frame([(i, prose(i, 8)) for i in range(400)])
+    plan = W.compare_edited(rows, 40)
+    sizes = plan.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) <= 3 * 400 / 40
+
+
 def test_shared_passage_is_found(prose):
     """Any passage as long as a run and a window gives a common hash, wherever it stands."""
     passage = prose(9, 40)[: W.GRAM + W.WINDOW - 1]
