@@ -68,6 +68,46 @@ def test_long_repetitive_text(frame, spark):
     assert got[0].covered == 40
 
 
+def test_equal_tokens_make_no_pairs():
+    """40,000 x 1,000 equal tokens, and two that take turns, in bounded memory."""
+    import tracemalloc
+
+    for word in ("word ", "one two "):
+        items = D.Items([(1, word * 1_000)], 5)
+        tracemalloc.start()
+        (found,) = items.overlaps(word * 40_000, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found[2] == found[1] and peak < 200 << 20
+
+
+def test_seed_of_very_many_items():
+    """Items that share a seed only are passed over before any tiling."""
+    items = D.Items([(k, f"a b c d e f{k} g{k} h{k} i{k} j{k} k{k}") for k in range(20_000)], 5)
+    assert items.promising(5, D.running_hashes(np.arange(1, 6), 5, np.array([0])), 0.5) == []
+    found = items.overlaps("a b c d e " * 300 + "f7 g7 h7 i7 j7", 0.5)
+    assert [f[0] for f in found] == [7]
+
+
+def test_tiling_of_two_words_against_all_pairs():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 5, 17):
+        for _ in range(12):
+            words = [f"w{k}" for k in rng.integers(0, 2, size)]
+            doc = [f"w{k}" for k in rng.integers(0, 3, 25)]
+            match = min(3, size)
+            found = D.Items([(1, " ".join(words))], 3).overlaps(" ".join(doc), 0.0)
+            assert (found[0][4] if found else []) == plain_tiling(doc, words, match)
+
+
+def test_scripts_without_spaces(frame, spark):
+    item = "\u5317\u4eac\u5927\u5b66\u5386\u53f2\u7cfb\u4f4d\u4e8e"
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(1, "\u6211\u4eec\u77e5\u9053" + item + "\u6d77\u6dc0\u533a"), (2, "\u6211\u4eec\u77e5\u9053\u6d77\u6dc0\u533a")]
+    got = D.benchmark_overlaps(frame(rows), benchmark).collect()
+    assert [(r.doc_id, r.coverage) for r in got] == [(1, 1.0)]
+
+
 def test_empty_tables(frame, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.benchmark_overlaps(frame([(1, "a b c d e f")]), none).count() == 0
