@@ -547,8 +547,9 @@ def encode_documents(
             finally:
                 gc.enable()
 
-    coded = documents.withColumn("__coded", run(whole_text(text_col)))
-    return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
+    coded = documents.select(F.struct("*").alias("row"), run(whole_text(text_col)).alias("coded"))
+    kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in ("token_ids", "decoded")]
+    return coded.select(*kept, "coded.token_ids", "coded.decoded")
 
 
 def _columns(codec: Codec, texts: list[str]) -> pa.Array:

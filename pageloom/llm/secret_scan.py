@@ -213,18 +213,29 @@ def scan_secrets(
 
 
 def redact_secrets(documents: DataFrame, forest: RandomForestClassificationModel, path: Column | None = None) -> DataFrame:
-    """``documents`` with every finding of an id replaced by ``[SECRET]`` wherever
-    it stands in that id's texts; ``n_chars``, if there is one, follows. Rows
-    and columns stay as they are, null ids are one id."""
-    found = scan_secrets(documents, forest, path=path).groupBy(F.col("doc_id").alias("__id"))
-    found = found.agg(F.collect_set("secret").alias("__found"))
-    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    """``documents`` with every finding in a text replaced by ``[SECRET]``
+    wherever it stands in that text; ``n_chars``, if there is one, follows.
+
+    Each row is masked by the findings of its own text and path, also rows that
+    share an id or have none; equal rows are masked alike. Null and empty texts
+    and all other columns stay as they are, whatever their names.
+    """
+    place = F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
+    # rows with one key have the same text and path: it stands for an id in the findings
+    key = F.struct(F.xxhash64("doc_id", text, place).alias("hash"), F.xxhash64(F.lit(1), text).alias("text"), F.length(text).alias("length"))
+    marked = documents.select(F.struct("*").alias("row"), key.alias("key"), place.alias("place"))
+    texts = marked.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), "place")
+    found = scan_secrets(texts, forest, path=F.col("place")).groupBy("doc_id").agg(F.collect_set("secret").alias("found"))
+    joined = marked.join(found, F.col("key") == F.col("doc_id"), "left")
     longest_first = F.array_sort(
-        "__found", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)
+        "found", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)
     )
-    clean = F.aggregate(longest_first, F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(MARK)))
-    out = joined.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in documents.columns:
-        counted = F.length("text").cast(documents.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(counted))
-    return out.select(*documents.columns)
+    clean = F.aggregate(longest_first, F.col("row.text"), lambda text, secret: F.replace(text, secret, F.lit(MARK)))
+    masked = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(clean)
+    out = joined.select("row", "found", masked.alias("masked"))
+    columns = {c: F.col("row")[c] for c in documents.columns} | {"text": F.col("masked")}
+    if "n_chars" in columns:
+        counted = F.length("masked").cast(documents.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("found").isNull(), columns["n_chars"]).otherwise(counted)
+    return out.select(*[value.alias(name) for name, value in columns.items()])

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import heavy_keys, salted_join
 from ..session import materialize
 from .common import bound_batches, whole_text
 from .components import connected_components
@@ -143,7 +144,8 @@ def simhash_groups(
     )
     hashed = materialize(hashed, "simhash")
     named = _least_of_groups(hashed, "id", max_bits).withColumnRenamed("least", "component_id")
-    return hashed.join(named, "fp").select(
+    # a fingerprint that a large share of all rows have is dealt into salts
+    return salted_join(hashed, named, ["fp"], heavy_keys(hashed, ["fp"]), ["id"], "inner").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -167,7 +169,8 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 3, max_bits: int =
     Rows are judged one by one: a row goes only if its own group keeps another
     document. Rows with the same id and text are one document and stay
     together; rows without id are documents of their own, and of those with one
-    text the one with the least hash of all columns stays.
+    text the one with the least hash of all columns stays. Null and empty texts
+    have fingerprint zero. Columns stay as they are, whatever their names.
     """
     bound_batches(documents.sparkSession)
     no_id, text = F.col("doc_id").isNull(), whole_text()
@@ -177,11 +180,10 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 3, max_bits: int =
     )
     hashed = materialize(documents.select(key.alias("key"), _fingerprint_column(shingle)(text).alias("fp")), "simhash")
     named = _least_of_groups(hashed, "key", max_bits)
-    dropped = (
-        hashed.join(named, "fp").filter(~F.col("key").eqNullSafe(F.col("least"))).select(F.col("key").alias("__dropped"))
-    ).distinct()
-    same = [F.col("__key")[c].eqNullSafe(F.col("__dropped")[c]) for c in ("id", "text_hash", "tie")]
-    kept = documents.withColumn("__key", key).join(dropped, same, "left_anti")
+    judged = salted_join(hashed, named, ["fp"], heavy_keys(hashed, ["fp"]), ["key"], "inner")
+    dropped = judged.filter(~F.col("key").eqNullSafe(F.col("least"))).select(F.col("key").alias("dropped")).distinct()
+    same = [F.col("key")[c].eqNullSafe(F.col("dropped")[c]) for c in ("id", "text_hash", "tie")]
+    kept = documents.select(F.struct("*").alias("row"), key.alias("key")).join(dropped, same, "left_anti")
     # rows without id that are left with one key are equal in all columns
-    alone = kept.filter("doc_id is null").dropDuplicates(["__key"])
-    return kept.filter("doc_id is not null").union(alone).drop("__key")
+    alone = kept.filter("key.id is null").dropDuplicates(["key"])
+    return kept.filter("key.id is not null").union(alone).select("row.*")

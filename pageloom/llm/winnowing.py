@@ -137,9 +137,9 @@ def fingerprint_documents(documents: DataFrame, gram: int = GRAM, window: int =
         rows = [winnow(t, gram, window) for t in texts]
         return pd.DataFrame({"hashes": [h.view(np.int64) for h, _ in rows], "positions": [p for _, p in rows]})
 
-    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("hashes", "positions")]
-    marked = documents.select(F.struct(*kept).alias("row"), run(whole_text()).alias("prints"))
-    return marked.select("row.*", "prints.hashes", "prints.positions")
+    marked = documents.select(F.struct("*").alias("row"), run(whole_text()).alias("prints"))
+    kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in ("hashes", "positions")]
+    return marked.select(*kept, "prints.hashes", "prints.positions")
 
 
 RESULT = (

@@ -109,3 +109,11 @@ def test_query_against_the_library(spark, data, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_names_of_columns_are_free(frame):
+    """``token_ids`` and ``decoded`` are replaced, all others stay."""
+    extra = "row int, coded int, __coded int, token_ids int, decoded int"
+    coded = bpe.encode_documents(frame([(1, "a b"), (None, None)], extra), vocabulary_path())
+    assert sorted(coded.columns) == sorted(frame([], extra).columns)
+    assert {r.doc_id: r.decoded for r in coded.collect()} == {1: "a b", None: ""}

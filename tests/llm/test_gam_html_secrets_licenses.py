@@ -140,6 +140,18 @@ def test_scan_and_mask(frame, edges, forest):
     assert secret_scan.scan_secrets(frame([]), forest).count() == 0
 
 
+def test_rows_are_masked_by_their_own_texts(frame, forest):
+    """Rows without an id share nothing, and no column name is taken."""
+    line = f'then token = "{SECRET}" and more'
+    rows = [(None, line), (None, "of " + SECRET[:6] + " alone"), (7, line), (7, "no secret"), (None, None), (8, "")]
+    extra = "row int, key int, found string, place string, masked string, hash int, __id int, __found string"
+    masked = secret_scan.redact_secrets(frame(rows, extra), forest)
+    assert masked.columns == frame(rows, extra).columns
+    clean = line.replace(SECRET, "[SECRET]")
+    want = [(None, clean), rows[1], (7, clean), *rows[3:]]
+    assert sorted(((r.doc_id, r.text) for r in masked.collect()), key=str) == sorted(want, key=str)
+
+
 def test_main_path_has_no_python(frame, forest):
     plan = secret_scan.redact_secrets(frame([(1, "a")]), forest)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

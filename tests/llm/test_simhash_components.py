@@ -124,6 +124,13 @@ def test_one_document_of_each_group(spark, frame, prose):
     assert len(kept) == sum(len([m for m in kept if m in members]) for members in groups.values())
 
 
+def test_names_of_columns_are_free(frame, prose):
+    extra = "row int, key int, fp int, least int, dropped int, __key string, _salt int"
+    rows = frame([(1, prose(1)), (2, prose(1)), (None, None)], extra)
+    kept = simhash.drop_near_duplicates(rows)
+    assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
 def test_query_has_every_document(spark, data):
     rows = QUERIES["op7_simhash"](spark, data)
     assert rows.columns == ["doc_id", "fingerprint", "component_id"]
