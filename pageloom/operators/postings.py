@@ -17,11 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize_counted
+from ..functions.urls import _let
+from ..session import materialize
 
 GRAM = 3
 #: Postings of one word in a slot, slots at most, and words that a plan may name.
@@ -63,27 +65,51 @@ def _save(df: DataFrame, name: str, folder: str, part: str, buckets: int, key: s
     writer.option("path", f"{folder}/{part}").option("compression", "zstd").mode("overwrite").saveAsTable(f"{name}_{part}")
 
 
+def _counted(words: Column) -> Column:
+    """``struct(word, n)`` of the distinct words of one row: heads of equal runs in order."""
+
+    def runs(ordered: Column) -> Column:
+        heads = F.filter(
+            F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
+        )
+        return _let(
+            heads,
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(ordered, i).alias("word"),
+                    (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("bigint").alias("n"),
+                ),
+            ),
+        )
+
+    return _let(F.sort_array(words), runs)
+
+
 def write_search_store(corpus: DataFrame, name: str, folder: str, slot_rows: int = SLOT_ROWS) -> SearchStore:
     """Write the tables ``name_words``, ``name_postings`` and ``name_results`` of
     ``corpus(id, title, url, description, text, domain[, ts])`` below ``folder``.
 
-    The text is read once. Rows with null or empty text have no postings and so
-    match nothing.
+    Words are counted within their row, so a posting moves once, to its slot; the
+    text is read once for the vocabulary and once for the postings. Rows that share
+    an id have postings each, which queries add up. Rows with null or empty text
+    have no postings and so match nothing.
     """
     spark = corpus.sparkSession
     beside = ["domain", *(["ts"] if "ts" in corpus.columns else [])]
-    exploded = corpus.select("id", *beside, F.explode(_words("text")).alias("word"))
-    counted = exploded.groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in beside])
-    counted, total = materialize_counted(counted, "postings")
+    vocabulary = corpus.select(F.explode(F.array_distinct(_words("text"))).alias("word"))
+    vocabulary = materialize(vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("rows")), "vocabulary")
+    sizes = vocabulary.agg(F.sum("rows").alias("total"), F.count(F.lit(1)).alias("size")).first()
+    total, size = sizes["total"] or 0, sizes["size"]
     slots = max(1, min(MOST_SLOTS, -(-total // slot_rows)))
-    vocabulary = counted.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
     salts = F.least(F.ceil(F.col("rows") / slot_rows), F.lit(slots)).cast("int")
-    vocabulary, size = materialize_counted(vocabulary.select("word", salts.alias("salts")), "vocabulary")
+    vocabulary = vocabulary.select("word", salts.alias("salts"))
     grams = vocabulary.select(F.posexplode(_grams(F.col("word"))).alias("at", "gram"), "word", "salts")
     words = grams.select("gram", (F.col("at") == 0).alias("leads"), "word", "salts")
     _save(words, name, folder, "words", max(1, min(MOST_SLOTS, size // 50_000)), "gram", ["gram", "word"])
     # words that fill slots of their own are few: each has slot_rows postings
     frequent = vocabulary.filter("salts > 1")
+    counted = corpus.select("id", *beside, F.inline(_counted(_words("text"))))
     dealt = counted.join(F.broadcast(frequent) if total // slot_rows <= 100_000 else frequent, "word", "left")
     further = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))
     slot = F.pmod(_home(slots) + further, F.lit(slots))
@@ -100,40 +126,55 @@ def open_search_store(spark: SparkSession, name: str) -> SearchStore:
     return SearchStore(words, postings, results, int(rows.data_type))
 
 
-def _containing(store: SearchStore, term: str) -> DataFrame:
-    """Words that contain ``term``, with how often (without overlap). Terms shorter
-    than a gram look through the vocabulary, each word of which leads one row."""
-    under = F.col("gram") == term[:GRAM] if len(term) >= GRAM else F.col("leads")
-    times = (F.length("word") - F.length(F.replace("word", F.lit(term), F.lit("")))) / F.lit(len(term))
-    return store.words.filter(under & F.col("word").contains(term)).select("word", "salts", times.cast("bigint").alias("times"))
+def _times(terms: list[str]) -> Column:
+    """How often ``word`` contains the terms, each without overlap."""
+    left = [F.length(F.replace("word", F.lit(term), F.lit(""))) for term in terms]
+    return reduce(add, [((F.length("word") - size) / F.lit(len(term))).cast("bigint") for term, size in zip(terms, left)])
+
+
+def _named(store: SearchStore, terms: list[str], times: Column, few: int) -> list | None:
+    """The words that contain one of ``terms``, with their salts; None if they are
+    more than ``few``. Terms shorter than a gram look through the vocabulary, each
+    word of which leads one row."""
+
+    def under(term: str) -> Column:
+        return (F.col("gram") == term[:GRAM] if len(term) >= GRAM else F.col("leads")) & F.col("word").contains(term)
+
+    most = few * len(terms)  # a word is met once per term at most
+    found = store.words.filter(reduce(or_, [under(term) for term in terms])).limit(most + 1)
+    found = found.select("word", _home(store.slots).cast("int").alias("home"), "salts", times.alias("times")).collect()
+    distinct = {row.word: row for row in found}
+    return list(distinct.values()) if len(found) <= most and len(distinct) <= few else None
 
 
-def _postings_of(store: SearchStore, words: DataFrame, where: Column | None, few: int) -> DataFrame:
-    """Postings of ``words(word, salts, times)``. Up to ``few`` words are named in
-    the plan, so that only their slots are read; more are joined."""
+def _postings_of(store: SearchStore, terms: list[str], times: Column, where: Column | None, few: int) -> DataFrame:
+    """Postings of the words that contain one of ``terms``, with ``times``. Up to
+    ``few`` words are named in the plan, so that only their slots are read; for
+    more, the postings are read where they lie and their words looked at: none is
+    moved to meet its word."""
     rows = store.postings if where is None else store.postings.filter(where)
-    named = words.select("word", _home(store.slots).cast("int").alias("home"), "salts", "times").limit(few + 1).collect()
-    if len(named) > few:
-        return rows.join(words.drop("salts"), "word")
-    times = words.sparkSession.createDataFrame([(row.word, row.times) for row in named], "word string, times bigint")
+    named = _named(store, terms, times, few)
+    if named is None:
+        return rows.filter(reduce(or_, [F.col("word").contains(term) for term in terms])).withColumn("times", times)
+    counts = rows.sparkSession.createDataFrame([(row.word, row.times) for row in named], "word string, times bigint")
     slots = {(row.home + i) % store.slots for row in named for i in range(min(row.salts, store.slots))}
     pruned = rows.filter(F.col("slot").isin(sorted(slots)) & F.col("word").isin([row.word for row in named]))
-    return pruned.join(F.broadcast(times), "word")
+    return pruned.join(F.broadcast(counts), "word")
 
 
 def scores(
     store: SearchStore, terms: list[str], required: list[str], where: Column | None, few: int = FEW_WORDS
 ) -> DataFrame:
     """(id, score) of rows with a score above 0 that contain every word of
-    ``required``, lower-cased terms without white space."""
-    found = reduce(DataFrame.unionByName, [_containing(store, term) for term in terms])
-    words = found.groupBy("word").agg(F.max("salts").alias("salts"), F.sum("times").alias("times"))
-    hits = _postings_of(store, words, where, few)
-    ranked = hits.groupBy("id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
-    for term in required:
-        holders = _postings_of(store, _containing(store, term), where, few).select("id")
-        ranked = ranked.join(holders, "id", "left_semi")
-    return ranked
+    ``required``, lower-cased terms without white space. Terms and required words
+    are looked for in one reading of the postings."""
+    hits = _postings_of(store, list(dict.fromkeys([*terms, *required])), _times(terms), where, few)
+    holds = {f"has_{i}": F.max(F.col("word").contains(term)) for i, term in enumerate(required)}
+    score = F.sum(F.col("n") * F.col("times")).alias("score")
+    ranked = hits.groupBy("id").agg(score, *[held.alias(name) for name, held in holds.items()]).filter(F.col("score") > 0)
+    if required:  # a row without id is not known to hold a word
+        ranked = ranked.filter(reduce(and_, [F.col(name) for name in holds]) & F.col("id").isNotNull())
+    return ranked.select("id", "score")
 
 
 def shown(store: SearchStore, page: DataFrame) -> DataFrame:

@@ -88,3 +88,31 @@ def test_a_million_rows_before_the_page(spark):
     assert limit < 100_000  # of the ranges that hold the page
     every = [i for score in range(6, -1, -1) for i in range(score, 1_200_000, 7)]
     assert [r.id for r in page.collect()] == every[1_000_000:1_000_010]
+
+
+def test_postings_are_never_moved_to_meet_words(spark, store):
+    # the words of a term and of what is required, few or many, cost one reading and one shuffle by id
+    for few, terms, required in ((2000, ["th"], ["a", "é"]), (0, ["th", "a"], []), (0, ["th"], ["a", "é"])):
+        plan = scores(store[0], terms, required, None, few)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(id") == 1
+
+
+def test_writing_a_store_moves_a_posting_once(spark, tmp_path, monkeypatch):
+    from pageloom.operators import postings
+
+    plans = []
+    save = postings._save
+
+    def kept(df, name, folder, part, *rest):
+        plans.append((part, df._jdf.queryExecution().executedPlan().toString()))
+        save(df, name, folder, part, *rest)
+
+    monkeypatch.setattr(postings, "_save", kept)
+    rows = [(1, "t", "u", "d", "B a b  a\na", "s", None), (1, "t", "u", "d", "a c", "s", None), (None, "t", "u", "d", "c C", "s", None)]
+    written = write_search_store(spark.createDataFrame(rows, SCHEMA), "store_once", str(tmp_path / "s"))
+    plan = dict(plans)["postings"]
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan
+    sums = written.postings.groupBy("word", "id").agg(F.sum("n")).collect()
+    assert {tuple(r) for r in sums} == {("a", 1, 4), ("b", 1, 2), ("c", 1, 1), ("c", None, 2)}
+    assert {tuple(r) for r in scores(written, ["a", "c"], [], None).collect()} == {(1, 5), (None, 2)}
+    assert {tuple(r) for r in scores(written, ["c"], ["c"], None).collect()} == {(1, 1)}
