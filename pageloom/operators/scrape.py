@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import markdown
 from ..functions.requests import cache_key, mark_cached, metadata_map, resolve_mode
 from ..functions.urls import key_of
-from ..session import materialize
+from ..session import bound_batches, materialize
 from .cache import match_cache, with_results
 from .images import image_arrays
 from .pages import ENGINE_NAMES, asked_pages, choice_for, chosen_page_id, documents_of, missing_errors, page_index
@@ -81,6 +81,7 @@ def scrape(
 
     Adds ``engine, error, cacheable, cached`` and the result columns.
     """
+    bound_batches(requests.sparkSession)
     asked = normalize_requests(requests)
     at = F.col("ts") if "ts" in requests.columns else F.lit(as_of).cast("timestamp")
     open_requests = asked

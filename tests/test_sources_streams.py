@@ -226,3 +226,19 @@ def test_queue_depth_stream(spark, task_dir, tmp_path):
     q = depth.writeStream.format("memory").queryName("depth").outputMode("complete").trigger(availableNow=True)
     q.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
     assert spark.sql("SELECT sum(n), count(*) FROM depth").first()[:] == (12, 5)
+
+
+@pytest.mark.parametrize("held, most", [(("10000", "67108864b"), (1000, 16 << 20)), (("300", "1000000"), (300, 1_000_000))])
+def test_scrape_bounds_what_a_worker_holds(spark, held, most):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, held):
+            spark.conf.set(name, value)
+        pages = spark.createDataFrame([(1, "https://a.org/1", PAD)], "page_id long, url string, html string")
+        asked = spark.createDataFrame([(1, "https://a.org/1", "static")], "request_id long, url string, mode string")
+        assert scrape(asked, pages).first().markdown
+        assert [int(spark.conf.get(name)) for name in names] == list(most)  # lower ones stay
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
