@@ -1,3 +1,5 @@
+import gzip
+import json
 import random
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pageloom.operators.quantiles import exact_quantiles
 from pageloom.operators.runlog import request_metrics
 from pageloom.operators.scrape import scrape
 from pageloom.session import materialize_counted, scratch_root
-from pageloom.sources.tables import expire_cache, pages_from, read_cache, read_image_files, summaries, write_cache
+from pageloom.sources.tables import expire_cache, pages_from, read_cache, read_image_files, summaries, write_cache, write_results_json
 from pageloom.streaming.jobs import rejects_of, stream_cached_scrape, stream_queue_depth, stream_scrape
 from pageloom.sources.tasks import decode_tasks, rejected, runnable, stream_tasks
 
@@ -242,3 +244,16 @@ def test_scrape_bounds_what_a_worker_holds(spark, held, most):
     finally:
         for name, value in zip(names, before):
             spark.conf.set(name, value)
+
+
+def test_json_documents_are_packed_fast(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["page", "of", "some", "site", "with", "words", str(rng.random())]) for _ in range(3000)), None) for i in range(30)]
+    out = str(tmp_path / "documents")
+    write_results_json(spark.createDataFrame(rows, "id int, html string, error string").coalesce(1), out)
+    (file,) = (tmp_path / "documents").glob("*.json.gz")
+    data = gzip.decompress(file.read_bytes())
+    assert [json.loads(line) for line in data.splitlines()] == [{"id": i, "html": html} for i, html, _ in rows]
+    fast, usual = (len(gzip.compress(data, level)) for level in (1, 6))
+    size = file.stat().st_size
+    assert abs(size - fast) < abs(size - usual)
