@@ -1,29 +1,33 @@
 """Language-model scores by prediction by partial matching (PPM).
 
-A text is coded as its class and then its tokens and one end. The class, one
-of 32, is a hash of the text's most frequent token, and tells languages and
-kinds of junk apart. A token is coded byte by byte, each byte after the
-``ORDER`` before it: back to the class, the gap and the token's own bytes. The
-trie of contexts is learned from the counts of all training tokens. A byte that
-its longest context has not seen costs an escape (method C: as many parts as
-the context has seen symbols) and is looked for in the next shorter context,
+A text is coded as its class and then its tokens, each with a gap after it, and
+one end. The class, one of 32, is a hash of the text's most frequent token, and
+tells languages and kinds of junk apart. All else is coded byte by byte, each
+byte and the end after the ``ORDER`` bytes before it, over the ends of tokens
+and back to the class. The contexts are learned from all training texts. A byte
+that its longest context has not seen costs an escape (method C: as many parts
+as the context has seen symbols) and is looked for in the next shorter context,
 where the symbols that the longer one has seen are excluded; below the empty
 context all symbols not yet seen are equally likely.
 
-As a token's code length depends on its class alone, every distinct pair of
-class and token is scored once, and documents only add up scores of tokens.
+A byte in its longest context is a gram. Grams are counted and met with their
+counts by a shuffle; contexts that share their last two bytes are scored
+together, every distinct gram once. Documents add up scores: of a bounded number
+of frequent grams and tokens where they are read, of all others by a join.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -32,17 +36,20 @@ from .common import bound_batches, whole_text
 ORDER = 6  # bytes of the longest context
 SYMBOLS = 257  # bytes and the end of a text
 END = 256
-GAP = 32  # ends a token, and stands in front of it
 CLASSES = 32
-END_WORD = b" "  # stands for the end in tables; no token has white space
-FREQUENT = 65_536  # tokens whose scores are broadcast
-BLOCK_GRAMS = 300_000  # bytes in longest contexts that one block of the trie holds
-BLOCKS_AT_ONCE = 2  # blocks that are broadcast together
+END_WORD = b" "  # with the class behind it stands for the end in tables; no token has white space
+FREQUENT = 1 << 18  # tokens whose counts are broadcast
+FREQUENT_GRAMS = 1 << 21  # grams whose scores are broadcast
+SLOT_BITS = 22  # slots that frequent grams are looked up in
+BLOCK_GRAMS = 300_000  # grams scored at once, or all that share two bytes
 FLUSH = 400_000  # distinct tokens counted before a task passes them on
-POSITIONS = 1 << 20  # bytes scored at once
+FLUSH_GRAMS = 3_000_000  # the same of grams
+POSITIONS = 1 << 20  # bytes keyed at once
+TEXTS = 500  # texts added up at once
 
 _CTX = np.int64(9)  # a key is length, context and symbol: 3, 48 and 9 bits
 _LEN = np.int64(9 + 48)
+_TRAIN = np.int64(1) << np.int64(60)  # marks grams of training texts while they are counted
 
 
 def tokens(text: str) -> list[bytes]:
@@ -57,38 +64,94 @@ def suffix(contexts: np.ndarray) -> np.ndarray:
     return (shorter << 48) | (contexts & ((np.int64(1) << (8 * shorter)) - 1))
 
 
-def text_class(counts: Counter) -> int:
+def text_class(counts: dict[bytes, int]) -> int:
     """The class of a text by the counts of its tokens; of equally frequent ones the greatest counts."""
     best = max(counts.items(), key=lambda x: (x[1], x[0]))[0] if counts else b""
     return zlib.crc32(best) % CLASSES
 
 
-def joined(classes: list[int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in a row, each as class, gap, bytes and gap, and the places of the coded bytes: all but the first two."""
-    buffer = np.frombuffer(b"".join([b"%c %b " % pair for pair in zip(classes, words)]), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
-    starts = np.cumsum(sizes) - sizes
-    coded = np.ones(len(buffer), bool)
-    coded[starts] = coded[starts + 1] = False
-    return buffer, np.nonzero(coded)[0]
-
-
-def keys(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of the bytes at some places: their contexts reach back to the class, or ``ORDER`` bytes."""
-    context, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    open_, class_next = np.ones(len(at), bool), np.zeros(len(at), bool)
-    for back in range(1, ORDER + 1):
-        byte = buffer[np.maximum(at - back, 0)].astype(np.int64)
-        context = np.where(open_, context | (byte << (8 * (back - 1))), context)
-        size += open_
-        open_ &= ~class_next
-        class_next = byte == GAP
-    return (size << _LEN) | (context << _CTX) | buffer[at]
+@dataclass
+class Texts:
+    """Texts of a batch: their coded rows, and per text and distinct token how often it has it."""
 
+    words: pa.Array  # distinct tokens of the batch
+    owner: np.ndarray  # texts, ascending
+    token: np.ndarray  # places in words
+    times: np.ndarray
+    sizes: np.ndarray  # tokens per text, without the end
+    kinds: list[int]
+    rows: list[bytes]
 
-def end_keys() -> np.ndarray:
-    """Keys of the end of a text of each class."""
-    return (np.int64(2) << _LEN) | (((np.arange(CLASSES) << 8) | GAP) << _CTX) | END
+    @classmethod
+    def of(cls, texts: list[str]) -> Texts:
+        lists = [tokens(text) for text in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        encoded = pa.array(chain.from_iterable(lists), pa.binary()).dictionary_encode()
+        words, distinct = encoded.dictionary, max(1, len(encoded.dictionary))
+        pairs = np.repeat(np.arange(len(lists)), sizes) * distinct + encoded.indices.to_numpy()
+        pairs, times = np.unique(pairs, return_counts=True)
+        owner, token = np.divmod(pairs, distinct)
+        order = pc.array_sort_indices(words).to_numpy()
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        kinds = [text_class({})] * len(lists)
+        if len(pairs):
+            first = np.nonzero(np.diff(owner, prepend=-1))[0]
+            most = order[np.maximum.reduceat(times * distinct + rank[token], first) % distinct]
+            for text, word in zip(owner[first].tolist(), words.take(pa.array(most)).to_pylist()):
+                kinds[text] = text_class({word: 1})
+        return cls(words, owner, token, times, sizes, kinds, list(map(coded, kinds, lists)))
+
+    def counts(self, train: np.ndarray) -> pa.Table:
+        """(word, c, n): how often training texts and all have every distinct token and end."""
+        parts = []
+        for words, token, times, trained in (
+            (self.words, self.token, self.times, train[self.owner]),
+            (pa.array([END_WORD + bytes([k]) for k in range(CLASSES)]), self.kinds, np.ones(len(train), np.int64), train),
+        ):
+            c, n = (np.bincount(token, weight, len(words)).astype(np.int64) for weight in (times * trained, times))
+            parts.append(pa.table({"word": words, "c": c, "n": n}).filter(pc.field("n") > 0))
+        return pa.concat_tables(parts)
+
+
+def coded(kind: int, words: list[bytes]) -> bytes:
+    """A text in a row: class, gap, every token with a gap, and a line feed for the end."""
+    return b"%c %b\n" % (kind, b" ".join([*words, b""]))
+
+
+def keys(rows: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Grams of coded texts in pieces of at most ``POSITIONS`` bytes: the first row
+    of a piece, where in it each of its rows begins, and a key per byte. Class and
+    first gap are not coded and have -1."""
+    joined = b"".join([bytes(7), *rows])
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    starts = np.cumsum(sizes) - sizes
+    ends, total = starts + sizes - 1, len(joined) - 7
+    words = np.ndarray((total,), ">i8", joined, strides=(1,))  # each byte with the seven before it
+    for lo in range(0, total, POSITIONS):
+        hi = min(lo + POSITIONS, total)
+        piece = words[lo:hi].astype(np.int64)
+        key = (((piece >> 8) & ((1 << 48) - 1)) << _CTX) | (piece & 255) | (np.int64(ORDER) << _LEN)
+        first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
+        begin, end = starts[first:last], ends[first:last]
+        at = end[end < hi] - lo
+        key[at] = (key[at] & ~np.int64(511)) | END
+        for size in range(ORDER):
+            at = begin + size
+            at = at[(at >= lo) & (at < hi) & (at <= end)] - lo
+            context = (key[at] >> _CTX) & ((1 << 8 * size) - 1)
+            key[at] = (size << _LEN) | (context << _CTX) | (key[at] & 511) if size > 1 else -1
+        yield int(first), np.maximum(begin - lo, 0), key
+
+
+def merged(key: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, with the sums of their numbers."""
+    order = np.argsort(key, kind="stable")  # quick where sorted parts are put together
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.nonzero(new)[0]
+    return key[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in numbers)
 
 
 @dataclass
@@ -171,211 +234,197 @@ class Trie:
         return out
 
 
-def token_scores(tries: list[tuple[set[int] | None, Trie]], classes: list[int], words: list[bytes]) -> np.ndarray:
-    """log10 probability of every token: each byte is scored by the trie whose
-    last bytes of contexts hold the byte before it; None holds all."""
-    if not words:
-        return np.empty(0)
-    buffer, at = joined(classes, words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 3)
-    total = np.zeros(len(words))
-    for last_bytes, trie in tries:
-        mine = at
-        if last_bytes is not None:
-            wanted = np.zeros(256, bool)
-            wanted[list(last_bytes)] = True
-            mine = at[wanted[buffer[at - 1]]]
-        for lo in range(0, len(mine), POSITIONS):
-            here = mine[lo : lo + POSITIONS]
-            values = trie.log_probabilities(keys(buffer, here))
-            total += np.bincount(np.searchsorted(ends, here, side="right"), values, len(words))
-    return total
-
-
-def count_tokens(documents: DataFrame, training: Column, text_col: str = "text") -> DataFrame:
-    """(class, word, c, n, c_all): every distinct token of each class with its
-    count in training rows and in all, and its training count in all classes.
-    The end of a text counts as one more token."""
-    bound_batches(documents.sparkSession)
+COUNTS = "word binary, key bigint, c bigint, n bigint"
 
-    def table(seen: dict) -> pd.DataFrame:
-        kinds = [kind for (kind, _), words in seen.items() for _ in range(len(words))]
-        trains = np.array([train for (_, train), words in seen.items() for _ in range(len(words))], bool)
-        words = [w for counts in seen.values() for w in counts]
-        n = np.array([k for counts in seen.values() for k in counts.values()], np.int64)
-        return pd.DataFrame({"class": kinds, "word": words, "c": np.where(trains, n, 0), "n": n})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size = defaultdict(Counter), 0
-        for frame in frames:
-            for text, train in zip(frame["text"], frame["train"]):
-                words = tokens(text)
-                known = seen[text_class(Counter(words)), bool(train)]
-                size -= len(known)
-                known.update(words)
-                known[END_WORD] += 1
-                size += len(known)
-                if size > FLUSH:
-                    yield table(seen)
-                    seen, size = defaultdict(Counter), 0
-        yield table(seen)
+def _no_words(size: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(bytes(4 * (size + 1))), pa.py_buffer(b"")])
+
+
+def count(documents: DataFrame, training: Column, text_col: str = "text") -> DataFrame:
+    """(word, key, c, n): every distinct token (key 0) and every distinct gram
+    (empty word) with its count in training rows and in all. The end of a text
+    counts as a token of its class, ``END_WORD`` and the class."""
+    bound_batches(documents.sparkSession)
+
+    def of_words(table: pa.Table) -> list[pa.RecordBatch]:
+        key = pa.array(np.zeros(len(table), np.int64))
+        return table.add_column(1, "key", key).select(["word", "key", "c", "n"]).to_batches()
+
+    def of_grams(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = merged(key & ~_TRAIN, np.where(key >= _TRAIN, n, 0), n)
+        for lo in range(0, len(counts[0]), POSITIONS):
+            part = [pa.array(x[lo : lo + POSITIONS]) for x in counts]
+            yield pa.RecordBatch.from_arrays([_no_words(len(part[0])), *part], ["word", "key", "c", "n"])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by("word").aggregate([("c", "sum"), ("n", "sum")])
+        return sums.rename_columns(["word", "c", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        held, fresh, size, words = none, [], 0, []
+        for batch in batches:
+            train = np.array(batch["train"].to_pylist(), bool)
+            texts = Texts.of(batch["text"].to_pylist())
+            words.append(texts.counts(train))
+            if sum(map(len, words[1:])) > FLUSH:
+                words = [added(words)]
+                if len(words[0]) > FLUSH:
+                    yield from of_words(words.pop())
+            for mark, wanted in ((_TRAIN, train), (np.int64(0), ~train)):
+                for _, _, key in keys([texts.rows[i] for i in np.nonzero(wanted)[0]]):
+                    key, n = np.unique(key[key >= 0], return_counts=True)
+                    fresh.append((key | mark, n))
+                    size += len(key)
+                    if size > FLUSH_GRAMS:
+                        held, fresh, size = merged(*map(np.concatenate, zip(held, *fresh))), [], 0
+                        if len(held[0]) > FLUSH_GRAMS:
+                            yield from of_grams(*held)
+                            held = none
+        if words:
+            yield from of_words(added(words))
+        yield from of_grams(*merged(*map(np.concatenate, zip(held, *fresh))))
 
     rows = documents.select(whole_text(text_col).alias("text"), training.alias("train"))
-    counted = rows.mapInPandas(run, "class int, word binary, c bigint, n bigint").repartition("word")
-    sums = counted.groupBy("class", "word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    return sums.withColumn("c_all", F.sum("c").over(Window.partitionBy("word")))
+    counted = rows.mapInArrow(run, COUNTS).repartition("word", "key")
+    return counted.groupBy("word", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """(key, n): bytes of training tokens after their longest contexts."""
+def score_grams(grams: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(key, n, score) of ``grams`` (key, c, n): the log10 probability of each by the counts ``c``.
 
-    def table(held: list) -> pd.DataFrame:
-        kinds, texts, counts = zip(*held)
-        buffer, at = joined(kinds, texts)
-        weight = np.repeat(counts, [len(w) + 1 for w in texts])
-        parts = []
-        for lo in range(0, len(at), POSITIONS):
-            found, where = np.unique(keys(buffer, at[lo : lo + POSITIONS]), return_inverse=True)
-            sums = np.bincount(where, weight[lo : lo + POSITIONS], len(found))
-            parts.append(pd.DataFrame({"key": found, "n": sums.astype(np.int64)}))
-        return pd.concat(parts)
+    Contexts that share their last two bytes are scored by one task, which holds
+    those of about ``block_grams`` grams at once. The counts of single bytes after
+    single bytes, at most 65,792, are broadcast, as they belong to many tasks.
+    """
+    pairs = grams.filter(F.col("c") > 0).groupBy(F.col("key").bitwiseAND(F.lit((1 << 17) - 1)).alias("key"))
+    singles = pairs.agg(F.sum("c").alias("n")).toArrow()
+    one_key = singles["key"].to_numpy() | (np.int64(1) << _LEN)
+    shared = grams.sparkSession.sparkContext.broadcast((one_key, singles["n"].to_numpy()))
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        key, c = frame["key"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)
+        last = np.zeros(256, bool)
+        last[(key >> _CTX) & 255] = True
+        trie = Trie.build(*_with_singles(key[c > 0], c[c > 0], last, *shared.value))
+        return pd.DataFrame({"key": key, "n": frame["n"], "score": trie.log_probabilities(key)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, most = [], 0, block_grams
         for frame in frames:
-            held += zip(frame["class"], frame["word"], frame["c"])
-            size += len(frame) + sum(map(len, frame["word"]))
-            if size > POSITIONS:
-                yield table(held)
-                held, size = [], 0
-        if held:
-            yield table(held)
-
-    trained = words.filter(F.col("c") > 0).select("class", "word", "c")
-    return trained.mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _blocks(sizes: dict[int, int], most: int) -> list[set[int]]:
-    """Last bytes of contexts in blocks of about ``most`` longest contexts; a single byte may exceed it."""
-    blocks, held = [set()], 0
-    for byte, size in sorted(sizes.items()):
-        if blocks[-1] and held + size > most:
-            blocks.append(set())
-            held = 0
-        blocks[-1].add(byte)
-        held += size
-    return blocks
-
-
-def score_tokens(words: DataFrame, ends: dict[int, int], block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, list[float]]:
-    """``words`` with the log10 probability of each in ``score``, and that of the end of a text by class.
-
-    ``ends`` has the training texts of each class. The trie is broadcast in
-    blocks of contexts that share their last byte, so that a byte is scored
-    within one block. Every block scores all tokens.
-    """
-    spark = words.sparkSession
-    grams = materialize(count_grams(words), "ppm-grams")
-    last = F.shiftright("key", 9).bitwiseAND(F.lit(255)).cast("int")
-    sizes = {r["last"]: r["count"] for r in grams.groupBy(last.alias("last")).count().collect()}
-    symbols = grams.groupBy(F.col("key").bitwiseAND(F.lit(511)).alias("symbol")).agg(F.sum("n").alias("n"))
-    roots = {r["symbol"]: r["n"] for r in symbols.collect()} | ({END: sum(ends.values())} if ends else {})
-    scored, end_scores = words.withColumn("score", F.lit(0.0)), []
-    blocks = _blocks({b: sizes.get(b, 0) for b in range(256)}, block_grams)
-    tries: list[tuple[set[int] | None, Trie]] = []
-    for number, block in enumerate(blocks, 1):
-        mine = grams.filter(last.isin(sorted(block))) if len(blocks) > 1 else grams
-        frame = mine.toPandas()
-        longest, counts = frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        if GAP in block:
-            longest = np.append(longest, end_keys()[list(ends)])
-            counts = np.append(counts, np.array(list(ends.values()), np.int64))
-        trie = Trie.build(longest, counts) if len(blocks) == 1 else Trie.build(*_with_roots(longest, counts, roots))
-        if GAP in block:
-            end_scores = trie.log_probabilities(end_keys()).tolist()
-        tries.append((None if len(blocks) == 1 else block, trie))
-        if number == len(blocks) or len(tries) == BLOCKS_AT_ONCE:
-            scored, tries = _scored(spark, scored, tries), []
-    return scored, end_scores
-
-
-def _with_roots(longest: np.ndarray, counts: np.ndarray, roots: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the empty context that stand for the contexts of other blocks."""
-    here = np.bincount(longest & 511, counts, SYMBOLS).astype(np.int64)
-    rest = {s: n - int(here[s]) for s, n in roots.items() if n > here[s]}
-    return np.append(longest, list(rest)).astype(np.int64), np.append(counts, list(rest.values())).astype(np.int64)
-
-
-def _scored(spark, words: DataFrame, tries: list[tuple[set[int] | None, Trie]]) -> DataFrame:
-    shared = spark.sparkContext.broadcast(tries)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for kinds, texts, before in batches:
-            yield before + token_scores(shared.value, kinds.tolist(), texts.tolist())
-
-    column = F.pandas_udf(run, "double")("class", "word", "score")
-    scored = materialize(words.withColumn("score", column), "ppm-tokens")
-    shared.destroy()  # what it was for is written
-    return scored
-
-
-def _frequent(scored: DataFrame, size: int) -> tuple[list, DataFrame]:
-    """The tokens above a level of the count that at most ``size`` reach, and the frame of all others."""
+            held.append(frame)
+            size += len(frame)
+            if size > most:
+                block = pd.concat(held, ignore_index=True)
+                whole = int(np.searchsorted(block["pair"].to_numpy(), block["pair"].iloc[-1]))
+                if whole:
+                    yield score(block[:whole])
+                held, size = [block[whole:]], size - whole
+                most = max(block_grams, 2 * size)  # a pair that goes on is put together seldom
+        if size:
+            yield score(pd.concat(held, ignore_index=True))
+
+    pair = F.shiftright("key", 9).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    dealt = grams.select("key", "c", "n", pair.alias("pair")).repartition("pair").sortWithinPartitions("pair")
+    return dealt.mapInPandas(run, "key bigint, n bigint, score double")
+
+
+def _with_singles(
+    longest: np.ndarray, counts: np.ndarray, last: np.ndarray, one_key: np.ndarray, one_n: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Grams with counts that stand for the grams of other tasks: in contexts of one of the ``last`` bytes, and in none."""
+    one = (np.int64(1) << _LEN) | (longest & ((1 << 17) - 1))
+    mine = last[(one_key >> _CTX) & 255]
+    rest_key, rest_n = merged(np.concatenate([one_key[mine], one]), np.concatenate([one_n[mine], -counts]))
+    none_key, none_n = merged(one_key[~mine] & 511, one_n[~mine])
+    rest_key, rest_n = rest_key[rest_n > 0], rest_n[rest_n > 0]
+    return np.concatenate([longest, rest_key, none_key]), np.concatenate([counts, rest_n, none_n])
+
+
+class Frequent:
+    """Scores of frequent grams, the most frequent first; of those that share a slot the first is found."""
+
+    def __init__(self, key: np.ndarray, score: np.ndarray):
+        self.key, self.score = key, score
+        self.slot = np.zeros(1 << SLOT_BITS, np.int32)  # a slot that is not taken shows the first, as any other key does
+        self.slot[self._slots(key[::-1])] = np.arange(len(key) - 1, -1, -1, dtype=np.int32)
+
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, 0 where there are none, and where there are some."""
+        if not len(self.key):
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        place = self.slot[self._slots(key)]
+        hit = self.key[place] == key
+        return np.where(hit, self.score[place], 0.0), hit
+
+
+def _most_frequent(table: DataFrame, size: int) -> DataFrame:
+    """The rows above a level of the count that at most ``size`` reach."""
     level = F.floor(F.log2("n") * 16).cast("int")
     held, least = 0, None
-    for row in sorted(scored.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for row in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
         held += row["count"]
         if held > size:
             break
         least = row["level"]
-    if least is None:
-        return [], scored
-    often = scored.filter((level >= least) & (F.length("word") <= 256)).select("class", "word", "c_all", "score").collect()
-    return [(r["class"], bytes(r.word), r.c_all, r.score) for r in often], scored.filter((level < least) | (F.length("word") > 256))
+    return table.limit(0) if least is None else table.filter(level >= least)
 
 
 PARTS = (
-    "row bigint, class int, word binary, times bigint, doc_id bigint, held_out boolean, "
-    "n_tokens bigint, n_known bigint, base double, score double"
+    "row bigint, word binary, key bigint, times bigint, "
+    "of struct<doc_id:bigint, held_out:boolean, n_tokens:bigint, n_known:bigint, base:double, score:double>"
+)
+_OF = pa.struct(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 )
 
 
 def _add_up(shared):
-    """Per document a row with the sums over frequent tokens and the end, and a row per other token."""
-    columns = [c.split()[0] for c in PARTS.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens_known, ends, class_scores = shared.value
-        often: dict[int, dict] = defaultdict(dict)
-        for kind, word, c, score in tokens_known:
-            often[kind][word] = (float(np.log10(c + 1)), int(c > 0), score)
-        end_base, end_known = float(np.log10(ends + 1)), int(ends > 0)
-        for frame in frames:
-            out = []
-            for row, doc_id, held_out, text in zip(frame["row"], frame["doc_id"], frame["held_out"], frame["text"]):
-                words = tokens(text)
-                counts = Counter(words)
-                kind = text_class(counts)
-                known, base, score, mine = end_known, end_base, class_scores[kind], often[kind]
-                for word, times in counts.items():
-                    got = mine.get(word)
-                    if got is None:
-                        out.append((row, kind, word, times, None, None, 0, 0, 0.0, 0.0))
-                    else:
-                        base += times * got[0]
-                        known += times * got[1]
-                        score += times * got[2]
-                alone = b" %d" % row  # is no token: rows of documents match none and are spread
-                id_ = None if pd.isna(doc_id) else int(doc_id)
-                out.append((row, kind, alone, 0, id_, held_out, len(words) + 1, known, base, score))
-            result = pd.DataFrame(out, columns=columns)
-            yield result.astype({"doc_id": "Int64", "held_out": "boolean"})
+    """Per document a row with the sums over frequent tokens and grams, and a row per other token or gram."""
+
+    def parts(row, word, key, times, of=None) -> pa.RecordBatch:
+        columns = [pa.array(row, pa.int64()), word, pa.array(key, pa.int64()), pa.array(times, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(word), _OF) if of is None else of], ["row", "word", "key", "times", "of"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, grams_known, ends, class_scores = shared.value
+        grams, c = Frequent(*grams_known), np.append(often["c"].to_numpy(), 0)  # a token's place without a count is the last
+        for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, len(b), TEXTS)):
+            ids, texts = batch["row"].to_numpy(), Texts.of(batch["text"].to_pylist())
+            place = pc.index_in(texts.words, value_set=often["word"]).fill_null(len(c) - 1).to_numpy()[texts.token]
+            known = int(ends > 0) + np.bincount(texts.owner, texts.times * (c[place] > 0), len(ids))
+            base = float(np.log10(ends + 1)) + np.bincount(texts.owner, texts.times * np.log10(c[place] + 1), len(ids))
+            rare = np.nonzero(place == len(c) - 1)[0]
+            word = texts.words.take(pa.array(texts.token[rare]))
+            yield parts(ids[texts.owner[rare]], word, np.zeros(len(rare), np.int64), texts.times[rare])
+            score = np.array([class_scores[kind] for kind in texts.kinds])
+            for first, begin, key in keys(texts.rows):
+                value, hit = grams.find(key)
+                score[first : first + len(begin)] += np.add.reduceat(value, begin)
+                miss = np.nonzero(~hit & (key >= 0))[0]
+                owner = np.searchsorted(begin, miss, "right") - 1
+                order = np.lexsort((key[miss], owner))
+                wanted, owner = key[miss][order], first + owner[order]
+                new = np.ones(len(miss), bool)
+                new[1:] = (wanted[1:] != wanted[:-1]) | (owner[1:] != owner[:-1])
+                at = np.nonzero(new)[0]
+                yield parts(ids[owner[at]], _no_words(len(at)), wanted[at], np.diff(at, append=len(miss)))
+            alone = [b" %d" % row for row in ids.tolist()]  # are no tokens: rows of documents match none and are spread
+            none = np.zeros(len(ids), np.int64)
+            sums = [pa.array(texts.sizes + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            of = pa.StructArray.from_arrays([batch["doc_id"], batch["held_out"], *sums], fields=list(_OF))
+            yield parts(ids, pa.array(alone, pa.binary()), none, none, of)
 
     return run
 
 
 def score_documents(
-    documents: DataFrame, held_out: Column, text_col: str = "text", frequent: int = FREQUENT
+    documents: DataFrame, held_out: Column, text_col: str = "text", frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -384,42 +433,45 @@ def score_documents(
     and empty texts consist of the end alone. Rows that repeat are scored and
     learned from each; without training rows all symbols are equally likely.
 
-    Tokens that are frequent (a bounded number) are added up where documents
-    are read; only the others are shuffled to meet their scores.
+    Tokens and grams that are frequent (a bounded number) are added up where
+    documents are read; only the others are shuffled to meet their scores.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     held = F.coalesce(held_out, F.lit(False))
-    counted = materialize(count_tokens(documents, ~held, text_col), "ppm-words")
-    is_end = F.col("word") == F.lit(END_WORD)
-    ends = {r["class"]: r["c"] for r in counted.filter(is_end & (F.col("c") > 0)).collect()}
-    scored, end_scores = score_tokens(counted.filter(~is_end), ends)
-    kinds = F.sum(F.when(F.col("c_all") > 0, F.col("c") / F.col("c_all")))  # a token's shares add up to one
-    totals = scored.agg(F.sum("c").alias("n"), kinds.alias("v")).first()
-    texts = sum(ends.values())
-    train_tokens, distinct = (totals["n"] or 0) + texts, round(totals["v"] or 0) + int(texts > 0)
-    class_scores = [
-        end_scores[k] + float(np.log10((ends.get(k, 0) + 1) / (texts + CLASSES))) for k in range(CLASSES)
-    ]
-    often, others = _frequent(scored, frequent)
-    shared = spark.sparkContext.broadcast((often, texts, class_scores))
+    counted = materialize(count(documents, ~held, text_col), "ppm-counts")
+    is_word, is_end = F.length("word") > 0, F.substring("word", 1, 1) == F.lit(END_WORD)
+    kinds = {r["word"][1]: r["c"] for r in counted.filter(is_end).select("word", "c").collect()}
+    words = counted.filter(is_word & ~is_end).select("word", "c", "n")
+    grams = materialize(score_grams(counted.filter(~is_word).select("key", "c", "n"), BLOCK_GRAMS), "ppm-grams")
+    totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    texts = sum(kinds.values())
+    train_tokens, distinct = (totals["n"] or 0) + texts, totals["v"] + int(texts > 0)
+    class_scores = [float(np.log10((kinds.get(k, 0) + 1) / (texts + CLASSES))) for k in range(CLASSES)]
+    often = _most_frequent(words, frequent).filter(F.length("word") <= 256).select("word", "c").toArrow()
+    often_grams = _most_frequent(grams, frequent_grams).toArrow()
+    first = np.argsort(-often_grams["n"].to_numpy(), kind="stable")
+    scores = often_grams["key"].to_numpy()[first], often_grams["score"].to_numpy()[first]
+    shared = spark.sparkContext.broadcast((often, scores, texts, class_scores))
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         held.alias("held_out"),
         whole_text(text_col).alias("text"),
-    ).mapInPandas(_add_up(shared), PARTS)
-    rare = others.select("class", "word", F.col("c_all").alias("rare_c"), F.col("score").alias("rare_score"))
-    met = rows.join(rare, ["word", "class"], "left")
+    ).mapInArrow(_add_up(shared), PARTS)
+    found = words.select("word", F.lit(0).cast("bigint").alias("key"), "c", F.lit(0.0).alias("score")).unionByName(
+        grams.select(F.lit(b"").alias("word"), "key", F.lit(None).cast("bigint").alias("c"), "score")
+    )
+    met = rows.join(found.hint("shuffle_hash"), ["word", "key"], "left")  # distinct on this side, so not sorted
     times = F.col("times")
-    log_c = F.log10(F.coalesce("rare_c", F.lit(0)) + 1)
+    log_c = F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("rare_c") > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + times * log_c).alias("base"),
-        F.sum(F.col("score") + times * F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        F.max("of.doc_id").alias("doc_id"),
+        F.max("of.held_out").alias("held_out"),
+        F.max("of.n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("of.n_known", F.lit(0)) + F.when(F.col("c") > 0, times).otherwise(0)).alias("n_known"),
+        F.sum(F.coalesce("of.base", F.lit(0.0)) + times * log_c).alias("base"),
+        F.sum(F.coalesce("of.score", F.lit(0.0)) + times * F.coalesce("score", F.lit(0.0))).alias("score"),
     )
     share = float(np.log10(train_tokens + distinct + 1))
     return sums.select(

@@ -19,17 +19,15 @@ class Plain:
             kind = ppm.text_class(words)
             self.kinds[kind] += 1
             self.counts.update(words)
-            self.feed(bytes([kind]) + b" ", ppm.END, 1)
-            for word, n in words.items():
-                for context, symbol in self.places(kind, word):
-                    self.feed(context, symbol, n)
+            for context, symbol in self.places(kind, ppm.tokens(text)):
+                self.feed(context, symbol, 1)
         self.total = sum(self.counts.values()) + self.texts
         self.distinct = len(self.counts) + (self.texts > 0)
 
     @staticmethod
-    def places(kind, word):
-        row = bytes([kind]) + b" " + word + b" "
-        return [(row[max(0, p - ppm.ORDER) : p], row[p]) for p in range(2, len(row))]
+    def places(kind, words):
+        row = [kind, *b" ", *b"".join(w + b" " for w in words), ppm.END]
+        return [(bytes(row[max(0, p - ppm.ORDER) : p]), row[p]) for p in range(2, len(row))]
 
     def feed(self, context, symbol, n):
         for k in range(len(context) + 1):
@@ -53,8 +51,7 @@ class Plain:
         words = ppm.tokens(text)
         kind = ppm.text_class(Counter(words))
         score = math.log10((self.kinds[kind] + 1) / (self.texts + ppm.CLASSES))
-        score += math.log10(self.probability(bytes([kind]) + b" ", ppm.END))
-        score += sum(math.log10(self.probability(c, s)) for w in words for c, s in self.places(kind, w))
+        score += sum(math.log10(self.probability(c, s)) for c, s in self.places(kind, words))
         space = self.total + self.distinct + 1
         base = sum(math.log10((self.counts[w] + 1) / space) for w in words) + math.log10((self.texts + 1) / space)
         return len(words) + 1, sum(self.counts[w] > 0 for w in words) + (self.texts > 0), base, score
@@ -99,13 +96,46 @@ def test_probabilities_add_up_to_one(prose):
         assert sum(model.probability(context, s) for s in range(ppm.SYMBOLS)) == pytest.approx(1)
 
 
-def test_blocks_give_the_same(spark, frame, prose):
+def test_blocks_give_the_same(frame, prose):
     documents = frame([(i, prose(i, 25)) for i in range(20)])
-    words = ppm.count_tokens(documents, F.lit(True)).filter(F.col("word") != F.lit(ppm.END_WORD))
-    ends = {5: 3, 9: 1}
-    one, end = ppm.score_tokens(words, ends)
-    many, ends_of_many = ppm.score_tokens(words, ends, block_grams=40)
-    score = {(r["class"], bytes(r.word)): r.score for r in one.collect()}
-    for r in many.collect():
-        assert r.score == pytest.approx(score[r["class"], bytes(r.word)])
-    assert ends_of_many == pytest.approx(end)
+    counted = ppm.count(documents, F.col("doc_id") < 15).filter(F.length("word") == 0).select("key", "c", "n")
+    score = {r.key: r.score for r in ppm.score_grams(counted).collect()}
+    many = ppm.score_grams(counted, block_grams=40).collect()
+    assert len(many) == len(score)
+    for r in many:
+        assert r.score == pytest.approx(score[r.key])
+
+
+def test_contexts_reach_over_the_ends_of_tokens(frame):
+    rows = [(i, "the cat sat on the mat " * 5) for i in range(1, 9)] + [(98, "on the mat the cat sat"), (99, "mat the sat cat the on")]
+    score = {r.doc_id: r.score for r in ppm.score_documents(frame(rows), F.col("doc_id") > 90).collect()}
+    assert score[98] > score[99] + 1
+
+
+@pytest.mark.parametrize("frequent_grams", [0, 50])
+def test_grams_joined_or_not(frame, prose, frequent_grams):
+    check(frame, [(i, prose(i, 15) + f" é{i}") for i in range(30)], 65_536, frequent_grams=frequent_grams)
+
+
+def test_pieces_of_long_rows(monkeypatch, prose):
+    rows = [ppm.coded(3, []), ppm.coded(4, ppm.tokens(prose(1, 40))), ppm.coded(5, [b"a"]), ppm.coded(6, [b"xy"] * 50)]
+    whole = [key for _, _, piece in ppm.keys(rows) for key in piece.tolist()]
+    for size in (1, 2, 5, 7, 64):
+        monkeypatch.setattr(ppm, "POSITIONS", size)
+        owners, found = [], []
+        for first, begin, piece in ppm.keys(rows):
+            owners += (first + ppm.np.searchsorted(begin, range(len(piece)), "right") - 1).tolist()
+            found += piece.tolist()
+        assert found == whole
+        assert owners == [i for i, row in enumerate(rows) for _ in row]
+
+
+def test_little_through_the_driver(frame, prose, monkeypatch):
+    seen = []
+    kind = type(frame([]))
+    arrow = kind.toArrow
+    monkeypatch.setattr(kind, "toPandas", None)
+    monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(len(out := arrow(df))) or out)
+    ppm.score_documents(frame([(i, prose(i, 40)) for i in range(60)]), fold(7) == 2, frequent=10, frequent_grams=10).count()
+    letters = 20
+    assert max(seen) <= (letters + ppm.CLASSES) * letters
