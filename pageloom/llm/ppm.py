@@ -45,7 +45,7 @@ BLOCK_GRAMS = 300_000  # grams scored at once, or all that share two bytes
 FLUSH = 400_000  # distinct tokens counted before a task passes them on
 FLUSH_GRAMS = 3_000_000  # the same of grams
 POSITIONS = 1 << 20  # bytes keyed at once
-TEXTS = 500  # texts added up at once
+TEXTS = 500  # texts counted or added up at once
 
 _CTX = np.int64(9)  # a key is length, context and symbol: 3, 48 and 9 bits
 _LEN = np.int64(9 + 48)
@@ -264,7 +264,7 @@ def count(documents: DataFrame, training: Column, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
         held, fresh, size, words = none, [], 0, []
-        for batch in batches:
+        for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, len(b), TEXTS)):
             train = np.array(batch["train"].to_pylist(), bool)
             texts = Texts.of(batch["text"].to_pylist())
             words.append(texts.counts(train))
@@ -277,8 +277,11 @@ def count(documents: DataFrame, training: Column, text_col: str = "text") -> Dat
                     key, n = np.unique(key[key >= 0], return_counts=True)
                     fresh.append((key | mark, n))
                     size += len(key)
-                    if size > FLUSH_GRAMS:
-                        held, fresh, size = merged(*map(np.concatenate, zip(held, *fresh))), [], 0
+                    if size > POSITIONS:
+                        parts = [np.concatenate(x) for x in zip(held, *fresh)]
+                        held, fresh, size = none, [], 0
+                        held = merged(*parts)
+                        del parts
                         if len(held[0]) > FLUSH_GRAMS:
                             yield from of_grams(*held)
                             held = none
