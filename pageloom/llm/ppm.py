@@ -44,7 +44,8 @@ SLOT_BITS = 22  # slots that frequent grams are looked up in
 BLOCK_GRAMS = 300_000  # grams scored at once, or all that share two bytes
 FLUSH = 400_000  # distinct tokens counted before a task passes them on
 FLUSH_GRAMS = 3_000_000  # the same of grams
-POSITIONS = 1 << 20  # bytes keyed at once
+FRESH_GRAMS = 1 << 20  # grams of texts put together with those counted before at once
+POSITIONS = 1 << 18  # bytes keyed at once, and grams passed on at once
 TEXTS = 500  # texts counted or added up at once
 
 _CTX = np.int64(9)  # a key is length, context and symbol: 3, 48 and 9 bits
@@ -154,6 +155,17 @@ def merged(key: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in numbers)
 
 
+def add_counts(held: list[np.ndarray], key: np.ndarray, n: np.ndarray) -> None:
+    """Adds the numbers of distinct, sorted keys to ``held`` (the same of others): known keys where they lie, new ones between them."""
+    place = np.searchsorted(held[0], key)
+    known = place < len(held[0])
+    known[known] = held[0][place[known]] == key[known]
+    held[1][place[known]] += n[known]
+    place, new = place[~known], ~known
+    for i, column in enumerate((key, n)):
+        held[i] = np.insert(held[i], place, column[new])
+
+
 @dataclass
 class Trie:
     """Contexts of all orders in sorted arrays: counts of their symbols, and what they hand on when they escape."""
@@ -241,6 +253,18 @@ def _no_words(size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(bytes(4 * (size + 1))), pa.py_buffer(b"")])
 
 
+def gram_rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of counted grams, distinct and sorted, those of training texts with their mark: by ranges of few grams."""
+    limits = np.unique(key[::POSITIONS] & ~_TRAIN)
+    others, train = (np.searchsorted(key, [mark, *(limits | mark), mark + _TRAIN]).tolist() for mark in (np.int64(0), _TRAIN))
+    for a, b, c, d in zip(others, others[1:], train, train[1:]):
+        if a < b or c < d:
+            number = np.concatenate([n[a:b], n[c:d]])
+            trained = np.concatenate([np.zeros(b - a, np.int64), n[c:d]])
+            part = merged(np.concatenate([key[a:b], key[c:d] & ~_TRAIN]), trained, number)
+            yield pa.RecordBatch.from_arrays([_no_words(len(part[0])), *map(pa.array, part)], ["word", "key", "c", "n"])
+
+
 def count(documents: DataFrame, training: Column, text_col: str = "text") -> DataFrame:
     """(word, key, c, n): every distinct token (key 0) and every distinct gram
     (empty word) with its count in training rows and in all. The end of a text
@@ -251,24 +275,23 @@ def count(documents: DataFrame, training: Column, text_col: str = "text") -> Dat
         key = pa.array(np.zeros(len(table), np.int64))
         return table.add_column(1, "key", key).select(["word", "key", "c", "n"]).to_batches()
 
-    def of_grams(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        counts = merged(key & ~_TRAIN, np.where(key >= _TRAIN, n, 0), n)
-        for lo in range(0, len(counts[0]), POSITIONS):
-            part = [pa.array(x[lo : lo + POSITIONS]) for x in counts]
-            yield pa.RecordBatch.from_arrays([_no_words(len(part[0])), *part], ["word", "key", "c", "n"])
-
     def added(tables: list[pa.Table]) -> pa.Table:
-        sums = pa.concat_tables(tables).group_by("word").aggregate([("c", "sum"), ("n", "sum")])
+        sums = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum"), ("n", "sum")])
         return sums.rename_columns(["word", "c", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        held, fresh, size, words = none, [], 0, []
+        held, fresh, size, words = [np.empty(0, np.int64)] * 2, [], 0, []
+
+        def put_together() -> None:
+            counts = merged(*map(np.concatenate, zip(*fresh)))
+            fresh.clear()
+            add_counts(held, *counts)
+
         for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, len(b), TEXTS)):
             train = np.array(batch["train"].to_pylist(), bool)
             texts = Texts.of(batch["text"].to_pylist())
             words.append(texts.counts(train))
-            if sum(map(len, words[1:])) > FLUSH:
+            if sum(map(len, words[1:])) > FLUSH // 2:
                 words = [added(words)]
                 if len(words[0]) > FLUSH:
                     yield from of_words(words.pop())
@@ -277,17 +300,17 @@ def count(documents: DataFrame, training: Column, text_col: str = "text") -> Dat
                     key, n = np.unique(key[key >= 0], return_counts=True)
                     fresh.append((key | mark, n))
                     size += len(key)
-                    if size > POSITIONS:
-                        parts = [np.concatenate(x) for x in zip(held, *fresh)]
-                        held, fresh, size = none, [], 0
-                        held = merged(*parts)
-                        del parts
+                    if size > FRESH_GRAMS:
+                        put_together()
+                        size = 0
                         if len(held[0]) > FLUSH_GRAMS:
-                            yield from of_grams(*held)
-                            held = none
+                            yield from gram_rows(*held)
+                            held[:] = [np.empty(0, np.int64)] * 2
         if words:
             yield from of_words(added(words))
-        yield from of_grams(*merged(*map(np.concatenate, zip(held, *fresh))))
+        if fresh:
+            put_together()
+        yield from gram_rows(*held)
 
     rows = documents.select(whole_text(text_col).alias("text"), training.alias("train"))
     counted = rows.mapInArrow(run, COUNTS).repartition("word", "key")

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,39 @@ def test_little_through_the_driver(frame, prose, monkeypatch):
     ppm.score_documents(frame([(i, prose(i, 40)) for i in range(60)]), fold(7) == 2, frequent=10, frequent_grams=10).count()
     letters = 20
     assert max(seen) <= (letters + ppm.CLASSES) * letters
+
+
+def test_counts_are_added_where_they_lie():
+    rng = ppm.np.random.default_rng(3)
+    held, want = [ppm.np.empty(0, ppm.np.int64)] * 2, {}
+    for size in (0, 1, 300, 5, 300):
+        key = ppm.np.unique(rng.integers(0, 500, size))
+        n = rng.integers(1, 9, len(key))
+        ppm.add_counts(held, key, n)
+        for k, v in zip(key.tolist(), n.tolist()):
+            want[k] = want.get(k, 0) + v
+        assert list(zip(*(x.tolist() for x in held))) == sorted(want.items())
+    held = [ppm.np.arange(1 << 20), ppm.np.ones(1 << 20, ppm.np.int64)]
+    tracemalloc.start()
+    ppm.add_counts(held, ppm.np.arange(0, 1 << 21, 16), ppm.np.ones(1 << 17, ppm.np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held[0]) == (1 << 20) + (1 << 16) and peak < 32 << 20
+
+
+def test_grams_are_passed_on_by_ranges(monkeypatch):
+    rng = ppm.np.random.default_rng(4)
+    for size in (1, 3, 16, 1000):
+        monkeypatch.setattr(ppm, "POSITIONS", size)
+        for plain, marked in ((200, 150), (0, 40), (40, 0), (0, 0), (3, 300)):
+            other, train = (ppm.np.unique(rng.integers(0, 400, k)) for k in (plain, marked))
+            key = ppm.np.concatenate([other, train | ppm._TRAIN])
+            n = rng.integers(1, 9, len(key))
+            want: dict = {}
+            for k, v in zip(key.tolist(), n.tolist()):
+                c, all_ = want.get(k & ~int(ppm._TRAIN), (0, 0))
+                want[k & ~int(ppm._TRAIN)] = (c + v * (k >= ppm._TRAIN), all_ + v)
+            batches = list(ppm.gram_rows(key, n))
+            assert all(0 < len(b) <= 2 * size for b in batches)
+            assert {r["key"]: (r["c"], r["n"]) for b in batches for r in b.to_pylist()} == want
+            assert sum(map(len, batches)) == len(want)
