@@ -44,7 +44,8 @@ SHORT = 48  # symbols up to which a word is merged by scanning
 NEVER = 1 << 60
 NONE = np.int32((1 << 31) - 1)  # rank of a pair that is never merged
 MARKS = 1 << 22  # bits that tell which words a lexicon may hold
-SLICE = 1 << 20  # ids whose bytes are put together at once
+SLICE = 1 << 16  # ids whose bytes are put together at once
+TEXTS = 250  # texts cut at once
 TOGETHER = 8192  # words merged in one block
 
 
@@ -554,7 +555,9 @@ def encode_documents(
 
 def _columns(codec: Codec, texts: list[str]) -> pa.Array:
     """Ids and decoded texts as columns, without an object per id."""
-    coded = codec.encode_all(texts)
+    coded = []
+    for lo in range(0, len(texts), TEXTS):
+        coded += codec.encode_all(texts[lo : lo + TEXTS])
     ids = np.frombuffer(b"".join(coded), np.int32)
     ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
     decoded, sizes = codec.vocabulary.decode_all(ids)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 from tokenizers import Tokenizer
@@ -117,3 +118,21 @@ def test_names_of_columns_are_free(frame):
     coded = bpe.encode_documents(frame([(1, "a b"), (None, None)], extra), vocabulary_path())
     assert sorted(coded.columns) == sorted(frame([], extra).columns)
     assert {r.doc_id: r.decoded for r in coded.collect()} == {1: "a b", None: ""}
+
+
+def test_few_texts_and_ids_at_once(vocabulary, prose, monkeypatch):
+    ids = bpe.np.resize(bpe.np.array(vocabulary.merge(b" international"), bpe.np.int32), 1 << 20)
+    want, _ = vocabulary.decode_all(ids)
+    tracemalloc.start()
+    vocabulary.decode_all(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(want) + (24 << 20)
+    codec, sizes = bpe.Codec(vocabulary), []
+    encode_all = codec.encode_all
+    monkeypatch.setattr(codec, "encode_all", lambda texts: sizes.append(len(texts)) or encode_all(texts))
+    texts = [prose(i, 5) + f" {i}" for i in range(1003)]
+    out = bpe._columns(codec, texts)
+    assert max(sizes) <= 250 and sum(sizes) == len(texts)
+    assert out.field("decoded").to_pylist() == texts and len(out.field("token_ids")) == len(texts)
+    assert len(bpe._columns(codec, [])) == 0
