@@ -76,8 +76,9 @@ def scrape(
 
     ``requests(request_id, url, render, mode, screenshot, images[, ts])``;
     rows found in ``cache`` are answered from it. Every needed document is
-    converted once; results are attached in the last join, where AQE's skew
-    join splits pages that very many requests ask for.
+    converted once; decision and document are attached in the one join that
+    moves requests, where AQE's skew join splits pages that very many requests
+    ask for.
 
     Adds ``engine, error, cacheable, cached`` and the result columns.
     """
@@ -92,8 +93,9 @@ def scrape(
         hits = with_results(matched.filter(F.col("cached_at").isNotNull()), cache)
         open_requests = matched.filter(F.col("cached_at").isNull()).drop("cached_at")
     # What is asked of a page has few forms, so deciding on distinct forms keeps
-    # a page that very many requests want from gathering in one task.
-    forms = open_requests.select("page_key", "mode", "screenshot").distinct()
+    # a page that very many requests want from gathering in one task. They are
+    # stored, as the page side asks for them again and again.
+    forms = materialize(open_requests.select("page_key", "mode", "screenshot").distinct(), "asked-forms")
     keys = forms.select("page_key")
     pages, rendered = asked_pages(pages, keys), asked_pages(rendered, keys)
     decided = decide(forms, pages, rendered, index)
@@ -107,9 +109,9 @@ def scrape(
         )
     else:
         converted = converted.withColumn("page_images", F.lit(None).cast(IMAGE_LIST))
-    joined = open_requests.join(decided.drop("page_id"), ["page_key", "mode", "screenshot"], "left").join(
-        converted, ["page_key", "engine"], "left"
-    )
+    # A form's document is copied only to forms that some request has.
+    answers = decided.drop("page_id").join(converted, ["page_key", "engine"], "left")
+    joined = open_requests.join(answers, ["page_key", "mode", "screenshot"], "left")
     engine_name = F.create_map(*[F.lit(x) for pair in ENGINE_NAMES.items() for x in pair])
     ok = F.col("error").isNull()
     fresh = joined.select(

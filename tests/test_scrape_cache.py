@@ -80,6 +80,19 @@ def test_scrape_result_and_cache(spark):
     assert not late.cached and late.html == "changed" + RICH
 
 
+def test_requests_move_once(spark):
+    """The asked forms are settled and given their documents before requests meet them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scrape(request(spark), pages(spark), rendered(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scanned = [line for line in plan.splitlines() if "Scan ExistingRDD" in line and "request_id" in line]
+    joins = [line for line in plan.splitlines() if "Join" in line and "page_key" in line and "mode" in line and "screenshot" in line]
+    assert len(scanned) == 1 and len(joins) == 1
+    assert plan.splitlines().index(joins[0]) < min(i for i, line in enumerate(plan.splitlines()) if "Join" in line and line not in joins)
+
+
 def test_modes(evaluate):
     got = evaluate([(True, ""), (False, ""), (False, None), (False, "static"), (False, "dynamic"), (True, "static")],
                    R.resolve_mode(F.col("r"), F.col("m")), "r boolean, m string")

@@ -12,9 +12,10 @@ from pageloom.operators.images import encode_images
 from pageloom.operators.quantiles import exact_quantiles
 from pageloom.operators.runlog import request_metrics
 from pageloom.operators.scrape import scrape
+from pageloom.plans import QUERIES, stream_queries
 from pageloom.session import materialize_counted, scratch_root
 from pageloom.sources.tables import expire_cache, pages_from, read_cache, read_image_files, summaries, write_cache, write_results_json
-from pageloom.streaming.jobs import rejects_of, stream_cached_scrape, stream_queue_depth, stream_scrape
+from pageloom.streaming.jobs import answer_repeats, rejects_of, stream_cached_scrape, stream_queue_depth, stream_scrape
 from pageloom.sources.tasks import decode_tasks, rejected, runnable, stream_tasks
 
 PAD = "<p>Paragraph of meaningful content for testing purposes.</p>" * 100
@@ -168,6 +169,54 @@ def test_cached_stream_over_many_days(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "cache").glob("cached_on=*")) == ["cached_on=2024-01-31"]
 
 
+def test_repeats_by_request_id(spark):
+    """Rows of an id that is answered from the batch count as cached; without id, neither hit nor entry."""
+    rows = [
+        ("k", 0, "a", True, False), ("k", 1, "b", True, False), ("k", 8, "c", True, False), ("x", 0, "d", True, False),
+        ("y", 0, "d", True, False), ("y", 1, "d", True, False), ("z", 0, None, True, False), ("z", 1, "e", True, False),
+        ("w", 0, "f", False, False), ("v", 0, "b", False, False), ("u", 0, "g", True, False), ("u", 0, "g", True, False),
+        ("k", 2, "h", False, True), ("t", 0, "i", None, False),
+    ]
+    first = spark.createDataFrame(rows, "cache_key string, d int, request_id string, cacheable boolean, cached boolean").select(
+        "cache_key", F.expr("timestamp'2024-01-03 12:00:00' + make_dt_interval(d)").alias("ts"), "request_id", "cacheable", "cached",
+        F.create_map(F.lit("engine"), F.lit("colly")).alias("metadata"), F.lit("u").alias("url"), F.lit("m").alias("markdown"),
+        F.lit("<p>").alias("html"), F.lit(None).cast("array<string>").alias("page_images"), F.lit(None).cast("string").alias("error"),
+    )
+    answers, entries = answer_repeats(first)
+    assert answers.columns == first.columns
+    got = sorted((r.cache_key, r.ts.day - 3, r.request_id or "", r.cached, "cached" in r.metadata) for r in answers.collect())
+    hits = {("k", 1, "b"), ("x", 0, "d"), ("y", 0, "d"), ("y", 1, "d"), ("z", 1, "e"), ("v", 0, "b")}
+    assert got == sorted(
+        (k, d, i or "", c or (k, d, i) in hits, (k, d, i) in hits) for k, d, i, _, c in rows
+    )
+    made = sorted((r.cache_key, r.cached_at.day - 3) for r in entries.collect())
+    assert made == [("k", 0), ("k", 8), ("u", 0), ("u", 0), ("x", 0), ("y", 0), ("y", 1)]
+
+
+def test_streamed_cache_writes_side_by_side(spark, data, monkeypatch):
+    """Task files grow with the cluster, and each half of the time is a batch of its own."""
+    seen, run = [], stream_queries.stream_cached_scrape
+
+    def spy(spark_, path, *args, **named):
+        seen.append(len(spark_.read.json(path).inputFiles()))
+        return run(spark_, path, *args, **named)
+
+    monkeypatch.setattr(stream_queries, "stream_cached_scrape", spy)
+    QUERIES["streamed_cache"](spark, data)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 2 and seen == [cores, 2 * cores]
+
+
+def test_streamed_cache_of_a_late_log(spark, tmp_path):
+    """No request in the first half: the rest is not dealt to two batches out of time order."""
+    rows = spark.range(40).select(
+        F.col("id").alias("event_id"), F.expr("timestamp'2024-01-14 00:00:00' + make_dt_interval(0, cast(id * 5 AS int))").alias("ts"), F.lit(7).cast("long").alias("user_id")
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {int(r.event_id): r.cache_hit for r in QUERIES["streamed_cache"](spark, str(tmp_path)).collect()}
+    assert got == {i: i % 34 != 0 for i in range(40)}
+
+
 def test_decode_tasks_in_one_scan(spark, tmp_path):
     rows = [
         ("a", "scrape:url", '{"url":"https://e.com/a","images":true,"maxDepth":"x"}'), ("b", "crawl:site", '{"url":"https://e.com/b","maxDepth":3}'),
